@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact, mixing, quality
+from plumbline.llm import bpe, chat, exact, mixing, quality, substring
 from plumbline.session import table
 
 #: The vocabulary file; another one may be given to ``op3_bpe``.
@@ -21,6 +21,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS, pattern: str =
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("_mark")
 
@@ -55,6 +59,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op5_substring": op5_substring,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
     "op9_exact_dedup": op9_exact_dedup,
@@ -64,6 +69,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES: dict[str, str] = {
+    "op5_substring": rf"""
+WITH d AS (
+  SELECT doc_id, {_WORDS} AS w FROM documents),
+win AS (
+  SELECT doc_id, i, sha256(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+rep AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS t FROM d),
+marked AS (
+  SELECT word.doc_id, word.i, word.t, max(rep.i) OVER (PARTITION BY word.doc_id ORDER BY word.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+  FROM word LEFT JOIN rep ON rep.doc_id = word.doc_id AND rep.i = word.i),
+per AS (
+  SELECT doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_removed,
+    sha256(coalesce(string_agg(CASE WHEN NOT gone THEN t END, ' ' ORDER BY i), '')) AS kept_sha256 FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM d LEFT JOIN per ON per.doc_id = d.doc_id
+""",
     "op6_mixing": rf"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size, coalesce(md5(CAST(doc_id AS VARCHAR)), '') AS shuffle FROM documents),
