@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact, minhash, mixing, quality, substring
+from plumbline.llm import bpe, chat, exact, html, minhash, mixing, quality, substring, toxicity
 from plumbline.session import table
 
 #: The vocabulary file; another one may be given to ``op3_bpe``.
@@ -21,6 +21,10 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, pattern)
 
@@ -53,6 +57,10 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.mark_copies(table(spark, sf_dir, "documents"))
 
@@ -63,10 +71,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
+    "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
     "op5_substring": op5_substring,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
+    "op8_html": op8_html,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
 }
