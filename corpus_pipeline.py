@@ -1,19 +1,30 @@
-"""The corpus pipeline: stages that each keep part of the documents, and the token digests of what is left."""
+"""The corpus pipeline: toxic documents go, then exact copies, then near copies; sources are mixed and encoded."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, exact, mixing
-from plumbline.llm.queries import RANKS, public_tokenizers
+from plumbline.llm import bpe, exact, minhash, mixing, toxicity
+from plumbline.llm.queries import RANKS
 from plumbline.session import staged, table
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the clause grammar rejects go; it learns from the labels of the documents at hand."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact.without_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component stays: five-word shingles, similarity 0.8 or more."""
+    return minhash.without_near_copies(docs, shingle=5, percent=80)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as the mix takes them: none, once or twice."""
     return mixing.mixed_rows(docs)
@@ -24,9 +35,15 @@ def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return bpe.token_digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
-STAGES = [("exact dedup", drop_exact_copies), ("mixing", mix_sources), ("byte-level BPE", encode_bytes)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing", mix_sources),
+    ("byte-level BPE", encode_bytes),
+]
 
-#: SQL cannot express byte-level BPE.
+#: SQL cannot express the learned grammar or byte-level BPE.
 ORACLE_SQL = None
 
 
