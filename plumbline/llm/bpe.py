@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.session import python_ready
 
@@ -210,7 +211,7 @@ def token_ids(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc
     """id and ids (array<int>) of every row."""
     python_ready(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string"))
-    return rows.mapInArrow(_ids(ranks_path, pattern, text_col, False), rows.drop(text_col).schema.add("ids", "array<int>"))
+    return rows.mapInArrow(_ids(ranks_path, pattern, text_col, False), rows.drop(text_col).schema.add("ids", T.ArrayType(T.IntegerType())))
 
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -63,10 +63,11 @@ def fold(log: DataFrame) -> DataFrame:
     message = Window.partitionBy("conv", "message")
     sets = F.col("kind") != "delta"
     since = log.withColumn("_set", F.max(F.when(sets, F.col("seq"))).over(message))
+    since = since.withColumn("_role", F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))).over(message))
     live = since.where(F.col("_set").isNull() | (F.col("seq") >= F.col("_set")))
     part = F.struct("seq", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.coalesce("text", F.lit(""))).alias("text"))
     return live.groupBy("conv", "message").agg(
-        F.coalesce(F.max_by("role", F.when(F.col("role").isNotNull(), F.col("seq"))), F.lit("")).alias("role"),
+        F.coalesce(F.max("_role"), F.lit("")).alias("role"),
         F.array_join(F.transform(F.sort_array(F.collect_list(part)), lambda p: p["text"]), "").alias("text"),
     )
 

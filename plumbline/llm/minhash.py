@@ -211,6 +211,7 @@ def _rest(buckets: DataFrame, centres: DataFrame, star: DataFrame, texts: DataFr
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id; of equal ids one row stays."""
-    gone = near_duplicates(docs, id_col, text_col, shingle, percent).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    rest = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_gone")), "left_anti")
-    return rest
+    found = near_duplicates(docs, id_col, text_col, shingle, percent)
+    gone = found.where("NOT kept").select(F.col(id_col).alias("id")).distinct().alias("g")
+    d = docs.alias("d")
+    return d.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")), "left_anti")
