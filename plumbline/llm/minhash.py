@@ -197,16 +197,27 @@ def _rest(buckets: DataFrame, centres: DataFrame, star: DataFrame, texts: DataFr
     shares = many.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"))
     largest = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("size"), (F.sum("share") - F.max("share")).alias("outside"))
     open_ = staged(largest.where("outside > 0"))
-    rows = many.join(open_, "bucket").withColumn("small", F.col("component") != F.col("largest"))
+    rows = staged(many.join(open_, "bucket").withColumn("small", F.col("component") != F.col("largest")))
+    # The bands of one crowd have about the same members. Where it takes fewer rows, all buckets with one largest
+    # component are compared as one group: the pairs of each bucket are among those of the group.
+    cost = lambda size, outside: size * F.ceil(outside / SMALL_BLOCK) + outside * F.ceil(size / FULL_BLOCK)
+    apart = open_.groupBy("largest").agg(F.sum(cost(F.col("size"), F.col("outside"))).alias("apart"))
+    crowds = rows.groupBy("largest", "node").agg(F.max(F.col("small").cast("int")).alias("small")).groupBy("largest").agg(F.count(F.lit(1)).alias("size"), F.sum("small").alias("outside"))
+    chosen = crowds.join(apart, "largest").select("largest", (cost(F.col("size"), F.col("outside")) < F.col("apart")).alias("merged"))
+    grouped = rows.drop("size", "outside").join(cut(chosen), "largest").withColumn("bucket", F.when(F.col("merged"), F.col("largest")).otherwise(F.col("bucket")))
+    grouped = grouped.select("merged", "bucket", "node", "component", "small").distinct()
+    sizes = grouped.groupBy("merged", "bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if("small").alias("outside"))
+    rows = grouped.join(cut(sizes), ["merged", "bucket"])
     n_small = F.ceil(F.col("outside") / SMALL_BLOCK).cast("int")
     n_full = F.ceil(F.col("size") / FULL_BLOCK).cast("int")
-    as_full = rows.select("bucket", "node", "component", F.lit(True).alias("full"), F.explode(F.sequence(F.lit(0), n_small - 1)).alias("s"), F.pmod(F.xxhash64("node"), n_full).cast("int").alias("f"))
-    as_small = rows.where("small").select("bucket", "node", "component", F.lit(False).alias("full"), F.pmod(F.xxhash64("node", F.lit(1)), n_small).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), n_full - 1)).alias("f"))
+    key = ["merged", "bucket"]
+    as_full = rows.select(*key, "node", "component", F.lit(True).alias("full"), F.explode(F.sequence(F.lit(0), n_small - 1)).alias("s"), F.pmod(F.xxhash64("node"), n_full).cast("int").alias("f"))
+    as_small = rows.where("small").select(*key, "node", "component", F.lit(False).alias("full"), F.pmod(F.xxhash64("node", F.lit(1)), n_small).cast("int").alias("s"), F.explode(F.sequence(F.lit(0), n_full - 1)).alias("f"))
     blocks = as_full.unionByName(as_small)
     members = cut(rows.select("node").distinct())
     sets = staged(_sets_of(texts, members, shingle))
-    ready = blocks.join(sets.withColumnRenamed("id", "node"), "node").select("bucket", "s", "f", F.col("node").alias("id"), "component", "full", "hashes")
-    return cut(ready.groupBy("bucket", "s", "f").applyInPandas(_block(percent), "a long, b long").distinct())
+    ready = blocks.join(sets.withColumnRenamed("id", "node"), "node").select(*key, "s", "f", F.col("node").alias("id"), "component", "full", "hashes")
+    return cut(ready.groupBy(*key, "s", "f").applyInPandas(_block(percent), "a long, b long").distinct())
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
