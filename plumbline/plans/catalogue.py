@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.operators import ranking
+from plumbline.plans import retrieval
+from plumbline.session import table
+
+_PARTS = (retrieval,)
+
+QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rankers over all vectors, fused; the first ten of each query with their documents."""
+    top = retrieval.fused(spark, sf_dir).where("rank <= 10")
+    return ranking.attribute(top, table(spark, sf_dir, "documents"), "doc_id", {"source": "", "lang": "Unknown", "n_chars": 0})
