@@ -141,7 +141,8 @@ def faithfulness(answers: DataFrame, sources: DataFrame, key: str, threshold: fl
     """
     parts = answers.select(key, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn("tokens", grounding_tokens(F.col("sentence")))
     words = parts.select(key, "pos", F.explode("tokens").alias("token"))
-    own = sources.select(key, F.monotonically_increasing_id().alias("source"), F.explode(grounding_tokens(F.col("source_text"))).alias("token"))
+    own = sources.select(key, "source_text").withColumn("source", F.monotonically_increasing_id())
+    own = own.select(key, "source", F.explode(grounding_tokens(F.col("source_text"))).alias("token"))
     shared = words.join(own, [key, "token"]).groupBy(key, "pos", "source").agg(F.count(F.lit(1)).alias("n"))
     most = shared.groupBy(key, "pos").agg(F.max("n").alias("shared"))
     size = F.size("tokens")
@@ -156,7 +157,8 @@ def ungrounded_sentences(answers: DataFrame, sources: DataFrame, key: str, thres
     """The sentences that no source grounds: key, pos, sentence."""
     parts = answers.select(key, F.posexplode(sentences(F.col("text"))).alias("pos", "sentence")).withColumn("tokens", grounding_tokens(F.col("sentence")))
     words = parts.select(key, "pos", F.explode("tokens").alias("token"))
-    own = sources.select(key, F.monotonically_increasing_id().alias("source"), F.explode(grounding_tokens(F.col("source_text"))).alias("token"))
+    own = sources.select(key, "source_text").withColumn("source", F.monotonically_increasing_id())
+    own = own.select(key, "source", F.explode(grounding_tokens(F.col("source_text"))).alias("token"))
     most = words.join(own, [key, "token"]).groupBy(key, "pos", "source").count().groupBy(key, "pos").agg(F.max("count").alias("shared"))
     size = F.size("tokens")
     failed = (size > 0) & (F.coalesce("shared", F.lit(0)) < threshold * size)
