@@ -72,14 +72,15 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def python_ready(spark: SparkSession, rows: int = 512) -> None:
-    """For operators with Python: workers find this package, and get Arrow batches of at most ``rows`` rows.
+def python_ready(spark: SparkSession, rows: int = 512, batch_bytes: int = 8 << 20) -> None:
+    """For operators with Python: workers find this package, and get Arrow batches of bounded rows and bytes.
 
-    Small batches keep very long texts within a worker's memory.
+    Bounded batches keep very long texts within a worker's memory.
     """
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") != str(rows):
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    for name, value in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", batch_bytes)):
+        if spark.conf.get(f"spark.sql.execution.arrow.{name}", "") != str(value):
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
