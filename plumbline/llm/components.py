@@ -17,13 +17,13 @@ def _fingerprint(edges: DataFrame) -> tuple:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least of its neighbours and itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours and itself to the least of them. Edges run from u to a smaller v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -32,13 +32,14 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """node and component (its least node) of every node that has a link; links are undirected pairs of longs.
 
     Each round is two joins on the edges that are left and cuts the lineage; rounds go on until the edges are stars,
-    which takes about the logarithm of the longest path. Nulls and loops are ignored, repeated links count once.
+    which takes about the logarithm of the longest path. Nulls and loops are ignored, repeated links count once. The
+    least neighbours are summed up and cut before the join, so that Spark can split the partition of a hot node.
     """
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
     edges = cut(edges)
     before = _fingerprint(edges)
     while before[0]:
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(cut(_large_star(edges))))
         now = _fingerprint(edges)
         if now == before:
             break
