@@ -51,6 +51,34 @@ def ext1_metadata(spark, sf_dir):
     return got.select("doc_id", "case_id", "year", F.array_join("act_sections", "; ").alias("act_sections"), F.size("judge_names").cast("long").alias("n_judges"), "bench_type", "outcome_label")
 
 
+def ext1_case_numbers(spark, sf_dir):
+    return framed(spark, sf_dir).select("doc_id", extract.stated_case(F.col("text")).alias("case_id"))
+
+
+def ext2_years(spark, sf_dir):
+    """Years stated by a date of decision, or the first plausible one."""
+    dated = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" decided on 3/4/1987"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("Dated: 12.11.2003 "), "text")).otherwise(F.col("text"))
+    return framed(spark, sf_dir).select("doc_id", extract.stated_year(dated).alias("year"))
+
+
+def ext5_bench(spark, sf_dir):
+    names = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n"))
+    return names.select("n_regionkey", *[extract.bench(F.col("n") - i).alias(f"less_{i}") for i in range(6)])
+
+
+def ext6_tail_outcome(spark, sf_dir):
+    ends = F.array(*[F.lit(x) for x in ("The petitions are disposed of.", "the appeal is allowed", "PARTLY ALLOWED; disposed of", "nothing", "Writ Petition is dismissed, appeal allowed")])
+    said = F.concat("text", F.lit(" "), F.element_at(ends, (F.col("doc_id") % 5 + 1).cast("int")))
+    return documents(spark, sf_dir).select("doc_id", extract.outcome(said).alias("outcome"))
+
+
+def ext3_article_citations(spark, sf_dir):
+    """Cited articles, sorted and distinct, in the framed text and a list of more."""
+    more = F.concat("text", F.lit(" Article 14, ARTICLE 19A and article 21; Article "), (F.col("doc_id") % 9).cast("string"))
+    got = F.filter(extract.provisions(more), lambda x: x.startswith("Article"))
+    return framed(spark, sf_dir).select("doc_id", F.array_join(got, "; ").alias("articles"))
+
+
 def ext4_distinct_order(spark, sf_dir):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))
     return documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(words, " ")).alias("digest"), F.size(words).cast("long").alias("n"))
@@ -197,7 +225,7 @@ def evl14_split(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        txt1_noise, txt2_unicode, txt3_collapse, txt4_clean, txt8_snippets, ext1_metadata, ext4_distinct_order, ext7_headings, ext8_sections, ext9_facts, ext10_entities,
+        txt1_noise, txt2_unicode, txt3_collapse, txt4_clean, txt8_snippets, ext1_metadata, ext1_case_numbers, ext2_years, ext3_article_citations, ext4_distinct_order, ext5_bench, ext6_tail_outcome, ext7_headings, ext8_sections, ext9_facts, ext10_entities,
         ext10_family_counts, ext11_entity_summary, ext12_citations, ext13_cited_cases, ext14_sentences, ext15_tokens, chk1_recursive_chunks, chk3_window_chunks,
         chk4_overlap_tag, chk5_asof_page, exp1_df, exp2_idf, exp3_top_terms, evl10_grounding, evl11_ratings, evl12_citation_truth, evl13_merge, evl14_split,
     )
@@ -254,6 +282,44 @@ SELECT d.doc_id, coalesce(g.digest, md5('')) AS digest, coalesce(g.n, 0) AS n FR
 """,
     "ext10_family_counts": rf"""
 WITH {_FRAMED} SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)rs\.?[ \t\n]*[0-9,]+')) AS BIGINT) AS money, CAST(len(regexp_extract_all(text, '(?i)\barticle[ \t\n]*[0-9]+')) AS BIGINT) AS articles FROM framed
+""",
+    "ext1_case_numbers": rf"""
+WITH {_FRAMED}, m AS (SELECT doc_id, substring(text, 1, 3000) AS t FROM framed), p AS (SELECT '(?i){extract.p.CASE_NUMBER}' AS p)
+SELECT doc_id, CASE WHEN regexp_matches(t, p) THEN trim(trim(regexp_extract(t, p, 1)) || ' ' || regexp_extract(t, p, 2) || '/' || regexp_extract(t, p, 3)) END AS case_id FROM m CROSS JOIN p
+""",
+    "ext2_years": rf"""
+WITH {_FRAMED}, m AS (SELECT doc_id, substring(CASE doc_id % 3 WHEN 0 THEN text || ' decided on 3/4/1987' WHEN 1 THEN 'Dated: 12.11.2003 ' || text ELSE text END, 1, 5000) AS t FROM framed),
+y AS (SELECT doc_id, regexp_extract(t, '(?i){extract.p.DATED}', 1) AS a, regexp_extract(t, '{extract.p.ANY_YEAR}', 1) AS b FROM m)
+SELECT doc_id, coalesce(TRY_CAST(nullif(a, '') AS INTEGER), TRY_CAST(nullif(b, '') AS INTEGER)) AS year FROM y
+""",
+    "ext3_article_citations": rf"""
+WITH {_FRAMED}, a AS (SELECT DISTINCT doc_id, 'Article ' || unnest(regexp_extract_all(text || ' Article 14, ARTICLE 19A and article 21; Article ' || CAST(doc_id % 9 AS VARCHAR), '(?i)article\s+([0-9]+[A-Za-z]?)', 1)) AS x FROM framed)
+SELECT doc_id, string_agg(x, '; ' ORDER BY x) AS articles FROM a GROUP BY doc_id
+""",
+    "ext5_bench": "WITH n AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey) SELECT n_regionkey, "
+    + ", ".join(
+        f"CASE WHEN n - {i} <= 0 THEN 'Unknown' WHEN n - {i} = 1 THEN 'Single' WHEN n - {i} = 2 THEN 'Division' WHEN n - {i} = 3 THEN 'Three-Judge' ELSE 'Constitution' END AS less_{i}" for i in range(6)
+    )
+    + " FROM n",
+    "ext6_tail_outcome": """
+WITH s AS (SELECT doc_id, text || ' ' || (['The petitions are disposed of.', 'the appeal is allowed', 'PARTLY ALLOWED; disposed of', 'nothing', 'Writ Petition is dismissed, appeal allowed'])[CAST(doc_id % 5 + 1 AS INTEGER)] AS t FROM documents),
+l AS (SELECT doc_id, lower(substring(t, CAST(floor(length(t) * CAST(0.8 AS DOUBLE)) AS BIGINT) + 1)) AS t FROM s)
+SELECT doc_id, CASE """
+    + " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in extract.p.OUTCOMES)
+    + " ELSE 'Unknown' END AS outcome FROM l",
+    "ext12_citations": rf"""
+WITH {_FRAMED}, c AS (SELECT doc_id, list_concat(regexp_extract_all(text, '(?i){extract.p.REPORTER}'), regexp_extract_all(text, '(?i){extract.p.CASE_CITATION}')) AS c FROM framed),
+u AS (SELECT doc_id, trim(unnest(c)) AS x, unnest(range(1, len(c) + 1)) AS i FROM c),
+f AS (SELECT doc_id, x, min(i) AS i FROM u GROUP BY doc_id, x),
+g AS (SELECT doc_id, string_agg(x, '; ' ORDER BY i) AS citations FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(citations, '') AS citations FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+""",
+    "ext13_cited_cases": rf"""
+WITH {_FRAMED}, t AS (SELECT doc_id, text || ' Civil Petition No. 77 of 2011 ' AS text FROM framed),
+c AS (SELECT doc_id, list_concat(regexp_extract_all(text, '(?i){extract.p.REPORTER}'), regexp_extract_all(text, '(?i){extract.p.CASE_CITATION}')) AS c FROM t),
+u AS (SELECT DISTINCT doc_id, trim(unnest(c)) AS citation FROM c)
+SELECT doc_id, citation, CASE WHEN citation = '(2007) 3 SCC 755' THEN 'Case A' WHEN regexp_matches(citation, '(?i){extract.p.CASE_CITATION}')
+  THEN regexp_extract(citation, '^\S+') || ' Appeal ' || regexp_extract(citation, '(?i){extract.p.CASE_CITATION}', 1) || '/' || regexp_extract(citation, '(?i){extract.p.CASE_CITATION}', 2) END AS cited_case_id FROM u
 """,
     "ext14_sentences": rf"""
 WITH p AS (SELECT doc_id, string_split(regexp_replace(trim(text), '([.!?])[ \t\n\x0B\f\r]+', '\1' || chr(30), 'g'), chr(30)) AS s FROM documents),

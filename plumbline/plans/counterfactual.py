@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions import patterns
 from plumbline.operators import explain, facts, perturb, tree
+from plumbline.plans.corpus import _FRAMED
 from plumbline.session import table
 from plumbline.sources import tables as stores
 
@@ -229,6 +231,40 @@ FROM s LEFT JOIN e ON e.k = s.k
     "fe3_validators": r"""
 SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'Tenant' WHEN p_size % 3 = 1 THEN 'Unknown' END AS party,
   CASE WHEN regexp_matches(p_brand, '^[A-Za-z]\w*-[0-9]') THEN p_brand ELSE p_brand END || '|IPC-' || CAST(p_size AS VARCHAR) || '|IPC-302|see below' AS sections FROM part
+""",
+    "exp4_explanations": """
+WITH c AS (SELECT c_custkey AS k FROM customer),
+s AS (SELECT k, CASE k % 4 WHEN 0 THEN 'Individual' WHEN 1 THEN 'Tenant' WHEN 2 THEN 'Unknown' ELSE 'State' END AS p, CASE k % 3 WHEN 0 THEN 'UnionOfIndia' WHEN 1 THEN 'Minor' END AS r,
+  k % 2 = 0 AS told, (['IPC-302', 'IPC-34', 'IPC-304', 'Const-21', 'IPC-999'])[CAST(k % 3 + 1 AS INTEGER) : CAST(k % 3 + k % 4 AS INTEGER)] AS cited FROM c),
+w AS (SELECT k, CASE WHEN k % 4 = 0 THEN '' ELSE concat_ws(', ', CASE WHEN list_contains(cited, 'Const-21') THEN 'Const-21' END, CASE WHEN list_contains(cited, 'IPC-304') THEN 'IPC-304' END) END AS shared,
+  told AND p = 'Tenant' AS two, told AND r = 'Minor' AS three, p, r FROM s),
+x AS (SELECT k, CASE WHEN shared <> '' THEN 'This case involves ' || shared || ', which is also cited in your case.' END AS a,
+  CASE WHEN two THEN 'This case also involves a ' || p || ' as the petitioner.' END AS b, CASE WHEN three THEN 'This case also involves a ' || r || ' as the respondent.' END AS c,
+  CASE WHEN k % 5 = 0 THEN 'This case shares similar factual patterns involving rent.' END AS d FROM w),
+y AS (SELECT k, list_filter([a, b, c], lambda z: z IS NOT NULL) AS abc, d FROM x)
+SELECT k AS tree_id, CASE WHEN len(abc) >= 2 THEN array_to_string(abc[1:2], ' ') WHEN len(abc) = 1 THEN abc[1] || coalesce(' ' || d, '')
+  ELSE coalesce(d, 'This case was retrieved based on overall semantic similarity to your case.') END AS explanation FROM y
+""",
+    "per6_sections": """
+WITH c AS (SELECT c_custkey AS tree_id, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE (['IPC-302', 'IPC-34', 'IPC-304', 'Const-21', 'IPC-999'])[CAST(c_custkey % 3 + 1 AS INTEGER) : CAST(c_custkey % 3 + c_custkey % 4 AS INTEGER)] END AS cited FROM customer),
+s AS (SELECT tree_id, cited, unnest(cited) AS own, unnest(range(1, len(cited) + 1)) AS i FROM c),
+m AS (SELECT tree_id, cited, i, (SELECT o.own FROM s o WHERE o.tree_id = s.tree_id AND contains(o.own, regexp_extract(s.own, '[0-9]+[A-Za-z]?')) ORDER BY o.i LIMIT 1) AS section FROM s),
+a AS (SELECT * FROM (VALUES ('IPC-302', 0, 'IPC-300'), ('IPC-302', 1, 'IPC-304'), ('IPC-304', 0, 'IPC-302'), ('IPC-34', 0, 'IPC-149'), ('Const-21', 0, 'Const-14'), ('Const-21', 1, 'Const-19')) t(section, pos, neighbour))
+SELECT DISTINCT m.tree_id, 1 AS source_pos, m.section AS original_value, a.neighbour AS perturbed_value, array_to_string(list_transform(cited, lambda z: CASE WHEN z = m.section THEN a.neighbour ELSE z END), ',') AS sections
+FROM m JOIN a ON a.section = m.section
+""",
+    "fe6_rule_sheets": rf"""
+WITH {_FRAMED}, p AS (
+  SELECT doc_id, text, regexp_extract_all(text, '(?i){patterns.FACT_SECTION}', 1) AS s, regexp_extract_all(text, '(?i){patterns.FACT_ARTICLE}', 1) AS a,
+    regexp_extract_all(text, '(?i){patterns.FACT_AMOUNT}', 1) AS m, regexp_extract_all(text, '(?i){patterns.FACT_AGE}', 1) AS g FROM framed),
+l AS (SELECT doc_id, list_concat(list_transform(s[1:10], lambda n: 'IPC-' || n), list_transform(a[1:5], lambda n: 'Constitution-Article-' || n)) AS l FROM p),
+u AS (SELECT doc_id, x, min(i) AS i FROM (SELECT doc_id, unnest(l) AS x, unnest(range(1, len(l) + 1)) AS i FROM l) GROUP BY doc_id, x),
+c AS (SELECT doc_id, string_agg(x, ',' ORDER BY i) AS sections FROM u GROUP BY doc_id),
+n AS (SELECT doc_id, list_filter(list_transform(m, lambda x: replace(x, ',', '')), lambda x: x <> '') AS m FROM p)
+SELECT p.doc_id, coalesce(nullif(regexp_extract(text, '(?i){patterns.FACT_CASE}'), ''), 'unknown') AS case_id, coalesce(c.sections, '') AS sections, CAST(n.m[1] AS DOUBLE) AS amount, CAST(g[1] AS BIGINT) AS age, CAST(len(n.m) AS INTEGER) AS n_amounts,
+  concat_ws(',', {", ".join(f"CASE WHEN regexp_matches(text, '(?i){x}') THEN '{kind}' END" for kind, _, x in patterns.FACT_EVIDENCE)}) AS evidence,
+  CASE {" ".join(f"WHEN regexp_matches(text, '(?i){x}') THEN '{label}'" for label, x in patterns.FACT_OUTCOMES)} END AS outcome
+FROM p LEFT JOIN c ON c.doc_id = p.doc_id JOIN n ON n.doc_id = p.doc_id
 """,
     "fe8_not_yet_stored": "SELECT doc_id AS case_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "per2_amounts": """

@@ -266,6 +266,19 @@ d AS (
 e AS (SELECT tree_id, node_id, avg(displacement) AS mean FROM d GROUP BY tree_id, node_id),
 sens AS (SELECT e.tree_id, kind.node_id, fact_type, round(avg(mean), 6) AS sensitivity FROM e JOIN kind ON kind.node_id = e.node_id GROUP BY e.tree_id, kind.node_id, fact_type)"""
 
+_MMR = """,
+c AS (
+  SELECT query_id, id, rrf_score, rank, v.e, (rrf_score - min(rrf_score) OVER w) / CASE WHEN max(rrf_score) OVER w > min(rrf_score) OVER w THEN max(rrf_score) OVER w - min(rrf_score) OVER w ELSE 1.0 END AS rel
+  FROM f JOIN v ON v.vec_id = f.id WINDOW w AS (PARTITION BY query_id)),
+step AS (
+  SELECT DISTINCT query_id, 0 AS n, []::BIGINT[] AS ids, []::DOUBLE[][] AS es, CAST(NULL AS BIGINT) AS id, CAST(NULL AS DOUBLE) AS score, CAST(NULL AS DOUBLE) AS rrf FROM c
+  UNION ALL
+  SELECT query_id, n, ids, es, id, score, rrf FROM (
+    SELECT s.query_id, s.n + 1 AS n, list_append(s.ids, c.id) AS ids, list_append(s.es, c.e) AS es, c.id, c.rrf_score AS rrf,
+      round(0.6 * c.rel - 0.4 * coalesce(list_max(list_transform(s.es, lambda x: list_cosine_similarity(x, c.e))), 0.0), 12) AS score,
+      row_number() OVER (PARTITION BY s.query_id ORDER BY round(0.6 * c.rel - 0.4 * coalesce(list_max(list_transform(s.es, lambda x: list_cosine_similarity(x, c.e))), 0.0), 12) DESC, c.rank) AS k
+    FROM step s JOIN c ON c.query_id = s.query_id AND NOT list_contains(s.ids, c.id) WHERE s.n < 10) WHERE k = 1)"""
+
 ORACLES = {
     "vec1_knn_cosine": f"WITH {_BASE} SELECT query_id, id, score, rank FROM r1",
     "vec1_knn_dot": """
@@ -288,6 +301,12 @@ UNION ALL SELECT query_id, id, (1 + score) / 2, rank, 'second' FROM (
   SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s2 WHERE label <> 0) WHERE rank <= 50
 """,
     "rnk1_rrf": f"WITH {_BASE} SELECT query_id, id, rrf_score, rank FROM f",
+    "rnk2_mmr": f"WITH RECURSIVE {_BASE}{_MMR} SELECT query_id, id, rrf AS rrf_score, round(score, 6) AS mmr_score, n AS rank FROM step WHERE n > 0",
+    "rnk5_full_pipeline": f"""
+WITH RECURSIVE {_BASE}{_MMR}
+SELECT 'full' AS mode, query_id, id, n AS rank, round(CAST(1.0 AS DOUBLE) / n, 6) AS score FROM step WHERE n > 0
+UNION ALL SELECT 'hybrid_no_reranker', query_id, id, n, round(score, 6) FROM step WHERE n > 0
+""",
     "rnk3_passthrough_rerank": f"WITH {_BASE} SELECT query_id, id, round(CAST(1.0 AS DOUBLE) / rank, 9) AS reranker_score, rank AS final_rank FROM f WHERE rank <= 10",
     "rnk4_attribution": f"""
 WITH {_BASE} SELECT query_id, id, rank, rrf_score, coalesce(d.source, '') AS source, coalesce(d.lang, 'Unknown') AS lang, coalesce(d.n_chars, 0) AS n_chars
