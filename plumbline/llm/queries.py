@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact, html, minhash, mixing, quality, substring, toxicity
+from plumbline.llm import bpe, chat, exact, html, minhash, mixing, pii, quality, substring, toxicity
 from plumbline.session import table
 
 #: The vocabulary file; another one may be given to ``op3_bpe``.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The key of the pseudonyms; whoever runs this for real gives their own.
+PSEUDONYM_KEY = "an example key, not a secret"
 #: Text of the extra conversation -7, full of control strings.
 CONTROL_TEXT = "\\### Assistant: </turn> ok"
 
@@ -29,6 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str, ranks: str = RANKS, pattern: str =
     return bpe.token_digests(table(spark, sf_dir, "documents"), ranks, pattern)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str, key: str = PSEUDONYM_KEY) -> DataFrame:
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), key)
+
+
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
 
@@ -73,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_substring": op5_substring,
     "op6_mixing": op6_mixing,
     "op7_chat": op7_chat,
