@@ -209,3 +209,13 @@ def batch_summary(cases: DataFrame) -> DataFrame:
         F.round(F.sum("other_accuracy") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("other_accuracy"),
         F.round(F.avg("rho"), 6).alias("mean_rho"),
     )
+
+
+def merged_reports(reports: dict[str, DataFrame | None]) -> DataFrame | None:
+    """Small reports under one schema with the name of each; missing ones (None) are left out."""
+    out = None
+    for name, report in reports.items():
+        if report is not None:
+            part = report.withColumn("report", F.lit(name))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -36,18 +36,21 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
 
 
 def profile(df: DataFrame, samples: int = 3) -> DataFrame:
-    """Per column: kind, number of nulls and of values, and the least values as samples; one pass over the data.
+    """Per column: kind, numbers of nulls and of values, and its least distinct values as samples (40 characters each).
 
-    Sample buffers are bounded: each task keeps ``samples`` values, so nothing grows with the table.
+    One aggregation over all columns counts and finds the least values, one more for each further sample; every task
+    keeps one value per column, so nothing grows with the table.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    names = [f.name for f in df.schema]
-    cells = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), F.col(f"`{n}`").cast("string").alias("value")) for n in names])).alias("c")).select("c.*")
-    counts = cells.groupBy("column").agg(F.count_if(F.col("value").isNull()).alias("n_null"), F.count("value").alias("n_values"))
-    least = cells.where("value IS NOT NULL").groupBy("column").agg(F.slice(F.array_sort(F.collect_set(F.substring("value", 1, 40))), 1, samples).alias("samples")) if samples and len(names) else None
-    kind = F.create_map(*[F.lit(x) for n in names for x in (n, kinds[n])])
-    out = counts.withColumn("kind", kind[F.col("column")])
-    return out if least is None else out.join(least, "column", "left")
+    cells = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema}
+    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"v{i}") for i, c in enumerate(cells.values())]).first()
+    seen: dict[str, list[str]] = {n: [] for n in cells}
+    for _ in range(samples):
+        later = [F.min(F.when(c > F.lit(seen[n][-1]), c) if seen[n] else c).alias(f"m{i}") for i, (n, c) in enumerate(cells.items())]
+        for name, value in zip(cells, df.agg(*later).first() if later else []):
+            if value is not None:
+                seen[name].append(value)
+    rows = [(f.name, f.dataType.simpleString(), counts["n"] - counts[f"v{i}"], counts[f"v{i}"], [x[:40] for x in seen[f.name]]) for i, f in enumerate(df.schema)]
+    return df.sparkSession.createDataFrame(rows, "column string, kind string, n_null long, n_values long, samples array<string>")
 
 
 def pdf_pages(spark: SparkSession, folder: str, reader=None) -> DataFrame:
