@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import SPACES, word_count, word_list
-from plumbline.session import staged
+from plumbline.session import cut, staged
 
 SYMBOLS = "#*$%&|<>"
 
@@ -98,19 +98,14 @@ def host_verdicts(figures: DataFrame, threshold: float = 0.5) -> DataFrame:
     failed = (F.col("failures") > 0).cast("long")
     hosts = figures.withColumn("failures", rule_failures()).groupBy("host").agg(F.count(F.lit(1)).alias("n_host"), F.sum(failed).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_host")
-    prior = hosts.agg(
-        (F.sum("n_failed") / F.sum("n_host")).alias("mean"),
-        F.round(F.coalesce(F.var_pop(rate), F.lit(0.0)), 12).alias("spread"),
-    ).withColumn(
-        "strength",
-        F.when(F.col("spread") <= 0, F.lit(1e6)).otherwise(F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1))),
-    )
-    shrunk = (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_host") + F.col("strength"))
-    return (
-        hosts.join(F.broadcast(prior))  # one row
-        .select("host", "n_host", "n_failed", F.round(shrunk, 9).alias("host_rate"))
-        .withColumn("host_ok", F.col("host_rate") <= threshold)
-    )
+    hosts = cut(hosts)
+    # The prior is one row, whatever the number of hosts.
+    found = hosts.agg((F.sum("n_failed") / F.sum("n_host")).alias("mean"), F.round(F.coalesce(F.var_pop(rate), F.lit(0.0)), 12).alias("spread")).first()
+    mean, spread = found["mean"] or 0.0, found["spread"] or 0.0
+    strength = 1e6 if spread <= 0 else max(1.0, min(1e6, mean * (1 - mean) / spread - 1))
+    shrunk = (F.col("n_failed") + F.lit(mean * strength)) / (F.col("n_host") + F.lit(strength))
+    rated = hosts.select("host", "n_host", "n_failed", F.round(shrunk, 9).alias("host_rate"))
+    return rated.withColumn("host_ok", F.col("host_rate") <= threshold)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", threshold: float = 0.5) -> DataFrame:

@@ -22,6 +22,14 @@ def brute(rows):
     return sorted(out, key=str)
 
 
+def normalised_groups(rows):
+    """Ids that stay: the least of each group of equal texts."""
+    least = {}
+    for i, t, *_ in sorted(rows, key=lambda r: r[0]):
+        least.setdefault(exact.normalised(t), i)
+    return set(least.values())
+
+
 ROWS = [
     (5, "a  b"), (2, "a b"), (9, "a\t\nb"), (3, " a b"), (4, "a b "), (1, None), (7, ""), (8, " "), (10, "\n\t"),
     (11, "x" * 70000 + " tail"), (12, "x" * 70000 + "  tail"), (13, "x" * 70000 + " tail!"), (2, "a b"), (None, "z"), (14, "z"), (15, "été "), (16, "été "),

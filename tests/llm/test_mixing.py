@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter
 
 import pytest
@@ -30,6 +31,30 @@ def targets_by_hand(sizes, share=1.5):
     return target
 
 
+def taken_by_hand(rows, share=1.5):
+    """How often each id is taken: queues served twice in the order of the MD5 of the id, cut at the budget."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    target = targets_by_hand(sizes, share)
+    order = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    events = []
+    for s in order:
+        served = 0
+        for turn in (0, 1):
+            for h, i, n in sorted((hashlib.md5(str(i).encode()).hexdigest(), i, len((t or "").split())) for i, t, x in rows if x == s):
+                served += n
+                if n:
+                    events.append((served / target[s], order.index(s), turn, h, i, n))
+    taken, spent = Counter(), 0
+    for *_, i, n in sorted(events):
+        if spent >= share * sum(sizes.values()):
+            break
+        taken[i] += 1
+        spent += n
+    return taken
+
+
 def check(rows, got):
     sizes = Counter()
     for _, t, s in rows:
@@ -54,6 +79,7 @@ def test_targets_and_shares(documents):
     got = mixing.mix(docs).collect()
     assert len(got) == len(rows)
     check(rows, got)
+    assert {r["doc_id"]: r["taken"] // r["size"] for r in got if r["taken"]} == dict(taken_by_hand(rows))
     assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(docs.repartition(7)).collect()))
 
 

@@ -1,7 +1,16 @@
+import hashlib
 import random
+from collections import Counter
+
+import public_tokenizers
+import tiktoken
 
 import corpus_pipeline
-from plumbline.llm.queries import ORACLES, QUERIES
+from plumbline.llm.bpe import encoder
+from test_exact import normalised_groups
+from test_minhash import brute as components
+from test_mixing import taken_by_hand
+from plumbline.llm.queries import ORACLES, QUERIES, RANKS
 from plumbline.session import staged
 
 
@@ -23,6 +32,18 @@ def test_stages_over_a_small_corpus(spark, documents, tmp_path):
             ids = {r["doc_id"] for r in docs.collect()}
             assert ids == set(range(60)) | {103}  # the empty text of 104 equals the null of 103
     assert counts[0] == ("toxicity", 64) and counts[1] == ("exact dedup", 62) and counts[2] == ("MinHash near-dedup", 61)
+    # The same by brute force, from the documents that the grammar kept.
+    left = [r for r in rows if r[0] != 102]
+    left = [r for r in left if r[0] in normalised_groups(left)]
+    left = [r for r in left if (r[0], True) in {(i, k) for i, _, _, k in components([(r[0], r[1]) for r in left], 5, 80)}]
+    ranks = encoder(RANKS, public_tokenizers.PATTERN).ranks
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, copies in taken_by_hand(left).items():
+        text = next(r[1] for r in left if r[0] == i) or ""
+        ids = theirs.encode_ordinary(text)
+        want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())] += copies
+    assert Counter(map(tuple, docs.collect())) == want
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
 
