@@ -59,7 +59,17 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._staged_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes staged tables of which everything has been computed and cut."""
+    for table in tables:
+        path = table.__dict__.pop("_staged_path", None)
+        if path:
+            _remove(table.sparkSession, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
