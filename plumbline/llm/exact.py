@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.llm.lookup import rows_with_ids
 from plumbline.llm.words import SPACE, SPACES
 from plumbline.session import cut, python_ready, staged
 
@@ -131,8 +132,8 @@ def duplicate_groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     key = ["_fp_a", "_fp_b", "_fp_bytes"]
     first = F.min(F.struct(F.col(id_col).alias("id"), F.col("_row").alias("row")))
     several = cut(rows.groupBy(key).agg(first.alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    ids = rows.join(several.select(key), key, "left_semi").select(id_col).distinct()
-    members = docs.select(id_col, text_col).alias("d").join(ids.alias("i"), F.col(f"d.{id_col}").eqNullSafe(F.col(f"i.{id_col}")), "left_semi")
+    ids = cut(rows.join(several.select(key), key, "left_semi").select(id_col).distinct())
+    members = rows_with_ids(docs.select(id_col, text_col), ids, id_col, id_col)
     parts = with_fingerprints(members, text_col).select(*key, F.explode(_chunks(F.col(text_col))).alias("c"))
     unlike = (
         parts.groupBy(*key, F.col("c.at").alias("at"))
@@ -149,14 +150,11 @@ def duplicate_groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     return verified.unionByName(again)
 
 
-def _decided(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[DataFrame, list]:
-    """Rows r of ``docs`` (all columns if ``carry``) joined with their groups g, and the columns found."""
-    columns = docs.columns if carry else [id_col, text_col]
-    marked = with_fingerprints(docs.select(*[F.col(f"`{c}`") for c in columns]), text_col)
-    rows = staged((marked if carry else marked.drop(text_col)).withColumn("_row", F.monotonically_increasing_id()))
+def _decided(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list]:
+    """Staged rows r joined with their groups g, and the columns found."""
     groups = cut(duplicate_groups(rows, docs, id_col, text_col))
     key = ["_fp_a", "_fp_b", "_fp_bytes"]
-    r, g = rows.alias("r"), groups.alias("g")
+    r, g = rows.select(id_col, "_row", *key, "_fp_sha256").alias("r"), groups.alias("g")
     same = F.col("g._fp_sha256").isNull() | (F.col("g._fp_sha256") == F.col("r._fp_sha256"))
     for k in key:
         same = same & (F.col(f"r.{k}") == F.col(f"g.{k}"))
@@ -171,11 +169,19 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, carry: bool) -> tuple[
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the normalised text, lower-case hex)."""
-    joined, found = _decided(docs, id_col, text_col, carry=False)
+    own = docs.select(F.col(id_col), F.col(text_col))
+    rows = staged(with_fingerprints(own, text_col).drop(text_col).withColumn("_row", F.monotonically_increasing_id()))
+    joined, found = _decided(rows, docs, id_col, text_col)
     return joined.select(F.col(f"r.{id_col}"), *found)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, the one with the smallest id."""
-    joined, found = _decided(docs, id_col, text_col, carry=True)
-    return joined.where(found[2]).select(*[F.col(f"r.`{c}`") for c in docs.columns])
+    """``docs`` with one row of each group of equal texts, the one with the smallest id.
+
+    All columns are staged with the fingerprints, so that a row is known by its number; then only the numbers of the
+    rows that go are joined back.
+    """
+    rows = staged(with_fingerprints(docs, text_col).withColumn("_row", F.monotonically_increasing_id()))
+    joined, found = _decided(rows, docs, id_col, text_col)
+    gone = cut(joined.where(~found[2]).select("r._row"))
+    return rows_with_ids(rows, gone, "_row", "_row", without=True).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 1_000_000
 
 
-def rows_with_ids(rows: DataFrame, ids: DataFrame, id_col: str, key_col: str, bound: int = BROADCAST_IDS) -> DataFrame:
-    """Rows whose ``id_col`` is among ``ids.key_col`` (distinct, already computed), null matching null.
+def rows_with_ids(rows: DataFrame, ids: DataFrame, id_col: str, key_col: str, bound: int = BROADCAST_IDS, without: bool = False) -> DataFrame:
+    """Rows whose ``id_col`` is (or with ``without`` is not) among ``ids.key_col``, null matching null.
 
-    Up to ``bound`` ids are broadcast, so that rows are filtered where they are read; beyond it both sides are shuffled.
+    ``ids`` are distinct and already computed. Up to ``bound`` of them are broadcast, so that rows are filtered where
+    they are read; beyond it both sides are shuffled.
     """
     if ids.count() <= bound:
         ids = F.broadcast(ids)
-    return rows.alias("_l").join(ids.alias("_i"), F.col(f"_l.`{id_col}`").eqNullSafe(F.col(f"_i.`{key_col}`")), "left_semi")
+    return rows.alias("_l").join(ids.alias("_i"), F.col(f"_l.`{id_col}`").eqNullSafe(F.col(f"_i.`{key_col}`")), "left_anti" if without else "left_semi")
