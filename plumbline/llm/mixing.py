@@ -22,10 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.llm.lookup import BROADCAST_IDS
 from plumbline.llm.words import word_count
-from plumbline.session import cut, staged
+from plumbline.session import cut, release, staged
 
 BUCKETS = 4096
+#: The order of the mix; it ends with what tells rows of one id apart.
+ORDER = ["finish", "source_rank", "turn", "shuffle", "size", "mark"]
 WEIGHTS = (5, 2, 1)
 
 
@@ -67,8 +70,8 @@ def _running(rows: DataFrame, group: list[str], slice_col: str, order: list[Colu
     return summed.join(based, [*group, slice_col]).withColumn(out, F.col("_base") + F.col("_inside")).drop("_base", "_inside")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, max_passes: int = 2) -> DataFrame:
-    """Per row: id, size, source_size, target, taken (words the mix takes, repeats counted), _mark (its place in the shuffle)."""
+def _queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, max_passes: int) -> tuple[DataFrame, dict | None]:
+    """Every row with its place in its source's queue (no texts), and the last place of the mix; None if it takes nothing."""
     sized = docs.select(
         F.col(id_col).alias("id"),
         F.col(source_col).alias("source"),
@@ -78,11 +81,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     sized = staged(sized.withColumn("slice", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int")))
     targets = cut(source_targets(sized, weights, share, max_passes))
-    t = targets.select(F.coalesce("source_rank", F.lit(0)).alias("source_rank"), F.col("source").alias("_source"), "source_size", "target")
-    ranked = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source", "source")
+    t = targets.select("source_rank", F.col("source").alias("_source"), "source_size", "target")
+    ranked = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranked = ranked.withColumn("slice", F.coalesce("slice", F.lit(0)))
     queued = _running(ranked, ["source_rank"], "slice", ["shuffle", "size", "mark"], "size", "served")
     queued = staged(queued.drop("slice"))
+    release(sized)
     passes = F.array(*[F.lit(k) for k in range(max_passes)])
     events = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select(
         "id", "mark", "size", "source_rank", "shuffle", F.explode(passes).alias("turn"), "served", "source_size", "target"
@@ -93,31 +97,61 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slices = cut(events.groupBy("slice").agg(F.sum("size").alias("total")))
     spent = slices.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     budget = targets.agg(F.sum("source_size") * share).first()[0]
-    order = ["finish", "source_rank", "turn", "shuffle", "size", "mark"]
-    last = None
-    if budget is not None and (at := spent.where(F.col("before") < budget).agg(F.max(F.struct("slice", "before")).alias("m")).first()["m"]):
-        inside = F.coalesce(F.sum("size").over(Window.partitionBy("slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        ahead = events.where(F.col("slice") == at["slice"]).withColumn("ahead", F.lit(at["before"]) + inside)
-        last = ahead.where(F.col("ahead") < budget).agg(F.max(F.struct(*order)).alias("last")).first()["last"]
+    if budget is None:
+        return queued, None
+    at = spent.where(F.col("before") < budget).agg(F.max(F.struct("slice", "before")).alias("m")).first()["m"]
+    if at is None:
+        return queued, None
+    inside = F.coalesce(F.sum("size").over(Window.partitionBy("slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = events.where(F.col("slice") == at["slice"]).withColumn("ahead", F.lit(at["before"]) + inside)
+    last = ahead.where(F.col("ahead") < budget).agg(F.max(F.struct(*ORDER)).alias("last")).first()["last"]
+    return queued, None if last is None else last.asDict()
+
+
+def _is_taken(last: dict, turn: int) -> Column:
+    """Whether a queued row is taken in a pass: its place is not after the last one."""
+    kinds = {"finish": "double", "source_rank": "int", "turn": "int", "shuffle": "string", "size": "long", "mark": "long"}
+    end = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in ORDER])
+    finish = F.try_divide(turn * F.col("source_size") + F.col("served"), F.col("target"))
+    place = F.struct(finish.alias("finish"), "source_rank", F.lit(turn).alias("turn"), "shuffle", "size", "mark")
+    return finish.isNotNull() & (F.col("size") > 0) & (place <= end)
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, max_passes: int = 2) -> DataFrame:
+    """Per row: id, size, source_size, target and taken (words the mix takes, repeats counted)."""
+    queued, last = _queues(docs, id_col, text_col, source_col, weights, share, max_passes)
     taken = F.lit(0)
-    if last is not None:
-        kinds = {"finish": "double", "source_rank": "int", "turn": "int", "shuffle": "string", "size": "long", "mark": "long"}
-        end = F.struct(*[F.lit(last[c]).cast(kinds[c]).alias(c) for c in order])
-        for k in range(max_passes):
-            finish = F.try_divide(k * F.col("source_size") + F.col("served"), F.col("target"))
-            place = F.struct(finish.alias("finish"), "source_rank", F.lit(k).alias("turn"), "shuffle", "size", "mark")
-            taken = taken + F.when(finish.isNotNull() & (F.col("size") > 0) & (place <= end), F.col("size")).otherwise(F.lit(0))
-    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("mark").alias("_mark"))
-
-
-def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """``docs`` as the mix takes them: rows that it takes twice appear twice, rows that it leaves are gone."""
-    plan = mix(docs, id_col, text_col, source_col, **how)
-    same = Window.partitionBy("_id", "_mark")
-    plan = plan.select(F.col(id_col).alias("_id"), "_mark", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    plan = plan.withColumn("_row", F.row_number().over(same.orderBy(F.col("_copies").desc())))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_mark"))
-    rows = rows.withColumn("_row", F.row_number().over(same.orderBy(F.col(f"_doc.{source_col}"))))
-    d, p = rows.alias("d"), plan.where("_copies > 0").alias("p")
-    on = F.col("d._id").eqNullSafe(F.col("p._id")) & (F.col("d._mark") == F.col("p._mark")) & (F.col("d._row") == F.col("p._row"))
-    return d.join(p, on).select("d._doc", F.explode(F.sequence(F.lit(1), F.col("p._copies"))).alias("_copy")).select(*[F.col(f"_doc.`{c}`") for c in docs.columns])
+    for turn in range(max_passes if last else 0):
+        taken = taken + F.when(_is_taken(last, turn), F.col("size")).otherwise(F.lit(0))
+    return queued.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, max_passes: int = 2) -> DataFrame:
+    """``docs`` as the mix takes them: rows that it takes twice appear twice, rows that it leaves are gone.
+
+    Each pass takes the beginning of a source's shuffled queue, so the last place taken of every source and pass tells
+    for each row, where it is read, how often it stays; texts are not shuffled. Of repeated rows at that place all stay.
+    """
+    queued, last = _queues(docs, id_col, text_col, source_col, weights, share, max_passes)
+    if last is None:
+        return docs.limit(0)
+    place = F.struct("shuffle", "size", "mark")
+    limits = cut(queued.groupBy("source").agg(*[F.max(F.when(_is_taken(last, k), place)).alias(f"last_{k}") for k in range(max_passes)]))
+    release(queued)
+    if limits.count() <= BROADCAST_IDS:
+        limits = F.broadcast(limits)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+        F.col(source_col).alias("source"),
+        F.struct(
+            F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("")).alias("shuffle"),
+            word_count(F.col(text_col)).alias("size"),
+            F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
+        ).alias("place"),
+    )
+    d, m = rows.alias("d"), limits.alias("m")
+    copies = F.lit(0)
+    for k in range(max_passes):
+        copies = copies + F.when((F.col("place.size") > 0) & (F.col("place") <= F.col(f"m.last_{k}")), 1).otherwise(0)
+    kept = d.join(m, F.col("d.source").eqNullSafe(F.col("m.source"))).select("d._doc", copies.alias("_copies")).where("_copies > 0")
+    return kept.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"_doc.`{c}`") for c in docs.columns])

@@ -40,7 +40,7 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).drop("_mark")
+    return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
