@@ -23,7 +23,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.components import connected_components
 from plumbline.llm.hashing import BASE, U, WordHashes, mixed
 from plumbline.llm.lookup import rows_with_ids
-from plumbline.session import cut, python_ready, staged
+from plumbline.session import cut, python_ready, release, staged
 
 BANDS, ROWS = 32, 4
 #: Members outside the largest component and members at all that one block of step 3 compares.
@@ -116,21 +115,22 @@ def _confirmed(percent: int):
 
 
 def _block(percent: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        others = [np.frombuffer(x, U) for x in rows["hashes"]]
-        ids, parts = rows["id"].to_numpy(), rows["component"].to_numpy()
-        sizes = np.array([len(x) for x in others])
-        full = np.flatnonzero(rows["full"].to_numpy())
-        flat = np.concatenate([others[i] for i in full]) if len(full) else np.zeros(0, U)
+    def run(rows: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, U) for x in rows.column("hashes").to_pylist()]
+        ids, parts, whole = (rows.column(c).to_numpy() for c in ("id", "component", "full"))
+        sizes = np.array([len(x) for x in sets])
+        full = np.flatnonzero(whole)
+        flat = np.concatenate([sets[i] for i in full]) if len(full) else np.zeros(0, U)
         starts = np.cumsum(sizes[full]) - sizes[full]
         out = set()
-        for i in np.flatnonzero(~rows["full"].to_numpy()):
-            at = np.minimum(np.searchsorted(others[i], flat), len(others[i]) - 1)
-            shared = np.add.reduceat((others[i][at] == flat).astype(np.int64), starts) if len(flat) else np.zeros(0, np.int64)
+        for i in np.flatnonzero(~whole) if len(full) else ():
+            at = np.minimum(np.searchsorted(sets[i], flat), len(sets[i]) - 1)
+            shared = np.add.reduceat((sets[i][at] == flat).astype(np.int64), starts)
             linked = similar(shared, sizes[i], sizes[full], percent) & (parts[full] != parts[i])
             _, one = np.unique(parts[full][linked], return_index=True)
             out.update((int(ids[i]), int(x)) for x in ids[full][linked][one])
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
+        found = sorted(out)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
     return run
 
@@ -150,6 +150,7 @@ def near_duplicates(
     components = connected_components(links)
     c, m = nodes.select("node", *key).alias("c"), components.alias("m")
     named = cut(c.join(m, F.col("c.node") == F.col("m.node"), "left").select("c.*", F.coalesce("m.component", "c.node").alias("component")))
+    release(classes)
     joined = sketches.drop("signature").join(named, key, "left")
     found = F.coalesce("component", "id")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), found.alias("component_id"), F.col("id").eqNullSafe(found).alias("kept"))
@@ -178,7 +179,9 @@ def _links(nodes: DataFrame, texts: DataFrame, shingle: int, percent: int, bands
     left = pairs.join(sets.withColumnsRenamed({"id": "a", "hashes": "set_a"}), "a")
     both = left.join(sets.withColumnsRenamed({"id": "b", "hashes": "set_b"}), "b").select("a", "b", "set_a", "set_b")
     star = cut(both.mapInArrow(_confirmed(percent), "a long, b long"))
+    release(pairs, sets)
     rest = _rest(buckets, centres, star, texts, shingle, percent)
+    release(buckets, centres)
     return star.unionByName(rest)
 
 
@@ -197,14 +200,14 @@ def _rest(buckets: DataFrame, centres: DataFrame, star: DataFrame, texts: DataFr
     shares = many.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("share"))
     largest = shares.groupBy("bucket").agg(F.max_by("component", F.struct("share", "component")).alias("largest"), F.sum("share").alias("size"), (F.sum("share") - F.max("share")).alias("outside"))
     open_ = staged(largest.where("outside > 0"))
-    rows = staged(many.join(open_, "bucket").withColumn("small", F.col("component") != F.col("largest")))
+    crowd = staged(many.join(open_, "bucket").withColumn("small", F.col("component") != F.col("largest")))
     # The bands of one crowd have about the same members. Where it takes fewer rows, all buckets with one largest
     # component are compared as one group: the pairs of each bucket are among those of the group.
     cost = lambda size, outside: size * F.ceil(outside / SMALL_BLOCK) + outside * F.ceil(size / FULL_BLOCK)
     apart = open_.groupBy("largest").agg(F.sum(cost(F.col("size"), F.col("outside"))).alias("apart"))
-    crowds = rows.groupBy("largest", "node").agg(F.max(F.col("small").cast("int")).alias("small")).groupBy("largest").agg(F.count(F.lit(1)).alias("size"), F.sum("small").alias("outside"))
+    crowds = crowd.groupBy("largest", "node").agg(F.max(F.col("small").cast("int")).alias("small")).groupBy("largest").agg(F.count(F.lit(1)).alias("size"), F.sum("small").alias("outside"))
     chosen = crowds.join(apart, "largest").select("largest", (cost(F.col("size"), F.col("outside")) < F.col("apart")).alias("merged"))
-    grouped = rows.drop("size", "outside").join(cut(chosen), "largest").withColumn("bucket", F.when(F.col("merged"), F.col("largest")).otherwise(F.col("bucket")))
+    grouped = crowd.drop("size", "outside").join(cut(chosen), "largest").withColumn("bucket", F.when(F.col("merged"), F.col("largest")).otherwise(F.col("bucket")))
     grouped = grouped.select("merged", "bucket", "node", "component", "small").distinct()
     sizes = grouped.groupBy("merged", "bucket").agg(F.count(F.lit(1)).alias("size"), F.count_if("small").alias("outside"))
     rows = grouped.join(cut(sizes), ["merged", "bucket"])
@@ -217,12 +220,13 @@ def _rest(buckets: DataFrame, centres: DataFrame, star: DataFrame, texts: DataFr
     members = cut(rows.select("node").distinct())
     sets = staged(_sets_of(texts, members, shingle))
     ready = blocks.join(sets.withColumnRenamed("id", "node"), "node").select(*key, "s", "f", F.col("node").alias("id"), "component", "full", "hashes")
-    return cut(ready.groupBy(*key, "s", "f").applyInPandas(_block(percent), "a long, b long").distinct())
+    found = cut(ready.groupBy(*key, "s", "f").applyInArrow(_block(percent), "a long, b long").distinct())
+    release(open_, crowd, sets)
+    return found
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, the one with the smallest id; of equal ids one row stays."""
     found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = found.where("NOT kept").select(F.col(id_col).alias("id")).distinct().alias("g")
-    d = docs.alias("d")
-    return d.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.id")), "left_anti")
+    gone = cut(found.where("NOT kept").select(F.col(id_col).alias("id")).distinct())
+    return rows_with_ids(docs, gone, id_col, "id", without=True)

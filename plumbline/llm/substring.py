@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from plumbline.llm.hashing import Runs, WordHashes
 from plumbline.llm.lookup import rows_with_ids
 from plumbline.llm.words import word_list
-from plumbline.session import cut, python_ready, staged
+from plumbline.session import cut, python_ready, release, staged
 
 WINDOW = 35
 
@@ -145,7 +145,9 @@ def repeated_spans(docs: DataFrame, first_reading: DataFrame, window: int = WIND
     whole = live.where("NOT branches").select("id", "mark", "first", "n")
     several = branching.join(distinct.where("times > 1").select("anchor", "path"), ["anchor", "path"], "left_semi").select("id", "mark", "first", "n")
     found = whole.unionByName(several).unionByName(single)
-    return found.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    out = staged(found.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "n")).alias("spans")))
+    release(anchors, live, distinct, spans, edges)
+    return out
 
 
 def _with_texts(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -168,7 +170,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lists = [T.StructField(c, T.ArrayType(t, False)) for c, t in (("anchor", T.LongType()), ("path", T.LongType()), ("first", T.IntegerType()), ("n", T.IntegerType()))]
     schema = T.StructType([T.StructField("id", kind), *T.StructType.fromDDL("mark long, n_words long, sha256 string").fields, *lists])
     read = staged(rows.mapInArrow(_read(window, seed), schema))
-    spans = staged(repeated_spans(rows, read, window))
+    spans = repeated_spans(rows, read, window)
     changed = _with_texts(rows, spans).mapInArrow(_kept(window), f"id {kind.simpleString()}, mark long, n_words long, n_removed long, kept string")
     r, s = (read if not texts else rows).alias("r"), spans.alias("s")
     same = F.col("r.id").eqNullSafe(F.col("s.id")) & (F.col("r.mark") == F.col("s.mark"))

@@ -59,7 +59,7 @@ def test_against_brute_force_short_windows(documents):
 def test_beyond_the_bound_of_a_broadcast(documents, monkeypatch):
     from plumbline.llm import lookup
 
-    monkeypatch.setattr(lookup.rows_with_ids, "__defaults__", (0,))
+    monkeypatch.setattr(lookup.rows_with_ids, "__defaults__", (0, False))
     check(documents, corpus(3), 35)
 
 
