@@ -41,6 +41,9 @@ NEGATIONS = "not no never none nobody isn't aren't don't nicht kein keine nie pa
 REPORTS = "said says say told quote quoted reported claims claimed allegedly wrote sagte sagt dit disait dijo dice"
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+NOTHING = (OTHER, 0.0)
+#: Words that a worker keeps with their symbols, and patterns that it counts before it hands them on.
+REMEMBERED, COUNTED = 150_000, 200_000
 #: A negation or report reaches this many words.
 REACH = 6
 
@@ -70,12 +73,12 @@ class Tagger(dict):
         self.ends = {c: (END, 0.0) for c in ".!?;:\n"}
 
     def __missing__(self, word: str) -> tuple[int, float]:
-        if len(self) > 1_000_000:
+        if len(self) >= REMEMBERED:
             self.clear()
         found = self.ends.get(word) or self.fixed.get(word)
         if not found:
             weight = max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
-            found = (INSULT, weight) if weight > 0 else (OTHER, 0.0)
+            found = (INSULT, weight) if weight > 0 else NOTHING
         self[word] = found
         return found
 
@@ -169,7 +172,7 @@ def _counted(wanted: frozenset[str] | None):
                 words = set(TOKENS.findall((text or "").lower()))
                 found = {f for w in words for f in forms(w)}
                 seen.update(found if wanted is None else found & wanted)
-            if len(seen) > 2_000_000:  # a large task hands on what it has
+            if len(seen) > COUNTED:  # a large task hands on what it has
                 yield batch_of(seen)
                 seen.clear()
         if seen:
