@@ -258,6 +258,16 @@ def _plain(x: str) -> str:
     return f"translate({x}, chr(8216) || chr(8217) || chr(8220) || chr(8221) || chr(8211) || chr(160) || chr(8194) || chr(8195) || chr(8203) || chr(65279), '''''\"\"-   ')"
 
 
+# The frame's headings are the only ones: sections run from one line break before a heading to the next.
+_PLACES = r""",
+h AS (SELECT doc_id, text, CAST(strpos(text, chr(10) || 'FACTS' || chr(10)) - 1 AS INTEGER) AS f, CAST(strpos(text, chr(10) || 'ISSUES' || chr(10)) - 1 AS INTEGER) AS i,
+  CAST(strpos(text, chr(10) || 'HELD' || chr(10)) - 1 AS INTEGER) AS h, CAST(length(text) AS INTEGER) AS n FROM framed),
+r AS (
+  SELECT doc_id, 0 AS pos, 'Unknown' AS section_type, 0 AS start_char, f AS end_char, substring(text, 1, f) AS t FROM h
+  UNION ALL SELECT doc_id, 1, 'Facts', f, i, substring(text, f + 8, i - f - 7) FROM h
+  UNION ALL SELECT doc_id, 2, 'Issues', i, h, substring(text, i + 9, h - i - 8) FROM h
+  UNION ALL SELECT doc_id, 3, 'Held', h, n, substring(text, h + 7, n - h - 6) FROM h),
+s AS (SELECT doc_id, pos, section_type, start_char, end_char, regexp_replace(t, '^\s+|\s+$', '', 'g') AS t FROM r)"""
 _STOPS = ", ".join(f"'{w}'" for w in extract.p.STOP_WORDS)
 _TERMS = f"t AS (SELECT doc_id, i, w FROM (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z0-9\\-]+') AS w FROM documents)) WHERE length(w) > 2 AND w NOT IN ({_STOPS}))"
 _DF = f"{_TERMS}, df AS (SELECT w AS term, count(DISTINCT doc_id) AS df FROM t GROUP BY w)"
@@ -307,6 +317,9 @@ l AS (SELECT doc_id, lower(substring(t, CAST(floor(length(t) * CAST(0.8 AS DOUBL
 SELECT doc_id, CASE """
     + " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in extract.p.OUTCOMES)
     + " ELSE 'Unknown' END AS outcome FROM l",
+    "ext7_headings": "SELECT doc_id, 'Facts,Issues,Held' AS types, CAST(3 AS BIGINT) AS n FROM documents",
+    "ext8_sections": f"WITH {_FRAMED}{_PLACES} SELECT doc_id, pos, section_type, start_char, end_char, md5(t) AS digest FROM s",
+    "ext9_facts": f"WITH {_FRAMED}{_PLACES} SELECT doc_id, md5(t) AS digest FROM s WHERE section_type = 'Facts'",
     "ext12_citations": rf"""
 WITH {_FRAMED}, c AS (SELECT doc_id, list_concat(regexp_extract_all(text, '(?i){extract.p.REPORTER}'), regexp_extract_all(text, '(?i){extract.p.CASE_CITATION}')) AS c FROM framed),
 u AS (SELECT doc_id, trim(unnest(c)) AS x, unnest(range(1, len(c) + 1)) AS i FROM c),

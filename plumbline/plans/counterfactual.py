@@ -284,6 +284,27 @@ WITH l AS (SELECT l_orderkey, l_linenumber, l_quantity / 4 AS v FROM lineitem),
 t AS (SELECT l_orderkey, l_linenumber, v, CAST(CASE WHEN v < x THEN x + 0.5 ELSE greatest(0.5, x - 0.5) END AS DOUBLE) AS target FROM l CROSS JOIN b
   UNION SELECT l_orderkey, l_linenumber, v, v * 2 FROM l UNION SELECT l_orderkey, l_linenumber, v, v / 2 FROM l WHERE v > 0.5)
 SELECT DISTINCT l_orderkey, l_linenumber, target FROM t WHERE target <> v
+""",
+    "per11_candidates": f"""
+WITH {_PARTY}, {_EVIDENCE},
+g AS (SELECT c_custkey AS tree_id, CAST(c_custkey % 70 + 1 AS BIGINT) AS age FROM customer), b AS (SELECT * FROM (VALUES (7), (12), (18), (21), (60)) t(x)),
+t AS (SELECT DISTINCT tree_id, age, CAST(CASE WHEN age >= x THEN x - 1 ELSE x END AS BIGINT) AS target FROM g CROSS JOIN b),
+y AS (SELECT tree_id, age, target, min(CASE WHEN (age >= x) <> (target >= x) THEN x END) AS crossed FROM t CROSS JOIN b WHERE target <> age GROUP BY tree_id, age, target),
+cc AS (SELECT c_custkey AS tree_id, CASE WHEN c_custkey % 4 = 0 THEN [] ELSE (['IPC-302', 'IPC-34', 'IPC-304', 'Const-21', 'IPC-999'])[CAST(c_custkey % 3 + 1 AS INTEGER) : CAST(c_custkey % 3 + c_custkey % 4 AS INTEGER)] END AS cited FROM customer),
+cs AS (SELECT tree_id, unnest(cited) AS own, unnest(range(1, len(cited) + 1)) AS i FROM cc),
+cm AS (SELECT tree_id, i, (SELECT o.own FROM cs o WHERE o.tree_id = cs.tree_id AND contains(o.own, regexp_extract(cs.own, '[0-9]+[A-Za-z]?')) ORDER BY o.i LIMIT 1) AS section FROM cs),
+adj AS (SELECT * FROM (VALUES ('IPC-302', 0, 'IPC-300'), ('IPC-302', 1, 'IPC-304'), ('IPC-304', 0, 'IPC-302'), ('IPC-34', 0, 'IPC-149'), ('Const-21', 0, 'Const-14'), ('Const-21', 1, 'Const-19')) t(section, pos, neighbour)),
+sec AS (SELECT cm.tree_id, min(i) AS i, adj.pos, adj.section, adj.neighbour FROM cm JOIN adj ON adj.section = cm.section GROUP BY cm.tree_id, adj.pos, adj.section, adj.neighbour),
+m AS (SELECT * FROM (VALUES (0, 'DyingDeclaration'), (1, 'Confession'), (2, 'MedicalReport')) t(p, kind)),
+new AS (SELECT k.tree_id, m.kind, row_number() OVER (PARTITION BY k.tree_id ORDER BY m.p) - 1 AS v FROM k CROSS JOIN m WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.tree_id = k.tree_id AND i.kind = m.kind)),
+u AS (
+  SELECT tree_id, 0 AS s, 0 AS i, row_number() OVER (PARTITION BY tree_id ORDER BY target) AS v, 'Numerical' AS fact_type, 'age=' || CAST(age AS VARCHAR) AS original_value, 'age=' || CAST(target AS VARCHAR) AS perturbed_value,
+    'Age changed from ' || CAST(age AS VARCHAR) || ' to ' || CAST(target AS VARCHAR) || coalesce(' (crossed boundary at ' || CAST(crossed AS VARCHAR) || ')', '') AS description FROM y
+  UNION ALL SELECT tree_id, 1, i, pos, 'Section', section, neighbour, 'Section changed from ' || section || ' to ' || neighbour FROM sec
+  UNION ALL SELECT tree_id, 2, item_pos, variant_pos, 'PartyType', original_value, perturbed_value, description FROM e
+  UNION ALL SELECT tree_id, 3, 0, v, 'Evidence', 'present:' || kind, 'removed:' || kind, 'Evidence removed: ' || kind || ' (' || what || ')' FROM i
+  UNION ALL SELECT tree_id, 3, 1, v, 'Evidence', 'absent:' || kind, 'added:' || kind, 'Evidence added: ' || kind FROM new)
+SELECT tree_id, CAST(row_number() OVER (PARTITION BY tree_id ORDER BY s, i, v) AS INTEGER) AS cand_pos, fact_type, original_value, perturbed_value, description FROM u
 """,
     "per7_adjacent": """
 SELECT * FROM (VALUES ('ipc 302', 0, 'IPC-300'), ('ipc 302', 1, 'IPC-304'), ('IPC-34', 0, 'IPC-149'), ('const-21', 0, 'Const-14'), ('const-21', 1, 'Const-19')) t(section, pos, neighbour)
@@ -294,6 +315,9 @@ WITH {_EVIDENCE}, m AS (SELECT * FROM (VALUES (0, 'DyingDeclaration'), (1, 'Conf
 a AS (SELECT k.tree_id, k.n, m.kind, row_number() OVER (PARTITION BY k.tree_id ORDER BY m.p) - 1 AS v FROM k CROSS JOIN m WHERE NOT EXISTS (SELECT 1 FROM i WHERE i.tree_id = k.tree_id AND i.kind = m.kind))
 SELECT tree_id, 3 AS source_pos, 0 AS item_pos, CAST(v AS INTEGER) AS variant_pos, 'present:' || kind AS original_value, 'removed:' || kind AS perturbed_value, 'Evidence removed: ' || kind || ' (' || what || ')' AS description, n - 1 AS n_items FROM i
 UNION ALL SELECT tree_id, 3, 1, CAST(v AS INTEGER), 'absent:' || kind, 'added:' || kind, 'Evidence added: ' || kind, n + 1 FROM a
+""",
+    "tre6_depth_counts": """
+SELECT s_suppkey AS tree_id, depth, CAST(power(2, depth) AS BIGINT) AS n FROM supplier CROSS JOIN (VALUES (0), (1), (2)) t(depth) WHERE s_suppkey IN (SELECT c_custkey FROM customer)
 """,
     "tre5_depth": """
 WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey > 0 THEN CAST((n_nationkey - 1) // 2 AS BIGINT) END AS up FROM nation),
@@ -324,3 +348,8 @@ SELECT s_suppkey AS chunk_id, s_name AS name FROM supplier WHERE s_suppkey NOT I
 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 10
 """,
 }
+
+ORACLES["val4_stats"] = f"""
+WITH k AS (SELECT fact_type, original_value, perturbed_value, count(*) AS n FROM ({ORACLES["per11_candidates"]}) GROUP BY fact_type, original_value, perturbed_value)
+SELECT count(*) AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(sum(n - 1) AS BIGINT) AS cached FROM k
+"""
