@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import patterns as p
 from plumbline.operators import extract, facts
 from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, SHEET, number_text
+from plumbline.session import cut
 
 EDGE = "struct<fact_type:string,original_value:string,perturbed_value:string,description:string>"
 KEYS = ["tree_id", "node_id"]
@@ -191,7 +192,7 @@ def spans_of(nodes: DataFrame) -> DataFrame:
 
 def candidates(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     """All variants of all nodes (tree_id, node_id, sheet), with ``cand_pos`` from 1 in their order."""
-    spans = spans_of(nodes)
+    spans = cut(spans_of(nodes))  # read by four generators, found once
     out = _numeric(spans, "MONETARY_AMOUNT", amount_targets, "amounts", _amount)
     out = out.unionByName(_numeric(spans, "AGE", age_targets, "ages", _age)).unionByName(_numeric(spans, "DURATION", duration_targets, "durations", _duration))
     out = out.unionByName(section_candidates(nodes, spans, adjacency)).unionByName(party_candidates(nodes)).unionByName(evidence_candidates(nodes))
@@ -224,11 +225,13 @@ def from_verdict(raw: Column) -> Column:
 
 
 def validated(found: DataFrame, judge=None) -> DataFrame:
-    """Candidates with ``verdict`` and ``accepted``. Each distinct change is judged once and joined back."""
+    """Candidates with ``verdict`` and ``accepted``. A given judge sees each distinct change once, joined back after."""
+    if judge is None:
+        out = found.withColumn("verdict", judged_by_rule(F.col("edge.description")))
+        return out.withColumn("accepted", F.col("verdict.plausible") & F.col("verdict.operative"))
     rows = found.withColumn("_key", F.struct("edge.fact_type", "edge.original_value", "edge.perturbed_value"))
     keys = rows.groupBy("_key").agg(F.min("edge.description").alias("_what"))
-    verdict = judged_by_rule(F.col("_what")) if judge is None else from_verdict(judge(F.col("_what")))
-    keys = keys.select("_key", verdict.alias("verdict"))
+    keys = keys.select("_key", from_verdict(judge(F.col("_what"))).alias("verdict"))
     out = rows.join(keys, "_key").drop("_key")
     return out.withColumn("accepted", F.col("verdict.plausible") & F.col("verdict.operative"))
 
