@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import chunking, evaluate, explain, extract, text
-from plumbline.session import table
+from plumbline.session import spread, table
 
 #: A cause list and legal phrases set around every text, since the invented prose of the tables has none.
 FRAME = (
@@ -16,7 +16,7 @@ FRAME = (
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def framed(spark: SparkSession, sf_dir: str) -> DataFrame:
