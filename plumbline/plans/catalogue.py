@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators import ranking
-from plumbline.plans import corpus, counterfactual, relational, retrieval
+from plumbline.plans import corpus, counterfactual, records, relational, retrieval
 from plumbline.session import table
 
-_PARTS = (retrieval, corpus, counterfactual, relational)
+_PARTS = (retrieval, corpus, counterfactual, records, relational)
 
 QUERIES = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
