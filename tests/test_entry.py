@@ -12,7 +12,7 @@ def test_names_of_queries_and_oracles():
     import __spark_entry__ as e
 
     queries, oracles = e.queries(), e.oracle_sql()
-    assert set(oracles) <= set(queries) and len(queries) >= 80
+    assert set(oracles) <= set(queries) and len(queries) >= 120
 
 
 def test_the_rest_works_without_the_training_text_operators(tmp_path):
@@ -26,7 +26,7 @@ def test_the_rest_works_without_the_training_text_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert not any(n.startswith('op') for n in q); assert 'pipeline' not in q; print(len(q), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
-    assert int(out.stdout.split()[0]) >= 70
+    assert int(out.stdout.split()[0]) >= 110
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables are not here")
