@@ -15,7 +15,8 @@ bands of 4.
 
 Cases: a null text or one without words has an empty set and no link; a text with fewer words than a shingle is one
 shingle; equal ids are one node; a null id joins the component of equal sets and is kept only if it has no other id;
-an empty table gives an empty result; other columns are ignored.
+an empty table gives an empty result; other columns are ignored. ``without_near_copies`` numbers the rows first, so
+there every row is a node of its own.
 """
 
 from __future__ import annotations
@@ -226,7 +227,18 @@ def _rest(buckets: DataFrame, centres: DataFrame, star: DataFrame, texts: DataFr
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component, the one with the smallest id; of equal ids one row stays."""
-    found = near_duplicates(docs, id_col, text_col, shingle, percent)
-    gone = cut(found.where("NOT kept").select(F.col(id_col).alias("id")).distinct())
-    return rows_with_ids(docs, gone, id_col, "id", without=True)
+    """``docs`` with one row of each component, the one with the smallest id (null last), of equal ids the first.
+
+    All columns are staged with a row number, which is the node: a row goes for its own text alone, whatever other rows
+    have its id, and rows of equal or near texts are copies of each other also under one id or none.
+    """
+    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()))
+    found = near_duplicates(rows, "_row", text_col, shingle, percent).select("_row", F.col("component_id").alias("component"))
+    several = cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component"))
+    members = cut(found.join(several, "component"))
+    ids = rows_with_ids(rows.select("_row", F.col(id_col).alias("_id")), members.select("_row"), "_row", "_row")
+    first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_row").alias("row")))["row"]
+    named = members.join(ids, "_row")
+    kept = named.groupBy("component").agg(first.alias("_row")).select("_row")
+    gone = cut(members.select("_row").join(kept, "_row", "left_anti"))
+    return rows_with_ids(rows, gone, "_row", "_row", without=True).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -75,6 +75,22 @@ def test_pipeline_stage_keeps_one(documents):
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
+def test_pipeline_stage_goes_by_rows(documents):
+    def kept(rows):
+        return sorted(((r["doc_id"], r["text"]) for r in minhash.without_near_copies(documents(rows)).collect()), key=str)
+
+    own = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcd"]
+    near = own[0] + " tail"
+    # Null ids: copies of a named text go, unrelated texts stay, and of equal ones one stays.
+    assert kept([(4, own[0]), (None, own[0]), (None, near), (None, own[1]), (None, own[2]), (None, own[2])]) == sorted([(4, own[0]), (None, own[1]), (None, own[2])], key=str)
+    # One id with two texts, of which one is a near copy of another document.
+    assert kept([(1, own[0]), (2, near), (2, own[1]), (3, own[1] + " tail"), (0, own[3])]) == sorted([(0, own[3]), (1, own[0]), (2, own[1])], key=str)
+    # Repeated rows and near copies under one id, and the smallest id not in the first row.
+    assert kept([(7, own[1]), (5, own[1]), (5, own[1]), (6, own[2]), (6, own[2]), (8, None), (8, None)]) == sorted([(5, own[1]), (6, own[2]), (8, None), (8, None)], key=str)
+    assert len(kept([(9, own[3]), (9, own[3] + " tail")])) == 1
+    assert kept([]) == []
+
+
 def test_components_of_paths_stars_and_loops(spark):
     links = [(i, i + 1) for i in range(100, 200)] + [(5, x) for x in range(6, 40)] + [(7, 7), (1, 2), (2, 1), (2, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
