@@ -13,6 +13,9 @@ value alone: equal values stay equal in all documents, different ones stay diffe
 Round keys are SHA-512 hashes. Kept as they are: the country of an IBAN, the part of a phone number before its first
 separator, and the domain of a mail address.
 
+A text in which a candidate fails its check is read a second time, every place where a form fits by itself, and only
+the valid values are taken: what fails never hides a valid value that it covers or overlaps.
+
 Cases: a null text stays null and has no value; a text without candidates is passed on as it is; values that fail their
 check stay; rows are independent, so repeated rows, null ids and other columns do not matter; an empty table gives an
 empty result.
@@ -30,17 +33,48 @@ LOWER_MORE, UPPER_MORE = "àáâãäåæçèéêëìíîïñòóôõöøùúûü
 CLASSES = (DIGITS, LOWER, UPPER, LOWER_MORE, UPPER_MORE)
 HEX_LOWER, HEX_UPPER = (DIGITS + "abcdef",), (DIGITS + "ABCDEF",)
 
+#: Characters of an IBAN by country; other countries and lengths have the general form.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_of(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+IBANS = "|".join(_iban_of(*x) for x in IBAN_LENGTHS.items())
+OTHER_IBANS = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _L = r"[\p{L}\p{N}._%+\-]"
+_DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
+_PHONE = r"(?<![0-9])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4})"
+#: What must follow the kinds that have a check. A slash may part two whole dates.
+TAILS = {
+    "iban": r"(?![A-Za-z0-9])",
+    "card": r"(?![0-9])",
+    "ssn": r"(?![0-9\-])",
+    "date": rf"(?:(?![0-9./\-]?[0-9])|(?=/{_DATE}(?![0-9./\-]?[0-9])))",
+    "ip": r"(?!\.?[0-9])",
+    "phone": r"(?![0-9])",
+}
 #: Forms of the kinds, in order of precedence.
 FORMS = {
     "email": rf"(?<!{_L}){_L}{{1,64}}+@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}",
     "secret": r"(?i:\b(?:token|secret|password|api[_\-]?key|access[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{16,128}+",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<![0-9])(?:[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5}|[0-9]{13,19})(?![0-9])",
-    "ssn": r"(?<![0-9\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\-])",
-    "date": r"(?<![0-9./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9./\-]?[0-9])",
-    "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .\-]?)?(?<![0-9])\([0-9]{2,4}\)[ .\-]?[0-9]{3,4}[ .\-]?[0-9]{3,4}(?![0-9])|(?<![0-9])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4}){2,5}(?![0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:(?:{IBANS}){TAILS['iban']}|{OTHER_IBANS}{TAILS['iban']})",
+    "card": rf"(?<![0-9])(?:[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}|[0-9]{{13,19}}){TAILS['card']}",
+    "ssn": rf"(?<![0-9\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{TAILS['ssn']}",
+    "date": rf"(?:(?<![0-9./\-])|(?<=(?<![0-9./\-]){_DATE}/)){_DATE}{TAILS['date']}",
+    "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{TAILS['ip']}",
+    "phone": rf"(?:\+[0-9]{{1,3}}[ .\-]?)?(?<![0-9])\([0-9]{{2,4}}\)[ .\-]?[0-9]{{3,4}}[ .\-]?[0-9]{{3,4}}{TAILS['phone']}|{_PHONE}{{2,5}}{TAILS['phone']}",
+}
+#: The lengths that a candidate may have at one place, where the form alone takes the longest.
+LENGTHS = {
+    "iban": [FORMS["iban"], rf"(?<![A-Za-z0-9]){OTHER_IBANS}{TAILS['iban']}"],
+    "phone": [FORMS["phone"], *[f"{_PHONE}{{{n}}}{TAILS['phone']}" for n in (4, 3, 2)]],
 }
 ANY = "|".join(f"(?:{x})" for x in FORMS.values())
 KINDS = tuple(FORMS)
@@ -199,6 +233,20 @@ def _kind(value: Column) -> Column:
     return out
 
 
+def _valid_only() -> Column:
+    """A pattern like ``ANY`` for the row's text, with the valid values in place of the forms that have a check.
+
+    Every place where a form fits is tried by itself, so a candidate that fails cannot cover a valid one.
+    """
+    parts = [F.lit("|".join(f"(?:{FORMS[k]})" for k in KINDS if k not in TAILS))]
+    for kind, tail in TAILS.items():
+        every = F.concat(*[F.regexp_extract_all("text", F.lit(f"(?=({x}))"), F.lit(1)) for x in LENGTHS.get(kind, [FORMS[kind]])])
+        good = F.array_sort(F.filter(F.array_distinct(every), lambda v: valid(v, kind)), lambda a, b: F.length(b) - F.length(a))  # noqa: B023
+        values = F.array_join(F.transform(good, lambda v: F.concat(F.lit(r"\Q"), v, F.lit(r"\E"))), "|")
+        parts.append(F.when(F.size(good) > 0, F.concat(F.lit(f"(?:(?={FORMS[kind]})(?:"), values, F.lit(f"){tail})"))))
+    return F.concat_ws("|", *parts)
+
+
 def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text with pseudonyms, n_private and a count per kind (n_email, n_secret, ...)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -206,6 +254,12 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     # Only texts with a digit or an at sign can hold a candidate.
     found = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|(?i:token|secret|password|key)"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
     kinds = found.withColumn("kinds", F.transform("found", _kind))
+    # Where a candidate failed its check, the text is read again for the valid values alone.
+    kinds = kinds.withColumn("pattern", F.when(F.exists("kinds", lambda k: k.isNull()), _valid_only()).otherwise(ANY))
+    again = F.col("pattern") != ANY
+    kinds = kinds.withColumn("found", F.when(again, F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).otherwise(F.col("found")))
+    kinds = kinds.withColumn("kinds", F.when(again, F.transform("found", _kind)).otherwise(F.col("kinds")))
+
     def swap(pair: Column) -> Column:
         out = None
         for kind in KINDS:
@@ -214,7 +268,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
 
     pairs = F.arrays_zip(F.col("found").alias("value"), F.col("kinds").alias("kind"))
     swapped = kinds.withColumn("new", F.transform(pairs, swap))
-    pieces = F.arrays_zip(F.split("text", ANY, -1).alias("plain"), F.col("new").alias("new"))
+    pieces = F.arrays_zip(F.split("text", F.col("pattern"), -1).alias("plain"), F.col("new").alias("new"))
     whole = F.array_join(F.transform(pieces, lambda p: F.concat(p["plain"], F.coalesce(p["new"], F.lit("")))), "")
     private = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).cast("long")
     return swapped.select(

@@ -95,6 +95,25 @@ def test_formats_stay_valid(spark):
     assert got["n_private"] == 5
 
 
+HIDDEN = {
+    "ES9121000418450200051332 BIC": ("iban", 1), "AT61 1904 3002 3457 3201 EUR": ("iban", 1), "AT611904300234573201 2024": ("iban", 1),
+    "AB12 CDEF GHIJ 4111 1111 1111 1111": ("card", 1), "ES12 CDEF GHIJ 4111 1111 1111 1111": ("card", 1), "2024 4111 1111 1111 1111": ("card", 1),
+    "2020-01-01/2020-02-01": ("date", 2), "99/99/2020 then 01/02/2020/03/04/2020": ("date", 2), "+49 30 1234 5678 2024 1234 and 1.2.3.4": ("phone", 1),
+    "AB12 CDEF GHIJ bob@x.org 999.1.1.1 4111111111111111": ("card", 1),
+}
+
+
+def test_failed_candidates_hide_nothing(spark):
+    got = run(spark, *HIDDEN)
+    assert [(t, r[f"n_{kind}"]) for r, (t, (kind, _)) in zip(got, HIDDEN.items(), strict=True)] == [(t, n) for t, (_, n) in HIDDEN.items()]
+    alone = run(spark, "ES9121000418450200051332", "AT61 1904 3002 3457 3201", "4111 1111 1111 1111", "2020-01-01", "2020-02-01")
+    spanish, austrian, card, first, second = (r["text"] for r in alone)
+    texts = [r["text"] for r in got]
+    assert texts[0] == spanish + " BIC" and texts[1] == austrian + " EUR" and texts[2] == austrian.replace(" ", "") + " 2024"
+    assert texts[3] == "AB12 CDEF GHIJ " + card and texts[4] == "ES12 CDEF GHIJ " + card and texts[5] == "2024 " + card
+    assert texts[6] == f"{first}/{second}" and got[8]["n_ip"] == 1 and got[9]["n_email"] == 1
+
+
 def test_links_hold_across_documents_and_layouts(spark):
     a, b, c = run(spark, "x 4111-1111-1111-1111 y", "4111111111111111 and bob.1@x.org", "bob.1@x.org bob.1@x.org +1 (017) 555-7713 +1 017 555 7713")
     card = a["text"].split()[1].replace("-", "")
