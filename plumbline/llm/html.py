@@ -8,8 +8,9 @@ sidebar or comment) mark their lines as outside.
 The ratio of text to tags of every line is smoothed by a Gaussian over its neighbours, and lines split into two
 clusters at a threshold: the mean of the lower and of the upper lines' means, found by iteration. Content regions are
 then chosen by the text of their upper lines: the article with the most; without an article, the main element with the
-most; without either, the run of lines from the first to the last upper line, with the headings right before it. A
-chosen region is kept whole, save for the lines that are outside.
+most; without either, the innermost block of divisions that holds all text of upper lines, with the headings right
+before it. A chosen region is kept whole, save for the lines that are outside. On a page with a single article or main
+element the ratio therefore decides nothing.
 
 Blocks are joined by line breaks; white space inside a block becomes one space; character references are decoded.
 
@@ -54,6 +55,10 @@ OUTSIDE_NAMES = frozenset(
 #: Region elements are only outside if their whole class or id says so.
 REGIONS = frozenset("article main body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of which one may be chosen where there is no article or main element.
+CONTAINERS = frozenset("body center div section".split())
+#: What may stand in a head; the start of anything else, or text, closes it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An open element is closed by the start of one of these.
 CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]), "option": frozenset(["option"])}
 
@@ -81,8 +86,9 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, outside, region
-        self.lines: list[tuple[str, int, int, bool, int, bool]] = []  # text, tags, linked, outside, region, heading
+        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, outside, region, container, container of its lines
+        self.lines: list[tuple[str, int, int, bool, int, bool, int]] = []  # text, tags, linked, outside, region, heading, container
+        self.parents = [0]  # of each container; 0 is the page
         self.parts: list[str] = []
         self.tags = self.linked = self.links = self.regions = 0
         self.kinds: dict[int, str] = {0: ""}
@@ -94,15 +100,22 @@ class Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             outside, region = self.state()
-            self.lines.append((text, self.tags, self.linked, outside, region, bool(self.open) and any(t in HEADINGS for t, _, _ in self.open[-3:])))
+            self.lines.append((text, self.tags, self.linked, outside, region, bool(self.open) and any(x[0] in HEADINGS for x in self.open[-3:]), self.open[-1][4] if self.open else 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, depth: int) -> None:
-        for tag, _, _ in self.open[depth:]:
-            self.links -= tag == "a"
+        for x in self.open[depth:]:
+            self.links -= x[0] == "a"
         del self.open[depth:]
 
+    def end_head(self) -> None:
+        if self.open and self.open[-1][0] == "head":
+            self.end_line()
+            self.pop_to(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self.end_head()
         outside, region = self.state()
         own_outside = tag in OUTSIDE or named_outside(tag, attrs)
         if tag in BLOCKS or own_outside:
@@ -119,7 +132,14 @@ class Lines(HTMLParser):
             self.regions += 1
             region = self.regions
             self.kinds[region] = tag
-        self.open.append((tag, outside or own_outside, region))
+        box, line_box = self.open[-1][3:] if self.open else (0, 0)
+        if tag in BLOCKS:
+            # Text right in a container is a paragraph of the container around it.
+            line_box = box
+        if tag in CONTAINERS:
+            self.parents.append(box)
+            box = len(self.parents) - 1
+        self.open.append((tag, outside or own_outside, region, box, line_box))
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -139,6 +159,8 @@ class Lines(HTMLParser):
             self.parts.append(" ")
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self.end_head()
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -167,6 +189,19 @@ def threshold(values: np.ndarray) -> float:
     return at
 
 
+def inner_block(parents: list[int], boxes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which lines are in the innermost container with the greatest sum of sizes; parents come before what they hold."""
+    held = np.bincount(boxes, sizes, len(parents)).tolist()
+    for k in range(len(parents) - 1, 0, -1):
+        held[parents[k]] += held[k]
+    best = max(k for k, x in enumerate(held) if x == held[0])
+    inside = np.zeros(len(parents), bool)
+    inside[best] = True
+    for k in range(best + 1, len(parents)):
+        inside[k] = inside[parents[k]]
+    return inside[boxes]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -194,12 +229,12 @@ def main_text(page: str | None) -> str:
             break
     else:
         if upper.any():
-            first, last = int(np.argmax(upper)), len(lines) - 1 - int(np.argmax(upper[::-1]))
+            within = inner_block(parser.parents, np.array([x[6] for x in lines]), np.where(upper, sizes, 0.0))
+            first = int(np.argmax(within))
             while first > 0 and lines[first - 1][5] and not outside[first - 1]:
                 first -= 1
-            chosen[:first] = False
-            chosen[last + 1 :] = False
-            chosen &= np.array([x[2] < 0.8 * max(1, len(x[0])) for x in lines])
+                within[first] = True
+            chosen &= within
     return "\n".join(x[0] for x, c in zip(lines, chosen, strict=True) if c)
 
 

@@ -24,6 +24,30 @@ PAGES = {
 }
 
 
+LINE = " ".join(LONG.split())
+SHORT = "".join(f"<p>Short {i}.</p>" for i in range(9))
+SHORT_LINES = "\n".join(f"Short {i}." for i in range(9))
+WHOLE = {
+    "head left open": (f"<html><head><title>T</title><meta charset=x><script>x</script><body><article><p>{LONG}</p></article>", LINE),
+    "head and body left open": (f"<head><link rel=x><style>x</style><noscript><img></noscript><p>{LONG}</p>", LINE),
+    "head ended by text": ("<head><title>T</title>words", "words"),
+    "short paragraphs at both ends": (f"<body><div class=menu>m</div><div>{SHORT}<p>{LONG}</p><p>{LONG}</p>{SHORT}</div>", "\n".join([SHORT_LINES, LINE, LINE, SHORT_LINES])),
+    "divisions as paragraphs": (f"<body><div><div>{LONG}</div>" + SHORT.replace("p>", "div>") + "</div>", f"{LINE}\n{SHORT_LINES}"),
+    "linked line": (f"<body><div><p>{LONG}</p><p><a href=x>All of this line is a link</a></p><p>{LONG}</p></div>", f"{LINE}\nAll of this line is a link\n{LINE}"),
+    "beside the block": (f"<body><div><a href=1>x</a></div><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div>", f"Title\n{LINE}\n{LINE}"),
+}
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_nothing_else_is_lost(name):
+    page, want = WHOLE[name]
+    assert main_text(page) == want
+
+
+def test_deep_pages_without_an_article():
+    assert main_text("<div>" * 20_000 + f"<p>{LONG}</p><p>End</p>") == LINE + "\nEnd"
+
+
 @pytest.mark.parametrize("name", PAGES)
 def test_main_text(name):
     page, want = PAGES[name]
