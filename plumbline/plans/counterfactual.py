@@ -125,9 +125,8 @@ def lists_by_hash(nodes: DataFrame) -> DataFrame:
 
 
 def tre3_expanded(spark, sf_dir):
-    """Trees of all suppliers' namesakes among the customers, two levels, three children."""
-    own = sheets(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tree_id")), "tree_id", "left_semi")
-    nodes, _ = tree.expand(own.select("tree_id", "sheet"), adjacency(spark), lists_by_hash, max_depth=2, max_children=3)
+    """Trees of all customers at the operator's own depth and children."""
+    nodes, _ = tree.expand(sheets(spark, sf_dir).select("tree_id", "sheet"), adjacency(spark), lists_by_hash)
     return nodes.select("tree_id", "node_id", "parent_id", "depth", "edge.description")
 
 

@@ -172,3 +172,17 @@ def test_validators(spark):
     df = spark.createDataFrame([("Tenant", ["IPC-302", " IPC 5 ", "odd"]), ("Alien", None), (None, [])], "p string, s array<string>")
     got = [tuple(r) for r in df.select(facts.valid_party(F.col("p")), facts.valid_sections(F.col("s"))).collect()]
     assert got == [("Tenant", ["IPC-302", "IPC-5", "odd"]), ("Unknown", []), (None, [])]
+
+
+def test_every_sheet_has_a_tree_of_full_depth_and_width(spark, tmp_path):
+    from plumbline.plans import counterfactual
+
+    spark.range(1, 13).selectExpr("id AS c_custkey", "CAST(id * 1000.5 AS DOUBLE) AS c_acctbal", "'x' AS c_mktsegment", "id % 25 AS c_nationkey").write.parquet(str(tmp_path / "customer.parquet"))
+    nodes = counterfactual.tre3_expanded(spark, str(tmp_path)).collect()
+    assert {r["tree_id"] for r in nodes} == set(range(1, 13)) and max(r["depth"] for r in nodes) == 3
+    children = {}
+    for r in nodes:
+        if r["parent_id"] is not None:
+            key = (r["tree_id"], r["parent_id"])
+            children[key] = children.get(key, 0) + 1
+    assert max(children.values()) == 5 and all(children[(t, 0)] == 5 for t in range(1, 13))
