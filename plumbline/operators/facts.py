@@ -57,17 +57,39 @@ def extract_by_rules(text: Column) -> Column:
     ).cast(SHEET)
 
 
-def from_answer(raw: Column) -> Column:
-    """A fact sheet from a model's answer: without code fences, from the first to the last brace; null if it is no JSON."""
-    bare = F.regexp_replace(F.trim(raw), r"(?s)\A```[a-z]*\s*(.*?)\s*```.*\z", "$1")
-    sheet = F.from_json(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), SHEET)
-    return F.when(sheet["case_id"].isNotNull(), sheet)
-
+def from_answer(raw: Column, case_id: Column) -> Column:
+    """A valid fact sheet from a model's answer: without code fences, from the first to the last brace; null if it is no JSON.
 
-def extract_sheets(facts: DataFrame, answer: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Rows (case_id, facts) with ``sheet``: by ``answer`` (text to JSON, say a pandas UDF around a model), else by rules."""
-    sheet = extract_by_rules(F.col("facts")) if answer is None else from_answer(answer(F.substring("facts", 1, 12000)))
-    return facts.withColumn("sheet", sheet)
+    An answer without a case id gets ``case_id``; parties and sections go through their validators.
+    """
+    bare = F.regexp_replace(F.trim(raw), r"(?s)\A```[a-z]*\s*(.*?)\s*```.*\z", "$1")
+    json = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    sheet = F.from_json(json, SHEET)
+    own = F.coalesce(F.nullif(sheet["case_id"], F.lit("")), case_id.cast("string"), F.lit("unknown"))
+    parties = F.when(
+        sheet["parties"].isNotNull(),
+        F.struct(valid_party(sheet["parties"]["petitioner_type"]).alias("petitioner_type"), valid_party(sheet["parties"]["respondent_type"]).alias("respondent_type")),
+    )
+    valid = sheet.withField("case_id", own).withField("parties", parties).withField("sections_cited", valid_sections(sheet["sections_cited"]))
+    return F.when(sheet["case_id"].isNotNull() | F.try_parse_json(json).isNotNull(), valid)
+
+
+def extract_sheets(
+    facts: DataFrame, answer: Callable[[Column], Column] | None = None, second: Callable[[Column], Column] | None = None, id_col: str = "case_id"
+) -> DataFrame:
+    """Rows (``id_col``, facts) with ``sheet``: by ``answer`` (text to JSON, say a pandas UDF around a model), else by rules.
+
+    ``second`` is asked where the first answer gave no sheet, say with an example in its prompt; elsewhere its text is
+    null, which a model should pass over.
+    """
+    if answer is None:
+        return facts.withColumn("sheet", extract_by_rules(F.col("facts")))
+    text = F.substring("facts", 1, 12000)
+    first = facts.withColumn("sheet", from_answer(answer(text), F.col(id_col)))
+    if second is None:
+        return first
+    again = second(F.when(F.col("sheet").isNull(), text))
+    return first.withColumn("sheet", F.when(F.col("sheet").isNull(), from_answer(again, F.col(id_col))).otherwise(F.col("sheet")))
 
 
 def not_yet_stored(cases: DataFrame, stored: DataFrame, max_cases: int | None = None) -> DataFrame:

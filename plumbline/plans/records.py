@@ -177,7 +177,7 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
         sheet = F.concat(F.lit('{"case_id": "'), F.md5(prompt), F.lit('", "outcome": "'), F.length(prompt).cast("string"), F.lit('"}'))
         return F.when(F.col("doc_id") % 3 == 0, "I cannot tell.").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("```json\n"), sheet, F.lit("\n```"))).otherwise(F.concat(F.lit("Here: "), sheet, F.lit(" Done.")))
 
-    return facts.extract_sheets(docs, answer)
+    return facts.extract_sheets(docs, answer, id_col="doc_id")
 
 
 def fe1_answered_sheets(spark, sf_dir):

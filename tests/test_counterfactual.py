@@ -168,6 +168,22 @@ def test_rule_sheets_and_answers(spark):
     assert facts.extraction_stats(answered).first()["n_failed"] == 2
 
 
+def test_answers_are_completed_validated_and_asked_twice(spark):
+    df = spark.createDataFrame([("a", "none"), ("b", "empty"), ("c", "bad"), ("d", "twice"), (None, "none")], "case_id string, facts string")
+
+    def answer(c):
+        whole = F.lit('{"parties": {"petitioner_type": "Alien", "respondent_type": "Tenant"}, "sections_cited": [" IPC 5 "]}')
+        return F.when(c == "none", whole).when(c == "empty", F.lit('{"case_id": "", "outcome": "x"}')).when(c == "bad", F.lit('{"outcome": '))
+
+    second = lambda c: F.when(c == "twice", F.lit('{"case_id": "late"}')).when(c == "bad", F.lit("no {at all}")).when(c.isNotNull(), F.lit('{"case_id": "wrong"}'))
+    once = {r["case_id"]: r["sheet"] for r in facts.extract_sheets(df, answer).collect()}
+    assert once["a"]["case_id"] == "a" and once["b"]["case_id"] == "b" and once[None]["case_id"] == "unknown"
+    assert tuple(once["a"]["parties"]) == ("Unknown", "Tenant") and once["a"]["sections_cited"] == ["IPC-5"]
+    assert once["c"] is None and once["d"] is None
+    twice = {r["case_id"]: r["sheet"] for r in facts.extract_sheets(df, answer, second).collect()}
+    assert twice["d"]["case_id"] == "late" and twice["c"] is None and twice["a"] == once["a"] and twice["b"] == once["b"]
+
+
 def test_validators(spark):
     df = spark.createDataFrame([("Tenant", ["IPC-302", " IPC 5 ", "odd"]), ("Alien", None), (None, [])], "p string, s array<string>")
     got = [tuple(r) for r in df.select(facts.valid_party(F.col("p")), facts.valid_sections(F.col("s"))).collect()]
