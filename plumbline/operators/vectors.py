@@ -23,10 +23,11 @@ QUERY_BLOCK = 2048
 DECIMALS = 9
 
 
-def matrix(column: pa.Array, dims: tuple[int, int] | None) -> np.ndarray:
-    """Rows of an Arrow list column as a matrix; a row that is null or of another length becomes zeros."""
+def matrix(column: pa.Array, dims: tuple[int, int] | None, width: int | None = None) -> np.ndarray:
+    """Rows of an Arrow list column as a matrix of a width (default: the longest row's); a row that is null or of another length becomes zeros."""
     lengths = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    width = int(lengths.max()) if len(lengths) else 0
+    if width is None:
+        width = int(lengths.max()) if len(lengths) else 0
     if len(lengths) and (lengths == width).all() and column.null_count == 0:
         out = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lengths), width)
     else:
@@ -53,11 +54,11 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _search(names: list, queries: np.ndarray, k: int, cosine: bool, dims: tuple[int, int] | None):
+def _search(names: list, queries: np.ndarray, k: int, cosine: bool, dims: tuple[int, int] | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = matrix(batch.column(1), dims)
-            if not len(rows) or rows.shape[1] != queries.shape[1]:
+            rows = matrix(batch.column(1), dims, width)
+            if not len(rows):
                 continue
             scores = np.round(queries @ (normalised(rows) if cosine else rows).T, DECIMALS) + 0.0
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -84,7 +85,8 @@ def top_k(
     """query_id, id, score and rank (from 1) of the ``k`` best vectors for every row of ``queries`` (query_id, vector).
 
     ``metric``: ``cosine`` or ``dot``; ``dims``: a range of dimensions to use; ``where``: a filter on ``vectors``, pushed
-    to their scan. Ties go to the smaller id. Zero vectors have cosine 0.
+    to their scan. Ties go to the smaller id. Zero vectors have cosine 0, as have null ones
+    and those of another length than the queries'.
     """
     spark = vectors.sparkSession
     python_ready(spark, 4096)
@@ -99,9 +101,10 @@ def top_k(
         table = own.toArrow()
         if not table.num_rows:
             continue
-        q = matrix(table.column("vector").combine_chunks(), dims)
+        whole = matrix(table.column("vector").combine_chunks(), None)
+        q = whole if dims is None else whole[:, dims[0] : dims[1]]
         names = table.column("query_id").to_pylist()
-        run = _search(names, normalised(q) if metric == "cosine" else q, k, metric == "cosine", dims)
+        run = _search(names, normalised(q) if metric == "cosine" else q, k, metric == "cosine", dims, whole.shape[1])
         parts.append(rows.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double"))
     if not parts:
         return spark.createDataFrame([], T.StructType.fromDDL(f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int"))

@@ -35,6 +35,15 @@ def ranked(spark, lists):
     return spark.createDataFrame(data, "query_id int, ranker_pos int, id string, rank int")
 
 
+def test_a_vector_of_another_length_hides_no_neighbour(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 1.0]), (2, [0.0, 1.0, 1.0, 0.0]), (3, [1.0, 0.0, 0.0, 1.0, 5.0]), (4, None), (5, [1.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 1.0])], "query_id long, vector array<double>")
+    for dims in (None, (2, 4)):
+        got = {r["id"]: round(r["score"], 6) for r in vectors.top_k(v, q, 9, dims=dims).collect()}
+        assert got == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
+
+
 def test_fusion_golden_values(spark):
     got = rows(ranking.fuse(ranked(spark, ["abcd", "cbea"])).orderBy("rank"))
     want = {"c": 0.0910973085, "b": 0.0909090909, "a": 0.0892857143, "e": 0.0434782609, "d": 0.0416666667}
