@@ -53,6 +53,14 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def few(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
+    """``df`` in at most one task for every ``per_task`` of its ``rows``, so that little work is not dealt out as dust.
+
+    A table that fits one task needs no shuffle at all in what follows; a large one keeps its partitions.
+    """
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, so that lost executors cost no recomputation."""
     shared_dir(df.sparkSession)
@@ -60,7 +68,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Like :func:`cut`, as a compressed Parquet table: for wide rows of which later steps read a few columns."""
+    """Like :func:`cut`, as a compressed Parquet table that :func:`release` deletes as soon as nothing needs it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
