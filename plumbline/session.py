@@ -58,7 +58,10 @@ def few(df: DataFrame, rows: int, per_task: int = 250_000) -> DataFrame:
 
     A table that fits one task needs no shuffle at all in what follows; a large one keeps its partitions.
     """
-    return df.coalesce(max(1, -(-rows // per_task)))
+    out = df.coalesce(max(1, -(-rows // per_task)))
+    if "_staged_path" in df.__dict__:
+        out._staged_path = df._staged_path
+    return out
 
 
 def cut(df: DataFrame) -> DataFrame:
