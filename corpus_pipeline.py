@@ -21,8 +21,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: five-word shingles, similarity 0.8 or more."""
-    return minhash.without_near_copies(docs, shingle=5, percent=80)
+    """One document of each component stays, by the definition of ``op1_minhash``: two-word shingles, similarity 0.8 or more."""
+    return minhash.without_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
