@@ -35,7 +35,7 @@ from plumbline.session import few, python_ready, release, staged
 
 BANDS, ROWS = 32, 4
 #: Bytes of sets outside the largest component and of sets at all that one block of step 3 compares, about.
-SMALL_BLOCK, FULL_BLOCK = 1 << 18, 1 << 21
+SMALL_BLOCK, FULL_BLOCK = 1 << 19, 1 << 19
 #: Rows of one task at least: rows with a signature, and pairs to compare on their sets.
 SIGNED, COMPARED = 25_000, 4_000
 
