@@ -6,11 +6,10 @@ with the number of tags and of linked characters in it and the place in the tree
 sidebar or comment) mark their lines as outside.
 
 The ratio of text to tags of every line is smoothed by a Gaussian over its neighbours, and lines split into two
-clusters at a threshold: the mean of the lower and of the upper lines' means, found by iteration. Content regions are
-then chosen by the text of their upper lines: the article with the most; without an article, the main element with the
-most; without either, the innermost block of divisions that holds all text of upper lines, with the headings right
-before it. A chosen region is kept whole, save for the lines that are outside. On a page with a single article or main
-element the ratio therefore decides nothing.
+clusters at a threshold: the mean of the lower and of the upper lines' means, found by iteration. The content region is
+then found by walking down from the page: into the block that holds all text of upper lines, or into the article or
+main element that holds more than half of it. The region is kept whole, short lines included, with the headings right
+before it, save for the lines that are outside. An outside element within a line is cut out and leaves the line whole.
 
 Blocks are joined by line breaks; white space inside a block becomes one space; character references are decoded.
 
@@ -45,18 +44,27 @@ OUTSIDE = frozenset(
     "aside audio button canvas datalist dialog footer form head header iframe input map math menu nav noscript object"
     " option script select style svg template textarea title video".split()
 )
-#: Words of a class, an id or a role that name what is not main text.
+#: Words of a class, an id or a role that name what is not main text, on any element.
 OUTSIDE_NAMES = frozenset(
-    "ad ads adsense advert adverts advertisement advertising aside banner breadcrumb breadcrumbs comment comments complementary"
-    " contentinfo cookie cookies consent disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice"
-    " notices pager pagination popup promo promoted promotion recommended related replies reply respond search share sharing"
-    " sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adsense advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie"
+    " cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter pager pagination promo promoted share sharing"
+    " sidebar signup sponsor sponsored subscribe toolbar widget widgets".split()
 )
-#: Region elements are only outside if their whole class or id says so.
+#: The same where the element is one that only groups others: as names of a paragraph they may tell what it is about.
+GROUP_NAMES = OUTSIDE_NAMES | frozenset(
+    "aside banner complementary login notice notices popup promotion recommended related replies reply respond search social".split()
+)
+GROUPS = frozenset("div section ul ol dl table aside nav header footer form figure details fieldset center".split())
+#: Words that may stand beside such a name in a compound like ``main-nav`` or ``share-buttons``.
+BESIDE = frozenset(
+    "area bar block bottom box button buttons container content fixed global group header icon icons inner item items left link links list main"
+    " mobile outer page panel post posts primary right row secondary section site small sticky text thread title top unit wrap wrapper".split()
+)
+#: Region elements are only outside if a name stands alone in their class or id.
 REGIONS = frozenset("article main body html".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Blocks of which one may be chosen where there is no article or main element.
-CONTAINERS = frozenset("body center div section".split())
+#: Blocks of which one may be the content region.
+CONTAINERS = frozenset("article body center div main section".split())
 #: What may stand in a head; the start of anything else, or text, closes it.
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 #: An open element is closed by the start of one of these.
@@ -72,12 +80,12 @@ def named_outside(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         value = (value or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and re.search(r"display\s*:\s*none", value)):
             return tag not in ("html", "body")
-        if key in ("class", "id", "role"):
-            if tag in ("html", "body"):
-                continue
-            names = value.split() if tag in REGIONS else _NAME.findall(value)
-            if any(n in OUTSIDE_NAMES for n in names):
-                return True
+        if key in ("class", "id", "role") and tag not in ("html", "body"):
+            known = GROUP_NAMES if tag in GROUPS else OUTSIDE_NAMES
+            for name in value.split():
+                parts = [name] if tag in REGIONS else _NAME.findall(name)
+                if any(p in known for p in parts) and all(p in known or p in BESIDE for p in parts):
+                    return True
     return False
 
 
@@ -86,26 +94,24 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int, int, int]] = []  # tag, outside, region, container, container of its lines
-        self.lines: list[tuple[str, int, int, bool, int, bool, int]] = []  # text, tags, linked, outside, region, heading, container
+        self.open: list[tuple[str, bool, bool, int, int]] = []  # tag, outside, cut out of its line, container, container of its lines
+        self.lines: list[tuple[str, int, int, bool, bool, int]] = []  # text, tags, linked, outside, heading, container
         self.parents = [0]  # of each container; 0 is the page
+        self.articles: set[int] = set()
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.regions = 0
-        self.kinds: dict[int, str] = {0: ""}
-
-    def state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+        self.tags = self.linked = self.links = self.heads = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            outside, region = self.state()
-            self.lines.append((text, self.tags, self.linked, outside, region, bool(self.open) and any(x[0] in HEADINGS for x in self.open[-3:]), self.open[-1][4] if self.open else 0))
+            _, outside, _, _, box = self.open[-1] if self.open else ("", False, False, 0, 0)
+            self.lines.append((text, self.tags, self.linked, outside, self.heads > 0, box))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, depth: int) -> None:
         for x in self.open[depth:]:
             self.links -= x[0] == "a"
+            self.heads -= x[0] in HEADINGS
         del self.open[depth:]
 
     def end_head(self) -> None:
@@ -116,31 +122,29 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in IN_HEAD:
             self.end_head()
-        outside, region = self.state()
         own_outside = tag in OUTSIDE or named_outside(tag, attrs)
-        if tag in BLOCKS or own_outside:
+        if tag in BLOCKS:
             self.end_line()
             if self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
                 self.pop_to(len(self.open) - 1)
-                outside, region = self.state()
         elif tag in SPACERS:
             self.parts.append(" ")
-        self.tags += 1
+        _, outside, cut, box, line_box = self.open[-1] if self.open else ("", False, False, 0, 0)
+        self.tags += not cut
         if tag in VOID:
             return
-        if tag in ("article", "main") and not outside and self.kinds[region] != "article":
-            self.regions += 1
-            region = self.regions
-            self.kinds[region] = tag
-        box, line_box = self.open[-1][3:] if self.open else (0, 0)
         if tag in BLOCKS:
             # Text right in a container is a paragraph of the container around it.
             line_box = box
         if tag in CONTAINERS:
             self.parents.append(box)
             box = len(self.parents) - 1
-        self.open.append((tag, outside or own_outside, region, box, line_box))
+            if tag in ("article", "main"):
+                line_box = box
+                self.articles.add(box)
+        self.open.append((tag, outside or own_outside, cut or (own_outside and not outside and tag not in BLOCKS), box, line_box))
         self.links += tag == "a"
+        self.heads += tag in HEADINGS
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -148,10 +152,10 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        self.tags += not (self.open and self.open[-1][2])
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth][0] == tag:
-                if tag in BLOCKS or self.open[depth][1] != (self.open[depth - 1][1] if depth else False):
+                if tag in BLOCKS:
                     self.end_line()
                 self.pop_to(depth)
                 break
@@ -161,6 +165,8 @@ class Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if data.strip():
             self.end_head()
+        if self.open and self.open[-1][2]:
+            return
         self.parts.append(data)
         if self.links:
             self.linked += len(data)
@@ -189,15 +195,18 @@ def threshold(values: np.ndarray) -> float:
     return at
 
 
-def inner_block(parents: list[int], boxes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Which lines are in the innermost container with the greatest sum of sizes; parents come before what they hold."""
+def content_region(parents: list[int], articles: set[int], boxes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which lines are in the content region, ``sizes`` being the text of upper lines; parents come before what they hold."""
     held = np.bincount(boxes, sizes, len(parents)).tolist()
     for k in range(len(parents) - 1, 0, -1):
         held[parents[k]] += held[k]
-    best = max(k for k, x in enumerate(held) if x == held[0])
+    region = 0
+    for k in range(1, len(parents)):
+        if parents[k] == region and (held[k] == held[region] or (k in articles and 2 * held[k] > held[region])):
+            region = k
     inside = np.zeros(len(parents), bool)
-    inside[best] = True
-    for k in range(best + 1, len(parents)):
+    inside[region] = True
+    for k in range(region + 1, len(parents)):
         inside[k] = inside[parents[k]]
     return inside[boxes]
 
@@ -217,24 +226,16 @@ def main_text(page: str | None) -> str:
     sizes = np.array([len(x[0]) for x in lines], float)
     plain = np.array([max(0, len(x[0]) - x[2]) for x in lines], float)
     outside = np.array([x[3] for x in lines])
-    region = np.array([x[4] for x in lines])
     ratio = smoothed(np.where(outside, 0.0, plain / np.maximum(1, [x[1] for x in lines])))
     upper = (ratio >= threshold(ratio)) & ~outside
     chosen = ~outside
-    for kind in ("article", "main"):
-        own = [r for r, k in parser.kinds.items() if k == kind and (region == r).any()]
-        if own:
-            best = max(own, key=lambda r: (sizes[upper & (region == r)].sum(), sizes[(region == r) & ~outside].sum(), -r))
-            chosen &= region == best
-            break
-    else:
-        if upper.any():
-            within = inner_block(parser.parents, np.array([x[6] for x in lines]), np.where(upper, sizes, 0.0))
-            first = int(np.argmax(within))
-            while first > 0 and lines[first - 1][5] and not outside[first - 1]:
-                first -= 1
-                within[first] = True
-            chosen &= within
+    if upper.any():
+        within = content_region(parser.parents, parser.articles, np.array([x[5] for x in lines]), np.where(upper, sizes, 0.0))
+        first = int(np.argmax(within))
+        while first > 0 and lines[first - 1][4] and not outside[first - 1]:
+            first -= 1
+            within[first] = True
+        chosen &= within
     return "\n".join(x[0] for x, c in zip(lines, chosen, strict=True) if c)
 
 

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from plumbline.llm.html import extract_pages, main_text
@@ -35,9 +37,41 @@ WHOLE = {
     "divisions as paragraphs": (f"<body><div><div>{LONG}</div>" + SHORT.replace("p>", "div>") + "</div>", f"{LINE}\n{SHORT_LINES}"),
     "linked line": (f"<body><div><p>{LONG}</p><p><a href=x>All of this line is a link</a></p><p>{LONG}</p></div>", f"{LINE}\nAll of this line is a link\n{LINE}"),
     "beside the block": (f"<body><div><a href=1>x</a></div><h1>Title</h1><div><p>{LONG}</p><p>{LONG}</p></div>", f"Title\n{LINE}\n{LINE}"),
+    "drawing in a paragraph": ("<article><p>one <svg><text>x</text></svg> two</p></article>", "one two"),
+    "button in a paragraph": ("<article><p>one <button>Go</button> two <script>x()</script>three</p></article>", "one two three"),
+    "advert in a paragraph": ("<article><p>one <span class=ad>Buy <i>now</i></span> two</p></article>", "one two"),
+    "picture in a paragraph": ("<article><p>one <img class=share src=x> two</p></article>", "one two"),
+    "names that tell a topic": ("<article><div class=social-science>A</div><p class=related>B</p><div class='cookie-notice'>C</div><ul class=share-buttons><li>D</ul></article>", "A\nB"),
+    "short paragraphs around a long one": (f"<div><p>Short.</p><p>{LONG}</p><p>End.</p></div>", f"Short.\n{LINE}\nEnd."),
+    "text right in the article": (f"<div><article>Intro<p>{LONG}</p></article></div>", f"Intro\n{LINE}"),
+    "sidebar beside the article": (f"<body><div><p>Latest</p><p>Top</p></div><article><p>{LONG}</p><p>Yes.</p></article>", f"{LINE}\nYes."),
 }
 
 
+def generated(rnd):
+    """A page of known main text: paragraphs of any length in an article or a division, with all kinds of cuts and surroundings."""
+    cuts = ["<svg><path d=x></svg>", "<button>Go</button>", "<span class='ad box'>Buy</span>", "<script>var a='</p>';</script>", "<!-- no -->", "<img class=share>", "<b></b>"]
+    around = ["<nav><ul><li><a href=/>Home</a></ul></nav>", "<div class=ad>Buy now</div>", "<aside>More</aside>", "<footer>&copy; x</footer>", "<form><label>Name</label><input></form>", "<div id=comments><p>First of all!</p></div>", "<header>Site</header>"]
+    lines, body = [], []
+    for i in range(rnd.randrange(1, 30)):
+        words = [f"w{rnd.randrange(999)}" for _ in range(rnd.choice([1, 3, 40, 200]))]
+        lines.append(" ".join(words))
+        marked = [rnd.choice(cuts) + " " + w if rnd.random() < 0.05 else f"<i>{w}</i>" if rnd.random() < 0.1 else w for w in words]
+        body.append(f"<p>{rnd.choice([' ', chr(10), '  &#32;']).join(marked)}" + rnd.choice(["", "</p>"]))
+        if rnd.random() < 0.2:
+            body.append(rnd.choice(around))
+    tag = rnd.choice(["article", "main", "div"])
+    outer = "".join(rnd.sample(around, 3))
+    return f"<html><head><title>T</title><style>p{{}}</style></head><body>{outer}<{tag}>{''.join(body)}</{tag}>{''.join(rnd.sample(around, 2))}</body></html>", "\n".join(lines)
+
+
+def test_generated_pages():
+    rnd = random.Random(8)
+    for _ in range(400):
+        page, want = generated(rnd)
+        assert main_text(page) == want, page
+
+
 @pytest.mark.parametrize("name", WHOLE)
 def test_nothing_else_is_lost(name):
     page, want = WHOLE[name]
