@@ -11,7 +11,7 @@ mail addresses, phone numbers and labelled secrets by their form. A private valu
 Check digits are worked out anew, separators stay in place, and the permutation depends on the key, the kind and the
 value alone: equal values stay equal in all documents, different ones stay different, and who has the key can undo it.
 Round keys are SHA-512 hashes. Kept as they are: the country of an IBAN, the part of a phone number before its first
-separator, and the domain of a mail address.
+separator, the domain of a mail address, and the fixed beginning of a secret.
 
 A text in which a candidate fails its check is read a second time, every place where a form fits by itself, and only
 the valid values are taken: what fails never hides a valid value that it covers or overlaps.
@@ -51,6 +51,11 @@ OTHER_IBANS = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
 _L = r"[\p{L}\p{N}._%+\-]"
 _DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})"
 _PHONE = r"(?<![0-9])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4})"
+#: Ten digits in national groups: 3-3-4, neither of the first two groups below 200, or five pairs from 01 on.
+_NATIONAL = r"(?<![0-9.\-+])(?:[2-9][0-9]{2}(?:-[2-9][0-9]{2}-|\.[2-9][0-9]{2}\.| [2-9][0-9]{2} )[0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4})(?![0-9\-])"
+#: How labelled secrets begin, also as JSON keys, and fixed beginnings of keys that need no label; both stay.
+LABEL = r"(?i:\b(?:token|secret|password|api[_\-]?key|access[_\-]?key)\b(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"'])?)"
+PREFIX = r"(?:AKIA|ASIA|AIza|gh[opsru]_|sk-|xox[abprs]-)"
 #: What must follow the kinds that have a check. A slash may part two whole dates.
 TAILS = {
     "iban": r"(?![A-Za-z0-9])",
@@ -62,14 +67,14 @@ TAILS = {
 }
 #: Forms of the kinds, in order of precedence.
 FORMS = {
-    "email": rf"(?<!{_L}){_L}{{1,64}}+@(?:[A-Za-z0-9\-]{{1,63}}\.){{1,8}}[A-Za-z]{{2,24}}",
-    "secret": r"(?i:\b(?:token|secret|password|api[_\-]?key|access[_\-]?key)\b\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9_\-]{16,128}+",
+    "email": rf"(?<!{_L}){_L}++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{{2,}}",
+    "secret": rf"(?:{LABEL}[A-Za-z0-9_\-]{{16,}}+|(?<![A-Za-z0-9_\-]){PREFIX}[A-Za-z0-9_\-]{{16,}}+)",
     "iban": rf"(?<![A-Za-z0-9])(?:(?:{IBANS}){TAILS['iban']}|{OTHER_IBANS}{TAILS['iban']})",
     "card": rf"(?<![0-9])(?:[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}|[0-9]{{13,19}}){TAILS['card']}",
     "ssn": rf"(?<![0-9\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{TAILS['ssn']}",
     "date": rf"(?:(?<![0-9./\-])|(?<=(?<![0-9./\-]){_DATE}/)){_DATE}{TAILS['date']}",
     "ip": rf"(?<![0-9.])[0-9]{{1,3}}(?:\.[0-9]{{1,3}}){{3}}{TAILS['ip']}",
-    "phone": rf"(?:\+[0-9]{{1,3}}[ .\-]?)?(?<![0-9])\([0-9]{{2,4}}\)[ .\-]?[0-9]{{3,4}}[ .\-]?[0-9]{{3,4}}{TAILS['phone']}|{_PHONE}{{2,5}}{TAILS['phone']}",
+    "phone": rf"(?:\+[0-9]{{1,3}}[ .\-]?)?(?<![0-9])\([0-9]{{2,4}}\)[ .\-]?[0-9]{{3,4}}[ .\-]?[0-9]{{3,4}}{TAILS['phone']}|{_PHONE}{{2,5}}{TAILS['phone']}|{_NATIONAL}",
 }
 #: The lengths that a candidate may have at one place, where the form alone takes the longest.
 LENGTHS = {
@@ -97,8 +102,19 @@ def _moved(char: Column, by: Column, classes: tuple[str, ...]) -> Column:
     return out.otherwise(char)
 
 
+#: Characters that one network permutes: a hash has a byte for each of one half.
+NETWORK = 128
+
+
 def permuted_text(value: Column, key: str, kind: str, classes: tuple[str, ...] = CLASSES) -> Column:
-    """A string of up to 128 characters by a Feistel network over its halves; characters of no class stay."""
+    """A string by a Feistel network over its halves; characters of no class stay. Longer ones than a network takes go in even pieces."""
+    n = F.greatest(F.lit(1), F.ceil(F.length(value) / NETWORK)).cast("int")
+    long = F.ceil(F.length(value) / n).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: _network(F.substring(value, i * long + 1, long), key, F.when(i > 0, F.concat(F.lit(kind), i.cast("string"))).otherwise(kind), classes))
+    return F.array_join(pieces, "")
+
+
+def _network(value: Column, key: str, kind: Column, classes: tuple[str, ...]) -> Column:
     half = F.floor(F.length(value) / 2).cast("int")
     start = F.struct(F.substring(value, F.lit(1), half).alias("a"), F.substring(value, half + 1, F.length(value)).alias("b"))
 
@@ -191,7 +207,8 @@ def pseudonym(value: Column, kind: str, key: str) -> Column:
         local = F.regexp_extract(value, "^(.*)@", 1)
         return F.concat(permuted_text(local, key, kind), F.regexp_extract(value, "(@[^@]*)$", 1))
     if kind == "secret":
-        label, own = F.regexp_extract(value, r"^(.*[=:]\s*[\"']?)", 1), F.regexp_extract(value, r"([A-Za-z0-9_\-]+)$", 1)
+        label = F.regexp_extract(value, rf"^((?:{LABEL})?(?:{PREFIX})?)", 1)
+        own = F.substring(value, F.length(label) + 1, F.length(value))
         plain = F.when(own.rlike("^[0-9a-f]+$"), permuted_text(own, key, kind, HEX_LOWER)).when(own.rlike("^[0-9A-F]+$"), permuted_text(own, key, kind, HEX_UPPER))
         return F.concat(label, plain.otherwise(permuted_text(own, key, kind)))
     if kind == "card":
@@ -251,8 +268,8 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     """Per row: id, text with pseudonyms, n_private and a count per kind (n_email, n_secret, ...)."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     none = F.array().cast("array<string>")
-    # Only texts with a digit or an at sign can hold a candidate.
-    found = rows.withColumn("found", F.when(F.col("text").rlike("[0-9@]|(?i:token|secret|password|key)"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
+    # Only texts with a digit, an at sign or the beginning of a secret can hold a candidate.
+    found = rows.withColumn("found", F.when(F.col("text").rlike(rf"[0-9@]|(?i:token|secret|password|key)|{PREFIX}"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
     kinds = found.withColumn("kinds", F.transform("found", _kind))
     # Where a candidate failed its check, the text is read again for the valid values alone.
     kinds = kinds.withColumn("pattern", F.when(F.exists("kinds", lambda k: k.isNull()), _valid_only()).otherwise(ANY))

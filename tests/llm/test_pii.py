@@ -98,6 +98,7 @@ def test_formats_stay_valid(spark):
 HIDDEN = {
     "ES9121000418450200051332 BIC": ("iban", 1), "AT61 1904 3002 3457 3201 EUR": ("iban", 1), "AT611904300234573201 2024": ("iban", 1),
     "AB12 CDEF GHIJ 4111 1111 1111 1111": ("card", 1), "ES12 CDEF GHIJ 4111 1111 1111 1111": ("card", 1), "2024 4111 1111 1111 1111": ("card", 1),
+    "ES9121000418450200051332 PAID": ("iban", 1), "ES9121000418450200051332 IS": ("iban", 1),
     "2020-01-01/2020-02-01": ("date", 2), "99/99/2020 then 01/02/2020/03/04/2020": ("date", 2), "+49 30 1234 5678 2024 1234 and 1.2.3.4": ("phone", 1),
     "AB12 CDEF GHIJ bob@x.org 999.1.1.1 4111111111111111": ("card", 1),
 }
@@ -111,7 +112,38 @@ def test_failed_candidates_hide_nothing(spark):
     texts = [r["text"] for r in got]
     assert texts[0] == spanish + " BIC" and texts[1] == austrian + " EUR" and texts[2] == austrian.replace(" ", "") + " 2024"
     assert texts[3] == "AB12 CDEF GHIJ " + card and texts[4] == "ES12 CDEF GHIJ " + card and texts[5] == "2024 " + card
-    assert texts[6] == f"{first}/{second}" and got[8]["n_ip"] == 1 and got[9]["n_email"] == 1
+    assert texts[8] == f"{first}/{second}" and got[10]["n_ip"] == 1 and got[11]["n_email"] == 1
+
+
+def test_no_value_stays_in_clear(spark):
+    """Generated values of known places in every context, from 16 to 4,000 characters."""
+    rnd = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda n: "".join(rnd.choice(letters) for _ in range(n))
+    contexts = ["{}", "see {}\nNext", "{} PAID", "{} IS due", "({}), then", "x {}, y", '{{"v": "{}"}}', "Mr {} BIC AND 2024"]
+    rows, values = [], []
+    for n in (16, 17, 127, 128, 129, 200, 300, 4000):
+        for label in ("token = {}", "password: '{}'", '"api_key": "{}"', '\\"secret\\": \\"{}\\"', "AKIA{}", "ghp_{}", "sk-{}"):
+            values.append(token(n))
+            rows.append(rnd.choice(contexts).format(label.format(values[-1])))
+    for n in (1, 5, 64, 65, 128, 129, 400):
+        values.append(token(n) + "7")
+        rows.append(rnd.choice(contexts).format(f"{values[-1]}@a.b.c.d.e.f.g.h.i.mail.example.org"))
+    for size, countries in pii.IBAN_LENGTHS.items():
+        for country in countries.split():
+            account = "".join(rnd.choice("0123456789") for _ in range(size - 4))
+            check = 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+            iban = f"{country}{check:02d}{account}"
+            values.append(iban[4:])
+            rows.append(rnd.choice(contexts).format(iban))
+    for phone in ("555-234-7788", "(555) 234-7788", "555.234.7788", "01 23 45 67 89", "+49 30 1234567"):
+        for context in contexts:
+            values.append(phone)
+            rows.append(context.format(phone))
+    for text, value, r in zip(rows, values, run(spark, *rows), strict=True):
+        assert r["n_private"] >= 1 and value not in r["text"] and len(r["text"]) == len(text), text
+        if len(value) > 128:  # nor any long part of it
+            assert not any(value[i : i + 20] in r["text"] for i in range(0, len(value) - 20))
 
 
 def test_links_hold_across_documents_and_layouts(spark):
