@@ -169,19 +169,21 @@ def _decided(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tu
 
 def mark_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the normalised text, lower-case hex)."""
-    own = docs.select(F.col(id_col), F.col(text_col))
-    rows = staged(with_fingerprints(own, text_col).drop(text_col).withColumn("_row", F.monotonically_increasing_id()))
-    joined, found = _decided(rows, docs, id_col, text_col)
-    return joined.select(F.col(f"r.{id_col}"), *found)
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = staged(with_fingerprints(own).drop("text").withColumn("_row", F.monotonically_increasing_id()))
+    joined, found = _decided(rows, own, "id", "text")
+    return joined.select(F.col("r.id").alias(id_col), *found)
 
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of equal texts, the one with the smallest id.
 
     All columns are staged with the fingerprints, so that a row is known by its number; then only the numbers of the
-    rows that go are joined back.
+    rows that go are joined back. The columns have names of their own meanwhile, so any name may be among them.
     """
-    rows = staged(with_fingerprints(docs, text_col).withColumn("_row", F.monotonically_increasing_id()))
-    joined, found = _decided(rows, docs, id_col, text_col)
-    gone = cut(joined.where(~found[2]).select("r._row"))
-    return rows_with_ids(rows, gone, "_row", "_row", without=True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    own = docs.toDF(*at.values())
+    rows = staged(with_fingerprints(own, at[text_col]).withColumn("_row", F.monotonically_increasing_id()))
+    joined, found = _decided(rows, own, at[id_col], at[text_col])
+    gone = staged(joined.where(~found[2]).select("r._row"))
+    return rows_with_ids(rows, gone, "_row", "_row", without=True).select(*at.values()).toDF(*docs.columns)

@@ -6,9 +6,10 @@ divided by the source's target; the mix is the global order by finish time, cut
 reach the budget. Equal shares of virtual time are equal shares of each target, so every source ends within about one
 document of its target.
 
-Running sums are taken in two steps so that no source is one task's work: documents fall into ``BUCKETS`` slices of
-their source's shuffled order (for the cut: of virtual time), slices are summed before the shuffle, and a window within
-a slice adds the sum of the earlier ones.
+Running sums are taken in two steps so that no source is one task's work. A source's shuffled order is cut into slices
+(by the first digits of the hash, as many as the rows need), which are summed before the shuffle; a window within a
+slice adds the sum of the earlier ones. The events of the mix are range-sorted over all tasks by their finish time;
+the partitions' sums tell in which one the budget ends, and a window there finds the last place that the mix takes.
 
 Targets share the budget by weight; none exceeds ``max_passes`` times its source's size, and the excess is shared again
 by weight among the rest: sources sorted by cap over weight are filled until the next cap is out of reach.
@@ -19,6 +20,8 @@ order (by text size, then text); a table without words takes nothing; an empty t
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from plumbline.llm.lookup import BROADCAST_IDS
 from plumbline.llm.words import word_count
 from plumbline.session import cut, release, staged
 
-BUCKETS = 4096
+#: Rows of a slice of a source's shuffled order, about; there are 16, 256, ... slices.
+SLICE = 50_000
 #: The order of the mix; it ends with what tells rows of one id apart.
 ORDER = ["finish", "source_rank", "turn", "shuffle", "size", "mark"]
 WEIGHTS = (5, 2, 1)
@@ -79,32 +83,32 @@ def _queues(docs: DataFrame, id_col: str, text_col: str, source_col: str, weight
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"),
         F.coalesce(F.md5(F.col(id_col).cast("string")), F.lit("")).alias("shuffle"),
     )
-    sized = staged(sized.withColumn("slice", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int")))
+    sized = staged(sized)
+    digits = max(1, math.ceil(math.log(max(1, sized.count()) / SLICE, 16)))
+    sized_slices = sized.withColumn("slice", F.conv(F.substring("shuffle", 1, digits), 16, 10).cast("long"))
     targets = cut(source_targets(sized, weights, share, max_passes))
     t = targets.select("source_rank", F.col("source").alias("_source"), "source_size", "target")
-    ranked = sized.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    ranked = sized_slices.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     ranked = ranked.withColumn("slice", F.coalesce("slice", F.lit(0)))
     queued = _running(ranked, ["source_rank"], "slice", ["shuffle", "size", "mark"], "size", "served")
     queued = staged(queued.drop("slice"))
     release(sized)
     passes = F.array(*[F.lit(k) for k in range(max_passes)])
-    events = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select(
-        "id", "mark", "size", "source_rank", "shuffle", F.explode(passes).alias("turn"), "served", "source_size", "target"
-    )
+    events = queued.where((F.col("size") > 0) & (F.col("target") > 0)).select("mark", "size", "source_rank", "shuffle", F.explode(passes).alias("turn"), "served", "source_size", "target")
     finish = F.try_divide(F.col("turn") * F.col("source_size") + F.col("served"), F.col("target"))
-    events = events.withColumn("finish", finish).withColumn("slice", F.floor(F.least(F.col("finish"), F.lit(2.0)) * BUCKETS).cast("long"))
-    # The cut: the slice of virtual time in which the running sum passes the budget, then its rows one by one.
-    slices = cut(events.groupBy("slice").agg(F.sum("size").alias("total")))
-    spent = slices.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    ordered = events.withColumn("finish", finish).select(*ORDER).repartitionByRange(*ORDER)
+    ordered = staged(ordered.withColumn("part", F.spark_partition_id()))
+    # The cut: the partition in which the running sum passes the budget, then its rows one by one.
+    parts = ordered.groupBy("part").agg(F.sum("size").alias("total"))
+    spent = parts.withColumn("before", F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     budget = targets.agg(F.sum("source_size") * share).first()[0]
-    if budget is None:
-        return queued, None
-    at = spent.where(F.col("before") < budget).agg(F.max(F.struct("slice", "before")).alias("m")).first()["m"]
-    if at is None:
-        return queued, None
-    inside = F.coalesce(F.sum("size").over(Window.partitionBy("slice").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = events.where(F.col("slice") == at["slice"]).withColumn("ahead", F.lit(at["before"]) + inside)
-    last = ahead.where(F.col("ahead") < budget).agg(F.max(F.struct(*ORDER)).alias("last")).first()["last"]
+    at = None if budget is None else spent.where(F.col("before") < budget).agg(F.max(F.struct("part", "before")).alias("m")).first()["m"]
+    last = None
+    if at is not None:
+        inside = F.coalesce(F.sum("size").over(Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        ahead = ordered.where(F.col("part") == at["part"]).withColumn("ahead", F.lit(at["before"]) + inside)
+        last = ahead.where(F.col("ahead") < budget).agg(F.max(F.struct(*ORDER)).alias("last")).first()["last"]
+    release(ordered)
     return queued, None if last is None else last.asDict()
 
 

@@ -71,7 +71,10 @@ def test_fingerprints_combine():
 
 
 def test_one_row_of_each_group_stays(documents):
-    kept = exact.without_copies(documents(ROWS, "kept _row"))
+    docs = documents(ROWS, "kept _row _fp_a _fp_b _fp_bytes _fp_sha256 c0 n")
+    kept = exact.without_copies(docs)
+    assert kept.columns == docs.columns
+    assert {(r["_row"], r["_fp_a"], r["_fp_sha256"], r["c0"]) for r in kept.collect()} == {("x", "x", "x", "x")}
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and "kept" in kept.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids == sorted([i for i, _, _, k, _ in brute(ROWS) if k], key=str)
