@@ -15,11 +15,14 @@ from plumbline.session import python_ready
 def window_chunks(docs: DataFrame, id_col: str, text_col: str = "text", size: int = 128, overlap: int = 32) -> DataFrame:
     """Rows (id, chunk, n_tokens, text): windows of ``size`` words that start every ``size - overlap`` words."""
     words = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
-    rows = docs.select(F.col(id_col).alias("id"), words.alias("w")).where(F.size("w") > 0)
+    rows = docs.select(F.col(id_col).alias("id"), words.alias("w"))
     step = size - overlap
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - overlap) / step).cast("int") - 1)
-    spread = rows.select("id", F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * step + 1, size)).alias("chunks"))
-    return spread.select("id", F.posexplode("chunks").alias("chunk", "words")).select("id", "chunk", F.size("words").cast("long").alias("n_tokens"), F.array_join("words", " ").alias("text"))
+    # Chunk numbers are generated and empty texts left out after that: Spark would move a filter on the words, or one
+    # that it infers from an inner generator, below the split and so split every text once more.
+    numbered = rows.select("id", "w", F.explode_outer(F.when(F.size("w") > 0, F.sequence(F.lit(0), last))).alias("chunk")).where("chunk IS NOT NULL")
+    spread = numbered.select("id", "chunk", F.slice("w", F.col("chunk") * step + 1, size).alias("words"))
+    return spread.select("id", "chunk", F.size("words").cast("long").alias("n_tokens"), F.array_join("words", " ").alias("text"))
 
 
 #: Separators of the recursive splitter, from coarse to fine; the last one parts single characters.

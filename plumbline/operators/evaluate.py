@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def relevance_of(ranked: DataFrame, relevant: DataFrame) -> DataFrame:
@@ -48,14 +50,27 @@ def mode_means(metrics: DataFrame, names: list[str]) -> DataFrame:
 
 
 def paired_differences(metrics: DataFrame, base: str, names: list[str]) -> DataFrame:
-    """Per other mode and metric: n, mean difference and paired t of ``base`` against it; t is null without spread."""
+    """Per other mode and metric: n, mean difference, paired t of ``base`` against it and its two-sided p.
+
+    t and p are null without spread. A mode with another number of queries than ``base`` is left out.
+    """
+    counts = metrics.groupBy("mode").agg(F.count(F.lit(1)).alias("_rows"))
+    same = counts.join(counts.where(F.col("mode") == base).select("_rows"), "_rows", "left_semi").select("mode")
+    metrics = metrics.join(same, "mode", "left_semi")
     long = metrics.unpivot(["query_id", "mode"], names, "metric", "value")
     full = long.where(F.col("mode") == base).select("query_id", "metric", F.col("value").alias("x"))
     other = long.where(F.col("mode") != base)
     d = full.join(other, ["query_id", "metric"]).withColumn("d", F.col("x") - F.col("value"))
     stats = d.groupBy("mode", "metric").agg(F.count("d").alias("n"), F.avg("d").alias("m"), F.stddev_samp("d").alias("s"))
     t = F.when(F.col("s") > 1e-12, F.col("m") / (F.col("s") / F.sqrt(F.col("n").cast("double"))))
-    return stats.select("mode", "metric", "n", F.round("m", 6).alias("mean_difference"), F.round(t, 4).alias("t_statistic"))
+    found = stats.select("mode", "metric", "n", F.round("m", 6).alias("mean_difference"), t.alias("t"))
+    return found.select("mode", "metric", "n", "mean_difference", F.round("t", 4).alias("t_statistic"), F.round(_p_values("t", F.col("n") - 1), 6).alias("p_value"))
+
+
+@F.arrow_udf(T.DoubleType())
+def _p_values(t: pa.Array, df: pa.Array) -> pa.Array:
+    """For the one row of each mode and metric."""
+    return pa.array([None if x is None else student_p(x, n) for x, n in zip(t.to_pylist(), df.to_pylist())], pa.float64())
 
 
 def student_p(t: float, df: int) -> float:
@@ -81,14 +96,6 @@ def student_p(t: float, df: int) -> float:
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
 
 
-def paired_t_tests(metrics: DataFrame, base: str, names: list[str]) -> list[dict]:
-    """The paired tests with p values; one small row per mode and metric comes to the driver."""
-    rows = [r.asDict() for r in paired_differences(metrics, base, names).orderBy("mode", "metric").collect()]
-    for r in rows:
-        r["p_value"] = None if r["t_statistic"] is None else round(student_p(r["t_statistic"], r["n"] - 1), 6)
-    return rows
-
-
 def spearman(expert: DataFrame, scores: DataFrame) -> DataFrame:
     """Per case: n and rho of expert ranks against descending scores; ties by name; null below three facts.
 
@@ -202,12 +209,17 @@ def split_by_year(rows: DataFrame, id_col: str, cutoff: int = 2020) -> DataFrame
 
 
 def batch_summary(cases: DataFrame) -> DataFrame:
-    """Means over cases of dispositive_accuracy, other_accuracy and rho (nulls left out), and the accept rate."""
+    """Means over cases of dispositive_accuracy, other_accuracy and rho (nulls left out), and the accept rate of their judges.
+
+    The rate is accepted over all decisions (columns accepted and rejected), 0 without any.
+    """
+    decided = F.sum("accepted") + F.sum("rejected")
     return cases.agg(
         F.count(F.lit(1)).alias("n_cases"),
-        F.round(F.sum("dispositive_accuracy") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("dispositive_accuracy"),
-        F.round(F.sum("other_accuracy") / F.greatest(F.count(F.lit(1)), F.lit(1)), 6).alias("other_accuracy"),
-        F.round(F.avg("rho"), 6).alias("mean_rho"),
+        F.round(F.sum("dispositive_accuracy") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("dispositive_accuracy"),
+        F.round(F.sum("other_accuracy") / F.greatest(F.count(F.lit(1)), F.lit(1)), 4).alias("other_accuracy"),
+        F.round(F.avg("rho"), 4).alias("mean_rho"),
+        F.round(F.coalesce(F.sum("accepted") / F.nullif(decided, F.lit(0)), F.lit(0.0)), 4).alias("accept_rate"),
     )
 
 

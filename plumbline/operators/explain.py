@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.extract import terms
+from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, number_text
 
 
 def document_frequency(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -110,14 +111,60 @@ def tree_json(nodes: DataFrame, diffs: DataFrame, scores: DataFrame) -> DataFram
     return trees.join(sens, "tree_id", "left").select("tree_id", F.to_json(F.struct("tree_id", "nodes", "sensitivity")).alias("json"))
 
 
-def report(summaries: DataFrame, scores: DataFrame) -> DataFrame:
-    """Per tree: a Markdown report of its edges (tree_id, node_id, summary) and sensitivities."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "summary"))), lambda x: F.concat(F.lit("- "), x["summary"]))
-    edges = summaries.groupBy("tree_id").agg(F.array_join(lines, "\n").alias("edges"))
-    rows = F.transform(
-        F.array_sort(F.collect_list(F.struct((-F.col("sensitivity")).alias("s"), "fact_type"))), lambda x: F.format_string("| %s | %.4f |", x["fact_type"], -x["s"])
+def fact_section(sheet: Column) -> Column:
+    """A fact sheet in Markdown; missing parts vanish, missing names are N/A."""
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    known = lambda c: F.coalesce(c, F.lit("N/A"))
+    said = lambda c: F.coalesce(c, F.lit(""))
+    lines = lambda items, kind, one: F.transform(F.coalesce(items, F.array().cast(kind)), one)
+    block = lambda title, items: F.when(F.size(items) > 0, text(f"**{title}:**\n\n", F.array_join(items, "\n")))
+    number = lambda label: lambda x: text(f"- {label}: ", said(number_text(x["value"])), " ", said(x["unit"]), " (", said(x["context"]), ")")
+    n, cited = sheet["numerical_facts"], F.coalesce(sheet["sections_cited"], F.array().cast("array<string>"))
+    ages = lines(n["ages"], AGES, lambda x: text("- Age: ", said(x["value"].cast("string")), " (", said(x["descriptor"]), ")"))
+    numbers = F.concat(lines(n["amounts"], AMOUNTS, number("Amount")), ages, lines(n["durations"], AMOUNTS, number("Duration")))
+    return F.concat_ws(
+        "\n\n",
+        text("**Case ID:** ", known(sheet["case_id"])),
+        text("| Role | Type |\n|------|------|\n| Petitioner | ", known(sheet["parties"]["petitioner_type"]), " |\n| Respondent | ", known(sheet["parties"]["respondent_type"]), " |"),
+        F.when(F.size(cited) > 0, text("**Sections cited:** ", F.array_join(cited, ", "))),
+        F.when(said(sheet["outcome"]) != "", text("**Outcome:** ", sheet["outcome"])),
+        block("Evidence items", lines(sheet["evidence_items"], EVIDENCE, lambda e: text("- ", said(e["evidence_type"]), ": ", said(e["description"])))),
+        block("Numerical facts", numbers),
+    )
+
+
+def report(sheets: DataFrame, precedents: DataFrame, summaries: DataFrame, scores: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Per tree of ``sheets`` (tree_id, sheet): a Markdown report in four sections.
+
+    ``precedents``: tree_id, rank, case_id, section_type, score, explanation, the first ten of each tree are listed;
+    ``summaries``: tree_id, node_id, summary; ``scores``: tree_id, fact_type, sensitivity; ``nodes``: tree_id per node.
+    """
+    listed = lambda of, key, line: of.groupBy("tree_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), line), "\n").alias("lines"))
+    found = F.struct("rank", "case_id", "section_type", F.format_string("%.4f", F.col("score").cast("double")).alias("score"), "explanation")
+    first = precedents.where("rank <= 10")
+    second = listed(first, found, lambda x: F.concat(F.lit("| "), F.concat_ws(" | ", x["rank"].cast("string"), x["case_id"], x["section_type"], x["score"], x["explanation"]), F.lit(" |")))
+    edges = listed(summaries, F.struct("node_id", "summary"), lambda x: F.concat(F.lit("- "), x["summary"]))
+    order = F.struct((-F.col("sensitivity")).alias("s"), "fact_type")
+    table = listed(scores, order, lambda x: F.format_string("| %s | %.4f |", x["fact_type"], -x["s"]))
+    top = scores.groupBy("tree_id").agg(F.min(order).alias("top"))
+    total = nodes.groupBy("tree_id").agg(F.count(F.lit(1)).alias("n"))
+    whole = sheets.select("tree_id", "sheet")
+    for name, part in (("precedents", second), ("table", table), ("edges", edges)):
+        whole = whole.join(part.withColumnRenamed("lines", name), "tree_id", "left")
+    whole = whole.join(top, "tree_id", "left").join(total, "tree_id", "left")
+    operative = F.format_string("The most legally operative fact for this case is **%s** with a sensitivity score of **%.2f**.", F.col("top.fact_type"), -F.col("top.s"))
+    body = F.concat_ws(
+        "\n\n",
+        F.concat(F.lit("# Counterfactual report: tree "), F.col("tree_id").cast("string")),
+        F.lit("## 1. Query case fact sheet"),
+        fact_section(F.col("sheet")),
+        F.lit("## 2. Top retrieved precedents"),
+        F.coalesce(F.concat(F.lit("| Rank | Case ID | Section type | Score | Explanation |\n|------|---------|-------------|-------|-------------|\n"), F.col("precedents")), F.lit("No precedents were retrieved.")),
+        F.lit("## 3. Counterfactual analysis"),
+        F.concat(F.lit("| Fact type | Mean displacement |\n|---|---|\n"), F.col("table")),
+        F.col("edges"),
+        F.lit("## 4. Conclusion"),
+        F.when(F.col("top").isNotNull(), operative).otherwise("Sensitivity scores are not available: they need a deeper tree with results."),
+        F.concat(F.lit("Nodes of the tree: "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(".")),
     )
-    table = scores.groupBy("tree_id").agg(F.array_join(rows, "\n").alias("table"))
-    head = F.concat(F.lit("# Counterfactual report: tree "), F.col("tree_id").cast("string"))
-    body = F.concat_ws("\n\n", head, F.lit("## Sensitivity\n\n| fact type | mean displacement |\n|---|---|"), F.col("table"), F.lit("## Changes"), F.col("edges"))
-    return table.join(edges, "tree_id", "left").select("tree_id", body.alias("markdown"))
+    return whole.select("tree_id", body.alias("markdown"))

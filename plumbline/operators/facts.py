@@ -57,13 +57,27 @@ def extract_by_rules(text: Column) -> Column:
     ).cast(SHEET)
 
 
+def first_block(text: Column) -> Column:
+    """From the first opening brace to the one that closes it, braces counted wherever they stand; null if none does."""
+    tail = F.regexp_extract(text, r"(?s)(\{.*)", 1)
+    pieces = F.regexp_extract_all(tail, F.lit(r"([{}][^{}]*)"), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("closed"), F.lit("").alias("block"))
+
+    def step(s: Column, piece: Column) -> Column:
+        depth = s["depth"] + F.when(piece.startswith("{"), 1).otherwise(-1)
+        more = F.struct(depth.alias("depth"), (depth == 0).alias("closed"), F.concat(s["block"], F.when(depth == 0, F.lit("}")).otherwise(piece)).alias("block"))
+        return F.when(s["closed"], s).otherwise(more)
+
+    return F.aggregate(pieces, start, step, lambda s: F.when(s["closed"], s["block"]))
+
+
 def from_answer(raw: Column, case_id: Column) -> Column:
-    """A valid fact sheet from a model's answer: without code fences, from the first to the last brace; null if it is no JSON.
+    """A valid fact sheet from a model's answer: without code fences, all of it or its first balanced block; null if that is no JSON.
 
     An answer without a case id gets ``case_id``; parties and sections go through their validators.
     """
-    bare = F.regexp_replace(F.trim(raw), r"(?s)\A```[a-z]*\s*(.*?)\s*```.*\z", "$1")
-    json = F.regexp_extract(bare, r"(?s)(\{.*\})", 1)
+    bare = F.regexp_replace(raw, r"```(?:json)?\s*", "")
+    json = F.when(F.try_parse_json(bare).isNotNull(), bare).otherwise(first_block(bare))
     sheet = F.from_json(json, SHEET)
     own = F.coalesce(F.nullif(sheet["case_id"], F.lit("")), case_id.cast("string"), F.lit("unknown"))
     parties = F.when(

@@ -26,8 +26,12 @@ def _composed(text: pa.Array) -> pa.Array:
 
 
 def normalise_unicode(text: Column) -> Column:
-    """NFC (only texts with characters beyond Latin-1 leave the JVM), then plain forms of typographic characters."""
-    composed = F.when(text.rlike(r"[^\x00-\xFF]"), _composed(text)).otherwise(text)
+    """NFC, then plain forms of typographic characters.
+
+    Python gets a null for every text within Latin-1, so only the others are moved. Where ``text`` is an expression,
+    make it a column first, since it is read three times.
+    """
+    composed = F.coalesce(_composed(F.when(text.rlike(r"[^\x00-\xFF]"), text)), text)
     for char, plain in p.PLAIN.items():
         if len(plain) > 1:
             composed = F.replace(composed, F.lit(char), F.lit(plain))
@@ -46,6 +50,12 @@ def clean(text: Column) -> Column:
     return collapse_space(normalise_unicode(remove_cause_list(text)))
 
 
+def with_clean_text(docs: DataFrame, text_col: str = "text", out: str = "clean") -> DataFrame:
+    """``docs`` with a column of cleaned text; what the cause-list patterns leave is worked out once, in a column of its own."""
+    step = docs.withColumn("_without_list", remove_cause_list(F.col(text_col)))
+    return step.withColumn(out, collapse_space(normalise_unicode(F.col("_without_list")))).drop("_without_list")
+
+
 def without_margins(words: DataFrame, share: float = 0.05) -> DataFrame:
     """Word boxes (top, bottom, page_height) without headers and footers."""
     return words.where((F.col("top") >= share * F.col("page_height")) & (F.col("bottom") <= (1 - share) * F.col("page_height")))

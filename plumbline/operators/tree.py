@@ -86,25 +86,28 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.where("parent_id IS NOT NULL").select("tree_id", "node_id", "parent_id", "depth", "edge.*")
 
 
-def depths(spark, parents: DataFrame) -> DataFrame:
-    """node_id and depth of every node of a table (node_id, parent_id), by a recursive query from the roots."""
-    parents.select("node_id", "parent_id").createOrReplaceTempView("_parents")
-    return spark.sql(
-        "WITH RECURSIVE d AS (SELECT node_id, 0 AS depth FROM _parents WHERE parent_id IS NULL"
-        " UNION ALL SELECT p.node_id, d.depth + 1 FROM _parents p JOIN d ON p.parent_id = d.node_id) SELECT node_id, depth FROM d"
-    )
+def depths(parents: DataFrame) -> DataFrame:
+    """node_id and depth of every node of a table (node_id, parent_id) that hangs on a root; one join per level, cut each time."""
+    rows = parents.select("node_id", "parent_id")
+    level = cut(rows.where("parent_id IS NULL").select("node_id", F.lit(0).alias("depth")))
+    every = level
+    while not level.isEmpty():
+        p, d = rows.alias("p"), level.alias("d")
+        level = cut(p.join(d, F.col("p.parent_id") == F.col("d.node_id")).select("p.node_id", (F.col("d.depth") + 1).alias("depth")))
+        every = every.unionByName(level)
+    return every
 
 
 def depth_counts(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("tree_id", "depth").agg(F.count(F.lit(1)).alias("n"))
 
 
-def outline(nodes: DataFrame, max_depth: int = 5) -> DataFrame:
-    """Per tree: its nodes in depth-first order, indented by depth. Paths grow by a join per level."""
+def outline(nodes: DataFrame) -> DataFrame:
+    """Per tree: its nodes in depth-first order, indented by depth. Paths grow by a join per level, down to the last one."""
     rows = nodes.select("tree_id", "node_id", "parent_id", "depth", F.coalesce("edge.description", F.lit("root")).alias("what"))
     paths = rows.where("parent_id IS NULL").select("tree_id", "node_id", F.array("node_id").alias("path"))
     every = paths
-    for _ in range(max_depth):
+    for _ in range(nodes.agg(F.max("depth")).first()[0] or 0):
         paths = rows.alias("r").join(paths.alias("q"), (F.col("r.tree_id") == F.col("q.tree_id")) & (F.col("r.parent_id") == F.col("q.node_id")))
         paths = paths.select("r.tree_id", "r.node_id", F.concat("q.path", F.array("r.node_id")).alias("path"))
         every = every.unionByName(paths)

@@ -17,8 +17,8 @@ from pyspark.sql import types as T
 
 from plumbline.session import python_ready
 
-#: Queries in one block; a larger query set is searched block by block.
-QUERY_BLOCK = 2048
+#: Queries in one matrix, and matrices that one reading of the vectors is compared with; larger query sets take more readings.
+QUERY_BLOCK, BLOCKS = 2048, 16
 #: Decimals that scores are compared in, so that equal vectors tie whatever block they fall into.
 DECIMALS = 9
 
@@ -54,20 +54,22 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))[:k]]
 
 
-def _search(names: list, queries: np.ndarray, k: int, cosine: bool, dims: tuple[int, int] | None, width: int):
+def _search(blocks: list[tuple[list, np.ndarray]], k: int, cosine: bool, dims: tuple[int, int] | None, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = matrix(batch.column(1), dims, width)
             if not len(rows):
                 continue
-            scores = np.round(queries @ (normalised(rows) if cosine else rows).T, DECIMALS) + 0.0
+            rows = normalised(rows) if cosine else rows
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            found = [best(s, ids, k) for s in scores]
-            sizes = [len(at) for at in found]
-            flat = np.concatenate(found)
-            which = np.repeat(np.arange(len(names)), sizes)
-            columns = [pa.array([names[i] for i in which]), pa.array(ids[flat]), pa.array(scores[which, flat])]
-            yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+            for names, queries in blocks:
+                scores = np.round(queries @ rows.T, DECIMALS) + 0.0
+                found = [best(s, ids, k) for s in scores]
+                sizes = [len(at) for at in found]
+                flat = np.concatenate(found)
+                which = np.repeat(np.arange(len(names)), sizes)
+                columns = [pa.array([names[i] for i in which]), pa.array(ids[flat]), pa.array(scores[which, flat])]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
 
     return run
 
@@ -85,27 +87,30 @@ def top_k(
     """query_id, id, score and rank (from 1) of the ``k`` best vectors for every row of ``queries`` (query_id, vector).
 
     ``metric``: ``cosine`` or ``dot``; ``dims``: a range of dimensions to use; ``where``: a filter on ``vectors``, pushed
-    to their scan. Ties go to the smaller id. Zero vectors have cosine 0, as have null ones
-    and those of another length than the queries'.
+    to their scan. Ties go to the smaller id. Zero vectors have cosine 0. The longest query tells the width: queries and
+    vectors that are null or of another length are left out.
     """
     spark = vectors.sparkSession
     python_ready(spark, 4096)
     rows = vectors if where is None else vectors.where(where)
     rows = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where(F.col("id").isNotNull())
     kinds = queries.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString()
-    wanted = queries.select("query_id", F.col("vector").cast("array<double>")).where("query_id IS NOT NULL")
-    blocks = max(1, -(-wanted.count() // QUERY_BLOCK))
+    wanted = queries.select("query_id", F.col("vector").cast("array<double>")).where("query_id IS NOT NULL AND vector IS NOT NULL")
+    width, n = wanted.agg(F.max(F.size("vector")), F.count(F.lit(1))).first()
+    wanted = wanted.where(F.size("vector") == F.lit(width))
+    rows = rows.where(F.size("vector") == F.lit(width))
+    readings = -(-n // (QUERY_BLOCK * BLOCKS))
     parts = []
-    for block in range(blocks):
-        own = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else wanted
+    for reading in range(readings):
+        own = wanted.where(F.pmod(F.xxhash64("query_id"), F.lit(readings)) == reading) if readings > 1 else wanted
         table = own.toArrow()
         if not table.num_rows:
             continue
-        whole = matrix(table.column("vector").combine_chunks(), None)
-        q = whole if dims is None else whole[:, dims[0] : dims[1]]
+        q = matrix(table.column("vector").combine_chunks(), dims, width)
+        q = normalised(q) if metric == "cosine" else q
         names = table.column("query_id").to_pylist()
-        run = _search(names, normalised(q) if metric == "cosine" else q, k, metric == "cosine", dims, whole.shape[1])
-        parts.append(rows.mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, score double"))
+        blocks = [(names[i : i + QUERY_BLOCK], q[i : i + QUERY_BLOCK]) for i in range(0, len(names), QUERY_BLOCK)]
+        parts.append(rows.mapInArrow(_search(blocks, k, metric == "cosine", dims, width), f"query_id {kinds[0]}, id {kinds[1]}, score double"))
     if not parts:
         return spark.createDataFrame([], T.StructType.fromDDL(f"query_id {kinds[0]}, id {kinds[1]}, score double, rank int"))
     found = parts[0]

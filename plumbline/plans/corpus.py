@@ -30,8 +30,8 @@ def txt1_noise(spark, sf_dir):
 
 def txt2_unicode(spark, sf_dir):
     """The typographic characters, an accent that composes, and the text."""
-    cleaned = text.normalise_unicode(F.concat(F.lit("\u201cA\u2014B\u2013C\u201d\u00a0e\u0301\u200b "), F.col("text")))
-    return documents(spark, sf_dir).select("doc_id", F.md5(cleaned).alias("digest"))
+    d = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("\u201cA\u2014B\u2013C\u201d\u00a0e\u0301\u200b "), F.col("text")).alias("text"))
+    return d.select("doc_id", F.md5(text.normalise_unicode(F.col("text"))).alias("digest"))
 
 
 def txt3_collapse(spark, sf_dir):
@@ -39,7 +39,7 @@ def txt3_collapse(spark, sf_dir):
 
 
 def txt4_clean(spark, sf_dir):
-    return framed(spark, sf_dir).select("doc_id", F.md5(text.clean(F.col("text"))).alias("digest"))
+    return text.with_clean_text(framed(spark, sf_dir)).select("doc_id", F.md5("clean").alias("digest"))
 
 
 def txt8_snippets(spark, sf_dir):
@@ -79,13 +79,38 @@ def ext3_article_citations(spark, sf_dir):
     return framed(spark, sf_dir).select("doc_id", F.array_join(got, "; ").alias("articles"))
 
 
-def ext4_distinct_order(spark, sf_dir):
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), F.lit(1)))
-    return documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(words, " ")).alias("digest"), F.size(words).cast("long").alias("n"))
+def ext3_section_citations(spark, sf_dir):
+    """Cited sections with and without their acts, sorted and distinct."""
+    more = F.concat(F.lit("Sections 34 and 149; Section 302 of IPC, section 302 of the IPC; Sec. 13B of the Hindu Marriage Act, S. 138 NI Act. "), F.coalesce("text", F.lit("")), F.lit(" Section "), (F.col("doc_id") % 9).cast("string"), F.lit(" of CrPC."))
+    got = F.filter(extract.provisions(more), lambda x: x.startswith("Section"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(got, "; ").alias("sections"))
+
+
+def ext4_judges(spark, sf_dir):
+    """Judges named before the text: by the document's number, some twice, one too short."""
+    names = F.concat(F.lit("Hon'ble Justice A. K. Sikri, Justice Indu Malhotra and Justice X, J. Nariman "), F.col("doc_id").cast("string"), F.lit(" Justice Indu Malhotra, "), F.coalesce("text", F.lit("")))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(extract.judges(names), "|").alias("judges"))
+
+
+#: Layouts of headings around a text, by the document's number; some words stand in lines that are no headings.
+LAYOUTS = (
+    "FACTS\n{}\nII. Issues for consideration:\n{}\nHELD\n",
+    "brief facts -\n{}\nThe facts are these\n{}\nSUBMISSIONS\n{}\nANALYSIS\n{}\nORDER\n",
+    "X. Statement of the case\n{}\nArguments.\n{}\nRatio decidendi\n{}\nConclusion",
+    "no heading\n{}\nHeld guilty\n{}\n",
+)
+_TYPES = ("Facts,Issues,Held", "Facts,Submissions,Analysis,Held", "Facts,Submissions,Ratio,Held", "")
+
+
+def layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.array(*[F.lit(x) for x in LAYOUTS])
+    own = F.element_at(made, (F.col("doc_id") % len(LAYOUTS) + 1).cast("int"))
+    return documents(spark, sf_dir).select("doc_id", F.replace(own, F.lit("{}"), F.concat(F.lit("text: "), F.translate(F.coalesce("text", F.lit("")), "\n", " "))).alias("text"))
 
 
 def ext7_headings(spark, sf_dir):
-    got = extract.headings(framed(spark, sf_dir), "doc_id")
+    """Headings in several layouts around every text."""
+    got = extract.headings(layouts(spark, sf_dir), "doc_id")
     return got.select(F.col("id").alias("doc_id"), F.array_join(F.transform("headings", lambda h: h["section_type"]), ",").alias("types"), F.size("headings").cast("long").alias("n"))
 
 
@@ -225,7 +250,7 @@ def evl14_split(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        txt1_noise, txt2_unicode, txt3_collapse, txt4_clean, txt8_snippets, ext1_metadata, ext1_case_numbers, ext2_years, ext3_article_citations, ext4_distinct_order, ext5_bench, ext6_tail_outcome, ext7_headings, ext8_sections, ext9_facts, ext10_entities,
+        txt1_noise, txt2_unicode, txt3_collapse, txt4_clean, txt8_snippets, ext1_metadata, ext1_case_numbers, ext2_years, ext3_article_citations, ext3_section_citations, ext4_judges, ext5_bench, ext6_tail_outcome, ext7_headings, ext8_sections, ext9_facts, ext10_entities,
         ext10_family_counts, ext11_entity_summary, ext12_citations, ext13_cited_cases, ext14_sentences, ext15_tokens, chk1_recursive_chunks, chk3_window_chunks,
         chk4_overlap_tag, chk5_asof_page, exp1_df, exp2_idf, exp3_top_terms, evl10_grounding, evl11_ratings, evl12_citation_truth, evl13_merge, evl14_split,
     )
@@ -278,17 +303,30 @@ l0 AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(
 l AS (SELECT doc_id, pos, length(line) AS m, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM l0)"""
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')"
 
+#: The end of an act's name is looked ahead at; here it is read, which no other match needs.
+_PROVISION = extract.p.PROVISION.replace(r"(?=\s*[,;.\n])", r"\s*[,;.\n]")
+
 ORACLES = {
     "txt1_noise": f"WITH {_FRAMED} SELECT doc_id, md5({_without_noise('text')}) AS digest, CAST(length({_without_noise('text')}) AS BIGINT) AS n_chars FROM framed",
     "txt2_unicode": f"SELECT doc_id, md5({_plain('chr(8220) || ' + chr(39) + 'A' + chr(39) + ' || chr(8212) || ' + chr(39) + 'B' + chr(39) + ' || chr(8211) || ' + chr(39) + 'C' + chr(39) + ' || chr(8221) || chr(160) || ' + chr(39) + 'e' + chr(39) + ' || chr(769) || chr(8203) || ' + chr(39) + ' ' + chr(39) + ' || text')}) AS digest FROM documents",
     "txt3_collapse": f"SELECT page_id, md5({_collapsed(chr(39).join(['regexp_replace(html, ', '<[^>]*>', ', ', '  ', ' || chr(10), ', 'g', ')']))}) AS digest FROM pages",
     "txt4_clean": f"WITH {_FRAMED} SELECT doc_id, md5({_collapsed(_plain(_without_noise('text')))}) AS digest FROM framed",
     "txt8_snippets": "SELECT doc_id, substring(text, 1, 120) AS first_120, substring(text, 1, 800) AS first_800 FROM documents",
-    "ext4_distinct_order": """
-WITH w AS (SELECT doc_id, unnest(w) AS w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]{5,}') AS w FROM documents)),
-f AS (SELECT doc_id, w, min(i) AS i FROM w GROUP BY doc_id, w),
-g AS (SELECT doc_id, md5(string_agg(w, ' ' ORDER BY i)) AS digest, count(*) AS n FROM f GROUP BY doc_id)
-SELECT d.doc_id, coalesce(g.digest, md5('')) AS digest, coalesce(g.n, 0) AS n FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
+    "ext3_section_citations": rf"""
+WITH t AS (SELECT doc_id, 'Sections 34 and 149; Section 302 of IPC, section 302 of the IPC; Sec. 13B of the Hindu Marriage Act, S. 138 NI Act. ' || coalesce(text, '') || ' Section ' || CAST(doc_id % 9 AS VARCHAR) || ' of CrPC.' AS t FROM documents),
+m AS (SELECT doc_id, unnest(regexp_extract_all(t, '(?i){_PROVISION}')) AS m FROM t),
+g AS (SELECT DISTINCT doc_id, trim('Section ' || regexp_extract(m, '(?i){_PROVISION}', 1) || ' ' || regexp_replace(regexp_extract(m, '(?i){_PROVISION}', 2), '^\s+|\s+$', '', 'g')) AS x FROM m WHERE regexp_extract(m, '(?i){_PROVISION}', 3) = '')
+SELECT doc_id, string_agg(x, '; ' ORDER BY x) AS sections FROM g GROUP BY doc_id
+""",
+    "ext4_judges": rf"""
+WITH t AS (SELECT doc_id, substring('Hon''ble Justice A. K. Sikri, Justice Indu Malhotra and Justice X, J. Nariman ' || CAST(doc_id AS VARCHAR) || ' Justice Indu Malhotra, ' || coalesce(text, ''), 1, 3000) AS t FROM documents),
+-- The end of a name is a look-ahead in the operator; here a mark is set before each end, and names run up to the mark.
+m AS (SELECT doc_id, regexp_replace(t, '(?i)(\s*(?:,|and\b|&|\n|J\.|$))', chr(30) || '\1', 'g') AS t FROM t),
+n AS (SELECT doc_id, regexp_extract_all(t, '(?i)(?:Hon[''’]?ble|Justice|J\.)\x1e?\s+\x1e?([A-Z][a-zA-Z.\s\-]+?)\x1e', 1) AS n FROM m),
+u AS (SELECT doc_id, regexp_replace(regexp_replace(unnest(n), '^\s+|\s+$', '', 'g'), '\.+$', '') AS n, unnest(range(1, len(n) + 1)) AS i FROM n),
+f AS (SELECT doc_id, n, min(i) AS i FROM u WHERE length(n) > 2 GROUP BY doc_id, n),
+g AS (SELECT doc_id, string_agg(n, '|' ORDER BY i) AS judges FROM f GROUP BY doc_id)
+SELECT d.doc_id, coalesce(g.judges, '') AS judges FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id
 """,
     "ext10_family_counts": rf"""
 WITH {_FRAMED} SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)rs\.?[ \t\n]*[0-9,]+')) AS BIGINT) AS money, CAST(len(regexp_extract_all(text, '(?i)\barticle[ \t\n]*[0-9]+')) AS BIGINT) AS articles FROM framed
@@ -317,7 +355,7 @@ l AS (SELECT doc_id, lower(substring(t, CAST(floor(length(t) * CAST(0.8 AS DOUBL
 SELECT doc_id, CASE """
     + " ".join(f"WHEN contains(t, '{k}') THEN '{v}'" for k, v in extract.p.OUTCOMES)
     + " ELSE 'Unknown' END AS outcome FROM l",
-    "ext7_headings": "SELECT doc_id, 'Facts,Issues,Held' AS types, CAST(3 AS BIGINT) AS n FROM documents",
+    "ext7_headings": f"SELECT doc_id, types, CAST(len(string_split(types, ',')) AS BIGINT) AS n FROM (SELECT doc_id, ({list(_TYPES)})[CAST(doc_id % {len(LAYOUTS)} + 1 AS INTEGER)] AS types FROM documents) WHERE types <> ''",
     "ext8_sections": f"WITH {_FRAMED}{_PLACES} SELECT doc_id, pos, section_type, start_char, end_char, md5(t) AS digest FROM s",
     "ext9_facts": f"WITH {_FRAMED}{_PLACES} SELECT doc_id, md5(t) AS digest FROM s WHERE section_type = 'Facts'",
     "ext12_citations": rf"""

@@ -133,7 +133,7 @@ def tre3_expanded(spark, sf_dir):
 def tre5_depth(spark, sf_dir):
     """Depths in the binary tree of all nations' keys."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node_id"))
-    return tree.depths(spark, n.select("node_id", F.when(F.col("node_id") > 0, F.floor((F.col("node_id") - 1) / 2)).alias("parent_id"))).select("node_id", F.col("depth").cast("int").alias("depth"))
+    return tree.depths(n.select("node_id", F.when(F.col("node_id") > 0, F.floor((F.col("node_id") - 1) / 2)).alias("parent_id"))).select("node_id", F.col("depth").cast("int").alias("depth"))
 
 
 def tre6_depth_counts(spark, sf_dir):
@@ -180,8 +180,10 @@ def fe8_not_yet_stored(spark, sf_dir):
 
 
 def snk2_new_rows(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk_id"))
-    return stores.new_rows(o, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), "c_name"), "chunk_id")
+    """Customers, each twice, whose key no supplier has."""
+    old = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("chunk_id"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"), "c_name")
+    return stores.new_rows(old, c.unionByName(c), "chunk_id")
 
 
 def snk3_upsert(spark, sf_dir):
@@ -341,7 +343,7 @@ s AS (SELECT col, string_agg(v, '|' ORDER BY k) AS samples FROM d WHERE k <= 3 G
 SELECT l.col AS "column", count(*) - count(v) AS n_null, count(v) AS n_values, s.samples FROM l JOIN s ON s.col = l.col GROUP BY l.col, s.samples
 """,
     "flt1_filters": "SELECT p_partkey, p_size, p_brand FROM part WHERE p_size > 10 AND (p_brand = 'Brand#12' OR p_type = 'PROMO BRUSHED TIN' OR (p_size <= 20 AND p_size <> 15))",
-    "snk2_new_rows": "SELECT c_custkey AS chunk_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "snk2_new_rows": "SELECT c_custkey AS chunk_id, c_name FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
     "snk3_upsert": """
 SELECT s_suppkey AS chunk_id, s_name AS name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 10)
 UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_nationkey < 10

@@ -280,8 +280,13 @@ def exp7_tree_json(spark, sf_dir):
 
 
 def exp8_report(spark, sf_dir):
-    summaries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tree_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("node_id"))
-    return explain.report(summaries.withColumn("summary", F.concat(F.lit("change "), F.col("node_id").cast("string"))), scored(spark, sf_dir))
+    """All customers; suppliers' keys have sensitivities, summaries and precedents."""
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tree_id"))
+    summaries = own.select("tree_id", F.explode(F.sequence(F.lit(1), F.lit(2))).alias("node_id")).withColumn("summary", F.concat(F.lit("change "), F.col("node_id").cast("string")))
+    ranked = own.select("tree_id", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("rank")).where("tree_id % 3 > 0")
+    precedents = ranked.withColumns({"case_id": F.concat(F.lit("c"), F.col("rank").cast("string")), "section_type": F.lit("Facts"), "score": 1 / (F.col("rank") + 60), "explanation": F.lit("similar")})
+    sheets = counterfactual.sheets(spark, sf_dir)
+    return explain.report(sheets, precedents, summaries, scored(spark, sf_dir), sheets.select("tree_id"))
 
 
 def order_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -323,7 +328,8 @@ def evl8_dispositive(spark, sf_dir):
 
 def evl9_batch(spark, sf_dir):
     cases = evl8_dispositive(spark, sf_dir).join(evl7_spearman(spark, sf_dir).select("case_id", "rho"), "case_id", "left")
-    return evaluate.batch_summary(cases)
+    judged = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("case_id")).agg(F.count_if(F.col("l_returnflag") == "N").alias("accepted"), F.count_if(F.col("l_returnflag") == "R").alias("rejected"))
+    return evaluate.batch_summary(cases.join(judged, "case_id", "left"))
 
 
 def evl15_reports(spark, sf_dir):
@@ -449,9 +455,27 @@ SELECT tree_id, '{{"tree_id":' || CAST(tree_id AS VARCHAR) || ',"nodes":[{{"node
   || CAST(CAST(tree_id % 4 + 0.5 AS DOUBLE) AS VARCHAR) || '}}}}],"sensitivity":{{' || sens || '}}}}' AS json FROM m
 """,
     "exp8_report": f"""
-WITH {_SCORED}, m AS (SELECT tree_id, string_agg('| ' || fact_type || ' | ' || printf('%.4f', CAST(v AS DOUBLE)) || ' |', chr(10) ORDER BY v DESC, fact_type) AS t FROM s GROUP BY tree_id)
-SELECT tree_id, '# Counterfactual report: tree ' || CAST(tree_id AS VARCHAR) || repeat(chr(10), 2) || '## Sensitivity' || repeat(chr(10), 2) || '| fact type | mean displacement |' || chr(10) || '|---|---|' || repeat(chr(10), 2) || t
-  || repeat(chr(10), 2) || '## Changes' || repeat(chr(10), 2) || '- change 1' || chr(10) || '- change 2' AS markdown FROM m
+WITH {_SCORED}, m AS (SELECT tree_id, string_agg('| ' || fact_type || ' | ' || printf('%.4f', CAST(v AS DOUBLE)) || ' |', chr(10) ORDER BY v DESC, fact_type) AS t,
+  'The most legally operative fact for this case is **' || arg_min(fact_type, (-v, fact_type)) || '** with a sensitivity score of **' || printf('%.2f', CAST(max(v) AS DOUBLE)) || '**.' AS top FROM s GROUP BY tree_id),
+p AS (SELECT s_suppkey AS tree_id, string_agg('| ' || CAST(r AS VARCHAR) || ' | c' || CAST(r AS VARCHAR) || ' | Facts | ' || printf('%.4f', CAST(1 / (r + 60) AS DOUBLE)) || ' | similar |', chr(10) ORDER BY r) AS t
+  FROM supplier CROSS JOIN (SELECT unnest(range(1, 11)) AS r) WHERE s_suppkey % 3 > 0 GROUP BY s_suppkey),
+c AS (SELECT c_custkey AS k, abs(round(c_acctbal, 0)) AS bal FROM customer),
+d AS (SELECT k, bal, CASE k % 4 WHEN 0 THEN 'Individual' WHEN 1 THEN 'Tenant' WHEN 2 THEN 'Unknown' ELSE 'State' END AS pet, CASE k % 3 WHEN 0 THEN 'UnionOfIndia' WHEN 1 THEN 'Minor' ELSE 'N/A' END AS resp,
+  array_to_string((['IPC-302', 'IPC-34', 'IPC-304', 'Const-21', 'IPC-999'])[CAST(k % 3 + 1 AS INTEGER) : CAST(k % 3 + k % 4 AS INTEGER)], ', ') AS cited FROM c),
+i AS (SELECT k, v, k + CASE WHEN v = 0 THEN 0 ELSE 1 END AS item FROM c CROSS JOIN (VALUES (0), (1), (2)) t(v) WHERE v < k % 4),
+e AS (SELECT k, string_agg('- ' || CASE item % 4 WHEN 0 THEN 'FIR' WHEN 1 THEN 'MedicalReport' WHEN 2 THEN 'Witness' ELSE 'Confession' END || ': item ' || CAST(item AS VARCHAR), chr(10) ORDER BY v) AS lines FROM i GROUP BY k)
+SELECT d.k AS tree_id, '# Counterfactual report: tree ' || CAST(d.k AS VARCHAR) || chr(10) || chr(10) || '## 1. Query case fact sheet' || chr(10) || chr(10) || '**Case ID:** case ' || CAST(d.k AS VARCHAR)
+  || chr(10) || chr(10) || '| Role | Type |' || chr(10) || '|------|------|' || chr(10) || '| Petitioner | ' || pet || ' |' || chr(10) || '| Respondent | ' || resp || ' |'
+  || CASE WHEN d.k % 4 > 0 THEN chr(10) || chr(10) || '**Sections cited:** ' || cited ELSE '' END
+  || CASE WHEN d.k % 5 > 0 THEN chr(10) || chr(10) || '**Outcome:** ' || CASE d.k % 2 WHEN 0 THEN 'Allowed' ELSE 'Dismissed' END ELSE '' END
+  || coalesce(chr(10) || chr(10) || '**Evidence items:**' || chr(10) || chr(10) || e.lines, '')
+  || chr(10) || chr(10) || '**Numerical facts:**' || chr(10) || chr(10) || '- Amount: ' || CAST(CAST(bal AS BIGINT) AS VARCHAR) || '.0 rupees (paid)' || chr(10) || '- Age: ' || CAST(d.k % 70 + 1 AS VARCHAR) || ' (years old)' || chr(10)
+  || '- Duration: ' || CAST(d.k % 9 + 1 AS VARCHAR) || '.0 years (in custody)' || chr(10) || chr(10) || '## 2. Top retrieved precedents' || chr(10) || chr(10)
+  || coalesce('| Rank | Case ID | Section type | Score | Explanation |' || chr(10) || '|------|---------|-------------|-------|-------------|' || chr(10) || p.t, 'No precedents were retrieved.')
+  || chr(10) || chr(10) || '## 3. Counterfactual analysis'
+  || coalesce(chr(10) || chr(10) || '| Fact type | Mean displacement |' || chr(10) || '|---|---|' || chr(10) || m.t || chr(10) || chr(10) || '- change 1' || chr(10) || '- change 2', '')
+  || chr(10) || chr(10) || '## 4. Conclusion' || chr(10) || chr(10) || coalesce(m.top, 'Sensitivity scores are not available: they need a deeper tree with results.') || chr(10) || chr(10) || 'Nodes of the tree: 1.' AS markdown
+FROM d LEFT JOIN e ON e.k = d.k LEFT JOIN p ON p.tree_id = d.k LEFT JOIN m ON m.tree_id = d.k
 """,
     "evl1_mrr": f"WITH {_ORDERS} SELECT query_id, round(coalesce(1 / min(r) FILTER (hit AND r <= 10), 0.0), 9) AS mrr_10 FROM o GROUP BY query_id",
     "evl2_ndcg": f"""
@@ -464,8 +488,9 @@ SELECT query_id, round(CASE WHEN n = 0 THEN 0.0 ELSE dcg / list_sum(list_transfo
     "evl7_spearman": f"WITH {_FACTS}, {_SPEARMAN} SELECT case_id, n, rho FROM sp",
     "evl8_dispositive": f"WITH {_FACTS}, {_DISPOSITIVE} SELECT * FROM da",
     "evl9_batch": f"""
-WITH {_FACTS}, {_SPEARMAN}, {_DISPOSITIVE} SELECT count(*) AS n_cases, round(avg(dispositive_accuracy), 6) AS dispositive_accuracy, round(avg(other_accuracy), 6) AS other_accuracy, round(avg(rho), 6) AS mean_rho
-FROM da LEFT JOIN sp ON sp.case_id = da.case_id
+WITH {_FACTS}, {_SPEARMAN}, {_DISPOSITIVE}, j AS (SELECT count(*) FILTER (l_returnflag = 'N') AS a, count(*) FILTER (l_returnflag = 'R') AS r FROM lineitem)
+SELECT count(*) AS n_cases, round(avg(dispositive_accuracy), 4) AS dispositive_accuracy, round(avg(other_accuracy), 4) AS other_accuracy, round(avg(rho), 4) AS mean_rho, round(max(a / (a + r)), 4) AS accept_rate
+FROM da LEFT JOIN sp ON sp.case_id = da.case_id CROSS JOIN j
 """,
     "evl15_reports": """
 SELECT n_regionkey, count(*) AS n, 'counts' AS report, CAST(NULL AS VARCHAR) AS r_name FROM nation GROUP BY n_regionkey UNION ALL SELECT r_regionkey, NULL, 'names', r_name FROM region

@@ -35,6 +35,15 @@ def vec1_knn_cosine(spark, sf_dir):
     return first_ranker(spark, sf_dir)
 
 
+def vec1_knn_odd_rows(spark, sf_dir):
+    """The same among vectors that are null, shorter or longer, which change nothing."""
+    odd = spark.createDataFrame([(-1, None), (-2, []), (-3, [1.0, 2.0, 3.0]), (-4, [1.0] * 65)], "vec_id long, embedding array<float>")
+    own = corpus(spark, sf_dir).select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    extra = spark.createDataFrame([(-5, None), (-6, [1.0])], "query_id long, vector array<float>")
+    asked = query_set(spark, sf_dir).select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").cast("array<float>").alias("vector"))
+    return vectors.top_k(own.unionByName(odd), asked.unionByName(extra), 50)
+
+
 def vec1_knn_dot(spark, sf_dir):
     return vectors.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 50, metric="dot")
 
@@ -210,7 +219,7 @@ def evl17_pseudo_relevance(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        vec1_knn_cosine, vec1_knn_dot, vec2_knn_filtered, vec3_pair_cosine, vec4_fetch_vectors, vec5_dual_query, rnk1_rrf, rnk2_mmr, rnk3_passthrough_rerank,
+        vec1_knn_cosine, vec1_knn_odd_rows, vec1_knn_dot, vec2_knn_filtered, vec3_pair_cosine, vec4_fetch_vectors, vec5_dual_query, rnk1_rrf, rnk2_mmr, rnk3_passthrough_rerank,
         rnk4_attribution, rnk5_full_pipeline, rnk6_ablation_modes, rnk7_distinct_first, rnk8_set_compare, dif1_rank_diff, dif2_sensitivity, dif3_case_path,
         dif4_diff_table, dif5_most_operative, evl4_query_metrics, evl5_mode_means, evl6_paired_t, evl17_pseudo_relevance,
     )
@@ -281,6 +290,7 @@ step AS (
 
 ORACLES = {
     "vec1_knn_cosine": f"WITH {_BASE} SELECT query_id, id, score, rank FROM r1",
+    "vec1_knn_odd_rows": f"WITH {_BASE} SELECT query_id, id, score, rank FROM r1",
     "vec1_knn_dot": """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(q.e, v.e), 9) AS score FROM v q CROSS JOIN v WHERE q.vec_id % 100 = 0)
@@ -349,9 +359,12 @@ WITH {_BASE}{_MODES}{_METRICS} SELECT mode, count(*) AS n_queries, round(avg(mrr
     "evl6_paired_t": f"""
 WITH {_BASE}{_MODES}{_METRICS}, l AS (
   SELECT query_id, mode, 'mrr_10' AS metric, mrr_10 AS x FROM met UNION ALL SELECT query_id, mode, 'ndcg_10', ndcg_10 FROM met),
-d AS (SELECT o.mode, o.metric, h.x - o.x AS d FROM l h JOIN l o ON o.query_id = h.query_id AND o.metric = h.metric WHERE h.mode = 'hybrid_no_mmr' AND o.mode <> 'hybrid_no_mmr')
-SELECT mode, metric, count(*) AS n, round(avg(d), 6) AS mean_difference, round(CASE WHEN stddev_samp(d) > 1e-12 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END, 4) AS t_statistic
-FROM d GROUP BY mode, metric
+d AS (SELECT o.mode, o.metric, h.x - o.x AS d FROM l h JOIN l o ON o.query_id = h.query_id AND o.metric = h.metric WHERE h.mode = 'hybrid_no_mmr' AND o.mode <> 'hybrid_no_mmr'),
+x AS (SELECT mode, metric, count(*) AS n, avg(d) AS m, CASE WHEN stddev_samp(d) > 1e-12 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t FROM d GROUP BY mode, metric),
+-- Twice the upper tail of Student's density, by Simpson's rule between 0 and t.
+y AS (SELECT mode, metric, n, m, t, 1 - 2 * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt(pi() * (n - 1)) * abs(t) / 6000 * list_sum(list_transform(range(0, 2001), lambda i:
+  CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * power(1 + power(t * i / 2000, 2) / (n - 1), -n / 2))) AS p FROM x)
+SELECT mode, metric, n, round(m, 6) AS mean_difference, round(t, 4) AS t_statistic, round(p, 6) AS p_value FROM y
 """,
     "evl17_pseudo_relevance": f"""
 WITH {_BASE}, b AS (SELECT query_id, label, min(rank) AS rank FROM f JOIN v ON v.vec_id = f.id WHERE rank <= 50 GROUP BY query_id, label),

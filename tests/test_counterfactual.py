@@ -146,7 +146,7 @@ def test_tree_tools(spark, adjacency):
     assert (last["parent_id"], last["depth"], last["edge"]["fact_type"], last["edge"]["original_value"]) == (2, 2, "Numerical", "(manual)")
     lines = tree.outline(more).first()["outline"].split("\n")
     assert lines[0] == "0: root" and lines[-1] == "    3: by hand" and len(lines) == 4
-    assert {r["node_id"]: r["depth"] for r in tree.depths(spark, more).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
+    assert {r["node_id"]: r["depth"] for r in tree.depths(more).collect()} == {0: 0, 1: 1, 2: 1, 3: 2}
     assert tree.edges(more).count() == 3
     edited = more.limit(1).select(tree.edited_sheet(F.col("sheet"), F.lit(" IPC-1, ,IPC-2 "), F.lit('[{"evidence_type":"FIR","description":"x"}]'), F.lit("  ")).alias("s")).first()["s"]
     assert edited["sections_cited"] == ["IPC-1", "IPC-2"] and edited["outcome"] is None and edited["evidence_items"][0]["evidence_type"] == "FIR"

@@ -27,6 +27,7 @@ def test_blocks_of_queries_agree(spark, monkeypatch):
     q = v.where("vec_id % 7 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
     whole = sorted(map(tuple, vectors.top_k(v, q, 5).collect()))
     monkeypatch.setattr(vectors, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(vectors, "BLOCKS", 2)
     assert sorted(map(tuple, vectors.top_k(v, q, 5).collect())) == whole
 
 
@@ -41,7 +42,9 @@ def test_a_vector_of_another_length_hides_no_neighbour(spark):
     q = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 1.0])], "query_id long, vector array<double>")
     for dims in (None, (2, 4)):
         got = {r["id"]: round(r["score"], 6) for r in vectors.top_k(v, q, 9, dims=dims).collect()}
-        assert got == {1: 1.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
+        assert got == {1: 1.0, 2: 0.0}
+    away = spark.createDataFrame([(1, [-1.0, 0.0, 0.0, -1.0]), (2, None), (3, [1.0])], "query_id long, vector array<double>")
+    assert [(r["query_id"], r["id"], round(r["score"], 6)) for r in vectors.top_k(v, away, 1).collect()] == [(1, 2, 0.0)]  # no null comes before a negative cosine
 
 
 def test_fusion_golden_values(spark):
@@ -146,7 +149,9 @@ def test_student_p_values():
 def test_paired_tests(spark):
     data = [(f"q{i}", m, x + i / 10) for i in range(5) for m, x in (("full", 0.3 + (i % 2) / 10), ("other", 0.1))]
     m = spark.createDataFrame(data, "query_id string, mode string, mrr_10 double")
-    got = evaluate.paired_t_tests(m, "full", ["mrr_10"])
+    fewer = spark.createDataFrame([("q1", "fewer", 0.5)], m.schema)
+    got = [r.asDict() for r in evaluate.paired_differences(m.unionByName(fewer), "full", ["mrr_10"]).collect()]
+    assert len(got) == 1  # a mode with another number of queries is left out
     assert got[0]["n"] == 5 and got[0]["t_statistic"] == pytest.approx(9.7980, abs=1e-3) and got[0]["p_value"] == pytest.approx(0.000609, abs=1e-5)
 
 

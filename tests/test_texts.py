@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import chunking, explain, extract, text
+from plumbline.operators import chunking, explain, extract, facts, text
 
 CASE = """IN THE SUPREME COURT OF INDIA
 Criminal Appeal No. 12-13 / 2019
@@ -144,8 +144,24 @@ def test_tree_output(spark):
     data = json.loads(explain.tree_json(nodes, diffs, scores).first()["json"])
     assert data["nodes"][1]["diff"]["newly_appeared_cases"] == ["b"] and data["sensitivity"] == {"Evidence": 0.0, "Section": 1.5}
     summaries = spark.createDataFrame([(1, 1, "When x, y.")], "tree_id int, node_id int, summary string")
-    page = explain.report(summaries, scores).first()["markdown"]
-    assert page.startswith("# Counterfactual report: tree 1") and "| Section | 1.5000 |" in page and page.endswith("- When x, y.")
+    sheets = facts.extract_sheets(spark.createDataFrame([(1, "A witness saw him, aged 20."), (2, None)], "tree_id int, facts string"))
+    found = spark.createDataFrame([(1, 1, "c", "Facts", 0.5, "near")], "tree_id int, rank int, case_id string, section_type string, score double, explanation string")
+    page, other = (r["markdown"] for r in explain.report(sheets, found, summaries, scores, nodes).orderBy("tree_id").collect())
+    assert page.startswith("# Counterfactual report: tree 1") and "| Section | 1.5000 |" in page and "\n\n- When x, y.\n\n" in page and "- Age: 20 (person)" in page
+    assert "| 1 | c | Facts | 0.5000 | near |" in page and "**Section** with a sensitivity score of **1.50**." in page and page.endswith("Nodes of the tree: 2.")
+    assert "No precedents were retrieved." in other and "not available" in other and other.endswith("Nodes of the tree: 0.")
+
+
+ANSWERS = {
+    '{"case_id": "a"}': "a", '```json\n{"case_id": "b"}\n```': "b", 'Here: {"case_id": "c", "parties": {"petitioner_type": "State"}} and {more} later }': "c",
+    'x } {"case_id": "d"} {"case_id": "e"}': "d", '{"case_id": ': None, "no braces": None, "{a} {\"case_id\": \"f\"}": None, None: None, '{"outcome": null}': "own",
+}
+
+
+def test_first_balanced_block_of_an_answer(spark):
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(ANSWERS)], "i int, raw string")
+    got = df.select("i", facts.from_answer(F.col("raw"), F.lit("own"))["case_id"].alias("id")).orderBy("i").collect()
+    assert [r["id"] for r in got] == list(ANSWERS.values())
 
 
 @pytest.mark.parametrize("fact", ["Section", "PartyType", "Evidence", "Numerical"])
