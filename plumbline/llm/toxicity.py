@@ -1,17 +1,19 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A text is a sequence of words and clause ends. The tagger transducer maps each to a symbol: insult, threat, target,
-negation, reported speech, clause end or other; insults carry a weight from a learned lexicon of words and word
-beginnings. The clause transducer reads the symbols with a state (negated, reported, target seen) and writes each
-insult's weight into a context: plain, targeted, negated or reported; a threat counts once its clause has a target. A
-clause's match is what it wrote, and documents are scored on matched clauses: sums by context, the best clause and the
-density, in a logistic model.
+A text is a sequence of words and clause ends. The tagger maps each to a symbol: insult, threat, target, negation,
+reported speech, clause end or other; insults carry a weight from a learned lexicon of words and word beginnings. Three
+transducers, each a table of arcs (state, symbol) to (state, symbol), rewrite the symbols: the negation transducer counts
+down its reach after a negation and marks insults and threats as negated, the report transducer does so for reported
+speech, and the target transducer remembers a target up to the clause end and marks that end. They are composed into one
+machine, which a text is read by once. Its output is weighted by context: what an insult weighs goes to plain, targeted,
+negated or reported, and a threat counts once its clause has a target. A clause's match is what was written in it, and
+documents are scored on matched clauses: sums by context, the best clause and the density, in a logistic model.
 
 Learning (from labelled rows whose crc32(id) mod 5 is not 0, at most ``bound`` of them by the hash of their id, equal
-texts once): words and beginnings of toxic texts are counted per text, the ``candidates`` most frequent are counted in
-the other texts, and those whose log odds are above log 3 by two standard errors become the lexicon. The model's
-weights are fitted by iterated least squares on the sample's features, drawn towards fixed prior weights. Without labels of
-both kinds the fixed seed words and the prior weights are used.
+texts once): words and beginnings are counted per text on both sides in Spark, and those whose log odds are above log 3
+by two standard errors become the lexicon, however many there are. The model's weights are fitted by iterated least
+squares on the sample's features, drawn towards fixed prior weights. Without labels of both kinds the fixed seed words
+and the prior weights are used.
 
 Cases: a null or empty text has no clause and gets the score of the bias alone; a null id is scored like any other (its
 remainder is that of the empty string); repeated rows are scored each; labels of unknown documents are ignored;
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.lookup import rows_with_ids
-from plumbline.session import cut, python_ready
+from plumbline.session import cut, python_ready, release, staged
 
 #: Seed words of the transducers, by symbol.
 INSULTS = "idiot idiots moron morons stupid scum trash loser losers pathetic worthless disgusting clown imbecile filth vermin dumb"
@@ -40,7 +42,7 @@ TARGETS = "you your yours u they them their he him his she her du dich dir dein
 NEGATIONS = "not no never none nobody isn't aren't don't nicht kein keine nie pas jamais ne nunca jamás"
 REPORTS = "said says say told quote quoted reported claims claimed allegedly wrote sagte sagt dit disait dijo dice"
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, NEGATED_INSULT, NEGATED_THREAT, REPORTED_INSULT, TARGETED_END = range(11)
 NOTHING = (OTHER, 0.0)
 #: Words that a worker keeps with their symbols, and patterns that it counts before it hands them on.
 REMEMBERED, COUNTED = 150_000, 200_000
@@ -63,8 +65,52 @@ def forms(word: str) -> Iterator[str]:
         yield word[:k] + "*"
 
 
+#: A transducer: for every state a row of (next state, output) by symbol. State 0 is the initial one.
+Transducer = list[list[tuple[int, int]]]
+
+
+def within_reach(trigger: int, marked: dict[int, int], reach: int = REACH) -> Transducer:
+    """Marks symbols up to ``reach`` places after a trigger, not beyond the clause end; the state is what is left of the reach."""
+
+    def arc(left: int, symbol: int) -> tuple[int, int]:
+        after = reach if symbol == trigger else 0 if symbol in (END, TARGETED_END) else max(0, left - 1)
+        return after, marked.get(symbol, symbol) if left else symbol
+
+    return [[arc(left, symbol) for symbol in range(TARGETED_END + 1)] for left in range(reach + 1)]
+
+
+def remembered(trigger: int) -> Transducer:
+    """Marks the clause end if the trigger came before it."""
+    return [[(0, (END, TARGETED_END)[seen]) if symbol == END else (int(seen or symbol == trigger), symbol) for symbol in range(TARGETED_END + 1)] for seen in range(2)]
+
+
+def composed(first: Transducer, second: Transducer) -> Transducer:
+    """One machine that does what the second does to the output of the first; its states are the pairs that can be reached."""
+    number, pairs, out = {(0, 0): 0}, [(0, 0)], []
+    for a, b in pairs:  # grows meanwhile
+        row = []
+        for symbol in range(TARGETED_END + 1):
+            after_a, between = first[a][symbol]
+            after_b, written = second[b][between]
+            pair = (after_a, after_b)
+            if pair not in number:
+                number[pair] = len(pairs)
+                pairs.append(pair)
+            row.append((number[pair], written))
+        out.append(row)
+    return out
+
+
+NEGATED = within_reach(NEGATION, {INSULT: NEGATED_INSULT, THREAT: NEGATED_THREAT})
+REPORTED = within_reach(REPORT, {INSULT: REPORTED_INSULT, NEGATED_INSULT: REPORTED_INSULT})
+TARGETED = remembered(TARGET)
+MACHINE = composed(composed(NEGATED, REPORTED), TARGETED)
+#: Where the machine's output is written: plain, targeted, negated, reported, threats.
+PLACES = {INSULT: 0, NEGATED_INSULT: 2, REPORTED_INSULT: 3, THREAT: 4}
+
+
 class Tagger(dict):
-    """The tagger transducer: word to (symbol, weight), worked out once while it is remembered."""
+    """The tagger: word to (symbol, weight), worked out once while it is remembered. Apostrophes may be curly."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
@@ -75,7 +121,7 @@ class Tagger(dict):
     def __missing__(self, word: str) -> tuple[int, float]:
         if len(self) >= REMEMBERED:
             self.clear()
-        found = self.ends.get(word) or self.fixed.get(word)
+        found = self.ends.get(word) or self.fixed.get(word.replace("’", "'"))
         if not found:
             weight = max((self.lexicon.get(f, 0.0) for f in forms(word)), default=0.0)
             found = (INSULT, weight) if weight > 0 else NOTHING
@@ -83,37 +129,23 @@ class Tagger(dict):
         return found
 
 
-def clause_matches(symbols: list[tuple[int, float]]) -> list[list[float]]:
+def clause_matches(symbols: list[tuple[int, float]], machine: Transducer = MACHINE) -> list[list[float]]:
     """Per matched clause: weights written to plain, targeted, negated, reported, and its threats."""
     out: list[list[float]] = []
-    written, threats, target = [0.0] * 4, 0, False
-    negated = reported = -REACH - 1
-
-    def close() -> None:
-        if any(written) or (threats and target):
-            if target and written[0]:
-                written[1] += written[0]
-                written[0] = 0.0
-            out.append([*written, float(threats if target else 0)])
-
-    for at, (symbol, weight) in enumerate(symbols):
-        if symbol == OTHER:
-            continue
-        if symbol == INSULT:
-            written[3 if at - reported <= REACH else 2 if at - negated <= REACH else 0] += weight
-        elif symbol == THREAT:
-            threats += at - negated > REACH
-        elif symbol == TARGET:
-            target = True
-        elif symbol == NEGATION:
-            negated = at
-        elif symbol == REPORT:
-            reported = at
-        else:
-            close()
-            written, threats, target = [0.0] * 4, 0, False
-            negated = reported = at - REACH - 1
-    close()
+    state, written = 0, None
+    for symbol, weight in (*symbols, (END, 0.0)):
+        state, said = machine[state][symbol]
+        if said in PLACES:
+            written = written or [0.0] * 5
+            written[PLACES[said]] += weight
+        elif written and said in (END, TARGETED_END):
+            if said == TARGETED_END:
+                written[0], written[1] = 0.0, written[0]
+            else:
+                written[4] = 0.0
+            if any(written):
+                out.append(written)
+            written = None
     return out
 
 
@@ -158,27 +190,22 @@ def held_out(id_column: Column) -> Column:
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit(""))) % 5 == 0
 
 
-def _counted(wanted: frozenset[str] | None):
-    """Texts per pattern, summed over the task's rows: all patterns, or those wanted."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts per pattern, summed over the task's rows."""
+    seen: Counter[str] = Counter()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+    def batch_of(counts: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "texts"])
 
-        def batch_of(counts: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pattern", "texts"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                words = set(TOKENS.findall((text or "").lower()))
-                found = {f for w in words for f in forms(w)}
-                seen.update(found if wanted is None else found & wanted)
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            words = set(TOKENS.findall((text or "").lower()))
+            seen.update({f for w in words for f in forms(w)})
             if len(seen) > COUNTED:  # a large task hands on what it has
                 yield batch_of(seen)
                 seen.clear()
-        if seen:
-            yield batch_of(seen)
-
-    return run
+    if seen:
+        yield batch_of(seen)
 
 
 def _featured(lexicon: dict[str, float]):
@@ -201,29 +228,27 @@ def _scored(lexicon: dict[str, float], weights: np.ndarray):
     return run
 
 
-def lexicon_of(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, z: float = 2.0) -> dict[str, float]:
-    """Patterns with log odds above log 3 by ``z`` standard errors, and the log odds (6 at most)."""
-    out = {}
-    for pattern, t in toxic.items():
-        c = clean.get(pattern, 0)
-        odds = math.log((t + 0.5) / (n_toxic + 1)) - math.log((c + 0.5) / (n_clean + 1))
-        if odds - z * math.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) > math.log(3):
-            out[pattern] = min(6.0, odds)
-    return without_narrow(out, toxic)
+def telling(counts: DataFrame, n_toxic: int, n_clean: int, z: float = 2.0) -> DataFrame:
+    """Patterns (pattern, toxic, clean: texts that have it) with log odds above log 3 by ``z`` standard errors, and the log odds (6 at most)."""
+    t, c = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(t / (n_toxic + 1)) - F.log(c / (n_clean + 1))
+    return counts.where(odds - z * F.sqrt(1 / t + 1 / c) > math.log(3)).withColumn("weight", F.least(F.lit(6.0), odds))
 
 
-def without_narrow(lexicon: dict[str, float], texts: dict[str, int]) -> dict[str, float]:
-    """The lexicon without beginnings that one word, or one longer beginning, accounts for almost alone."""
-    word, longer = Counter(), Counter()
-    for pattern, n in texts.items():
-        stem = pattern.rstrip("*")
-        into = longer if pattern.endswith("*") else word
-        for k in range(PREFIXES.start, len(stem) + (into is word)):
-            into[stem[:k]] = max(into[stem[:k]], n)
-    return {p: w for p, w in lexicon.items() if not p.endswith("*") or (texts[p] > 1.5 * word[p[:-1]] and texts[p] > 1.05 * longer[p[:-1]])}
+def without_narrow(found: DataFrame, toxic: DataFrame) -> DataFrame:
+    """``found`` without beginnings that one word, or one longer beginning, accounts for almost alone."""
+    begins = F.col("pattern").endswith("*")
+    stems = toxic.select(F.rtrim("pattern", F.lit("*")).alias("stem"), begins.alias("begins"), F.col("toxic").alias("n"))
+    sizes = F.sequence(F.lit(PREFIXES.start), F.least(F.length("stem") - F.col("begins").cast("int"), F.lit(PREFIXES.stop - 1)))
+    spread = stems.where(F.length("stem") - F.col("begins").cast("int") >= PREFIXES.start).select("begins", "n", F.col("stem"), F.explode(sizes).alias("k"))
+    within = spread.groupBy(F.concat(F.substring("stem", F.lit(1), F.col("k")), F.lit("*")).alias("beginning"))
+    most = within.agg(F.max(F.when(~F.col("begins"), F.col("n"))).alias("word"), F.max(F.when(F.col("begins"), F.col("n"))).alias("longer"))
+    joined = found.join(most, F.col("pattern") == F.col("beginning"), "left")
+    wide = (F.col("toxic") > 1.5 * F.coalesce("word", F.lit(0))) & (F.col("toxic") > 1.05 * F.coalesce("longer", F.lit(0)))
+    return joined.where(~begins | wide).select(found.columns)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 30_000, candidates: int = 100_000) -> tuple[dict[str, float], np.ndarray]:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bound: int = 30_000) -> tuple[dict[str, float], np.ndarray]:
     """The lexicon and the model's weights from at most ``bound`` labelled rows that are not held out."""
     python_ready(docs.sparkSession)
     lexicon = {w: 2.0 for w in INSULTS.split()}
@@ -241,17 +266,21 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not n.get(1) or not n.get(0):
         return lexicon, PRIOR
 
-    def counted(toxic: int, wanted: frozenset[str] | None) -> DataFrame:
-        rows = sample.where(F.col("_toxic") == toxic).select("_text").mapInArrow(_counted(wanted), "pattern string, texts long")
-        return rows.groupBy("pattern").agg(F.sum("texts").alias("texts"))
-
-    few = max(3, n[1] // 1000)
-    toxic = dict(counted(1, None).where(F.col("texts") >= few).orderBy(F.desc("texts"), "pattern").limit(candidates).toPandas().itertuples(index=False, name=None))
-    clean = dict(counted(0, frozenset(toxic)).toPandas().itertuples(index=False, name=None))
-    lexicon |= lexicon_of(toxic, clean, n[1], n[0])
-    for word in INSULTS.split():  # seeds that the labels speak against
-        if clean.get(word, 0) > 20 and word not in lexicon_of({word: toxic.get(word, 0)}, clean, n[1], n[0], 0.0):
-            lexicon.pop(word, None)
+    def counted(toxic: int, name: str) -> DataFrame:
+        rows = sample.where(F.col("_toxic") == toxic).select("_text").mapInArrow(_counted, "pattern string, texts long")
+        return rows.groupBy("pattern").agg(F.sum("texts").alias(name))
+
+    # A pattern in fewer than three toxic texts cannot pass whatever the clean ones hold.
+    toxic = staged(counted(1, "toxic").where("toxic >= 3"))
+    clean = staged(counted(0, "clean").where("clean > 0"))
+    counts = staged(toxic.join(clean, "pattern", "left").select("pattern", "toxic", F.coalesce("clean", F.lit(0)).alias("clean")))
+    lexicon |= {r["pattern"]: r["weight"] for r in without_narrow(telling(counts, n[1], n[0]), toxic).select("pattern", "weight").collect()}
+    # Seeds that the labels speak against go.
+    seeds = clean.where(F.col("pattern").isin(INSULTS.split()) & (F.col("clean") > 20)).join(toxic, "pattern", "left")
+    seeds = seeds.select("pattern", F.coalesce("toxic", F.lit(0)).alias("toxic"), "clean")
+    for r in seeds.join(telling(seeds, n[1], n[0], 0.0).select("pattern"), "pattern", "left_anti").collect():
+        lexicon.pop(r["pattern"], None)
+    release(toxic, clean, counts)
     rows = sample.mapInArrow(_featured(lexicon), "toxic int, x array<double>").toPandas()
     x = np.array(rows["x"].tolist(), float)
     return lexicon, fit(x, rows["toxic"].to_numpy(float))

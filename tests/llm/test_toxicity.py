@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -61,6 +62,49 @@ def test_contexts_of_a_clause():
     assert plain > negated
 
 
+def applied(machine, symbols):
+    state, out = 0, []
+    for s in symbols:
+        state, said = machine[state][s]
+        out.append(said)
+    return out
+
+
+def test_composed_machine_does_what_its_parts_do():
+    rnd = random.Random(7)
+    for _ in range(500):
+        symbols = [rnd.choice([t.OTHER, t.OTHER, *range(t.END + 1)]) for _ in range(rnd.randrange(60))]
+        one_by_one = applied(t.TARGETED, applied(t.REPORTED, applied(t.NEGATED, symbols)))
+        assert applied(t.MACHINE, symbols) == one_by_one
+    assert len(t.MACHINE) <= len(t.NEGATED) * len(t.REPORTED) * len(t.TARGETED)
+
+
+def test_curly_apostrophes_negate_and_long_texts_end():
+    tagger = t.Tagger({"blarg": 2.0})
+    assert t.features("he isn’t a blarg", tagger) == t.features("he isn't a blarg", tagger) != t.features("he is a blarg", tagger)
+    assert t.features("word " * 200_000 + "blarg", tagger)[0] > 0
+
+
+def test_lexicon_against_plain_counts(spark):
+    rnd = random.Random(2)
+    toxic = {f"w{i}": rnd.randrange(3, 60) for i in range(300)} | {"grump*": 40, "gru*": 41, "grum*": 40, "grumpy": 20, "grumps": 19, "sol*": 30, "solo": 29}
+    clean = {k: rnd.randrange(0, 60) for k in list(toxic)[:250]}
+    counts = spark.createDataFrame([(k, v, clean.get(k, 0)) for k, v in toxic.items()], "pattern string, toxic long, clean long")
+    got = {r["pattern"]: r["weight"] for r in t.without_narrow(t.telling(counts, 300, 2000), counts).collect()}
+    want = {}
+    for k, v in toxic.items():
+        c = clean.get(k, 0)
+        odds = math.log((v + 0.5) / 301) - math.log((c + 0.5) / 2001)
+        if odds - 2 * math.sqrt(1 / (v + 0.5) + 1 / (c + 0.5)) <= math.log(3):
+            continue
+        if k.endswith("*"):
+            inside = [(x, n) for x, n in toxic.items() if x != k and x.rstrip("*").startswith(k[:-1])]
+            if any(v <= (1.05 if x.endswith("*") else 1.5) * n for x, n in inside):
+                continue
+        want[k] = min(6.0, odds)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want) and "grump*" in want and "sol*" not in want
+
+
 def test_without_labels_the_seeds_decide(spark, documents):
     rows = [(1, "you idiot, you worthless scum"), (2, "a fine day"), (3, None), (4, ""), (None, "x"), (2, "a fine day")]
     got = sorted((r["doc_id"] or -1, r["predicted"]) for r in t.score_documents(documents(rows), label_table(spark, [])).collect())
