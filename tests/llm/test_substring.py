@@ -63,5 +63,12 @@ def test_beyond_the_bound_of_a_broadcast(documents, monkeypatch):
     check(documents, corpus(3), 35)
 
 
+def test_very_long_texts(documents):
+    rnd = random.Random(9)
+    passage = " ".join(f"p{rnd.randrange(999)}" for _ in range(50))
+    long = " ".join(f"w{rnd.randrange(9999)}" for _ in range(40_000))
+    check(documents, [(1, f"{long} {passage} end"), (2, f"start {passage} {long[:3000]}"), (3, "same " * 30_000)], 35)
+
+
 def test_no_rows(documents):
     assert substring.remove_repeats(documents([])).count() == 0
