@@ -137,8 +137,8 @@ def tre5_depth(spark, sf_dir):
 
 
 def tre6_depth_counts(spark, sf_dir):
-    own = sheets(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tree_id")), "tree_id", "left_semi")
-    nodes, _ = tree.expand(own.select("tree_id", "sheet"), adjacency(spark), None, max_depth=2, max_children=2)
+    """Trees of all customers, two children down to depth two."""
+    nodes, _ = tree.expand(sheets(spark, sf_dir).select("tree_id", "sheet"), adjacency(spark), None, max_depth=2, max_children=2)
     return tree.depth_counts(nodes)
 
 
@@ -318,7 +318,7 @@ SELECT tree_id, 3 AS source_pos, 0 AS item_pos, CAST(v AS INTEGER) AS variant_po
 UNION ALL SELECT tree_id, 3, 1, CAST(v AS INTEGER), 'absent:' || kind, 'added:' || kind, 'Evidence added: ' || kind, n + 1 FROM a
 """,
     "tre6_depth_counts": """
-SELECT s_suppkey AS tree_id, depth, CAST(power(2, depth) AS BIGINT) AS n FROM supplier CROSS JOIN (VALUES (0), (1), (2)) t(depth) WHERE s_suppkey IN (SELECT c_custkey FROM customer)
+SELECT c_custkey AS tree_id, depth, CAST(power(2, depth) AS BIGINT) AS n FROM customer CROSS JOIN (VALUES (0), (1), (2)) t(depth)
 """,
     "tre5_depth": """
 WITH RECURSIVE n AS (SELECT CAST(n_nationkey AS BIGINT) AS id, CASE WHEN n_nationkey > 0 THEN CAST((n_nationkey - 1) // 2 AS BIGINT) END AS up FROM nation),
