@@ -30,7 +30,7 @@ from plumbline.session import python_ready
 
 NONE = np.int32(2**31 - 1)
 #: Pieces that a worker keeps with their ids; beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 100_000
 
 
 class Encoder:
@@ -44,6 +44,7 @@ class Encoder:
         for piece, rank in ranks.items():
             self.bytes_of[rank] = piece
         self.text_of = [str(i) for i in range(len(self.bytes_of))]
+        self.number = list(range(len(self.bytes_of)))  # one object for each id in all pieces that are remembered
         self.find = regex.compile(pattern).findall
         self.byte_ids = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
         # Every way to cut a token into two tokens is a pair whose rank is the token's.
@@ -53,8 +54,8 @@ class Encoder:
             for at in range(1, len(piece))
             if (left := ranks.get(piece[:at])) is not None and (right := ranks.get(piece[at:])) is not None
         ]
-        # An open-addressed table finds a pair in one or two steps.
-        bits = 21
+        # An open-addressed table, a quarter full at most, finds a pair in one or two steps.
+        bits = (4 * len(pairs)).bit_length()
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NONE, np.int32)
         keys = np.array([k for k, _ in pairs], np.int64)
@@ -146,7 +147,7 @@ class Encoder:
                 node = node >> 1
                 tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
         kept = tokens >= 0
-        flat = tokens[kept].tolist()
+        flat = [self.number[i] for i in tokens[kept].tolist()]
         ends = np.cumsum(kept.sum(axis=1)).tolist()
         return [tuple(flat[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 

@@ -11,7 +11,7 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 MIX_A, MIX_B = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 #: Words that a worker keeps with their hashes; beyond that it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 class WordHashes(dict):
