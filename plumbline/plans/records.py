@@ -83,10 +83,11 @@ def src5_fallback_path(spark, sf_dir):
 
 
 def src7_json_sources(spark, sf_dir):
-    """One object of strings, and rows of objects with lists."""
+    """Objects of strings, one for each region, and rows of objects with lists."""
     n = table(spark, sf_dir, "nation")
     one, many = scratch(spark), scratch(spark)
-    n.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name")))).alias("value")).write.text(one)
+    regions = n.groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("n_nationkey").cast("string"), "n_name")))).alias("value"))
+    regions.write.partitionBy("n_regionkey").text(one)
     n.select("n_nationkey", F.array("n_name", F.lit('a "b"')).alias("names")).write.json(many)
     pairs = stores.json_map(spark, one, "n_nationkey", "n_name").select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
     rows = spark.read.schema("n_nationkey int, names array<string>").json(many)
@@ -161,9 +162,8 @@ def snk6_report_json(spark, sf_dir):
 
 
 def snk7_latex(spark, sf_dir):
-    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n_nations"), F.avg("n_nationkey").alias("mean_key")).orderBy("n_regionkey").limit(100)
-    latex = stores.latex_table([r.asDict() for r in rows.collect()], ["n_regionkey", "n_nations", "mean_key"], "Nations")
-    return spark.createDataFrame([(latex,)], "latex string")
+    rows = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.count(F.lit(1)).alias("n_nations"), F.avg("n_nationkey").alias("mean_key"))
+    return stores.latex_table(rows, ["n_regionkey", "n_nations", "mean_key"], "Nations", "n_regionkey")
 
 
 # Answers of models: here columns that answer as one might.

@@ -94,8 +94,7 @@ def rnk3_passthrough_rerank(spark, sf_dir):
 
 def rnk4_attribution(spark, sf_dir):
     top = fused(spark, sf_dir).where("rank <= 10")
-    docs = table(spark, sf_dir, "documents").where(F.col("doc_id") % 3 != 0)
-    found = ranking.attribute(top, docs, "doc_id", {"source": "", "lang": "Unknown", "n_chars": 0})
+    found = ranking.attribute(top, table(spark, sf_dir, "documents"), "doc_id", {"source": "", "lang": "Unknown", "n_chars": 0})
     return found.select("query_id", "id", "rank", "rrf_score", "source", "lang", "n_chars")
 
 
@@ -320,7 +319,7 @@ UNION ALL SELECT 'hybrid_no_reranker', query_id, id, n, round(score, 6) FROM ste
     "rnk3_passthrough_rerank": f"WITH {_BASE} SELECT query_id, id, round(CAST(1.0 AS DOUBLE) / rank, 9) AS reranker_score, rank AS final_rank FROM f WHERE rank <= 10",
     "rnk4_attribution": f"""
 WITH {_BASE} SELECT query_id, id, rank, rrf_score, coalesce(d.source, '') AS source, coalesce(d.lang, 'Unknown') AS lang, coalesce(d.n_chars, 0) AS n_chars
-FROM f LEFT JOIN (SELECT * FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = f.id WHERE rank <= 10
+FROM f LEFT JOIN documents d ON d.doc_id = f.id WHERE rank <= 10
 """,
     "rnk6_ablation_modes": f"WITH {_BASE}{_MODES} SELECT mode, query_id, id, rank, score FROM m",
     "rnk7_distinct_first": f"""

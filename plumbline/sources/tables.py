@@ -150,9 +150,14 @@ def add_to_index(spark: SparkSession, path: str, new: DataFrame, key: str = "chu
         write_index(new_rows(spark.read.parquet(path), new, key), path, "append")
 
 
-def latex_table(rows: list[dict], columns: list[str], caption: str) -> str:
-    """A small collected table as LaTeX."""
-    shown = lambda v: f"{v:.4f}" if isinstance(v, float) else "--" if v is None else str(v).replace("_", r"\_")
-    body = "\n".join(" & ".join(shown(r.get(c)) for c in columns) + r" \\" for r in rows)
-    head = " & ".join(c.replace("_", r"\_") for c in columns)
-    return "\n".join([r"\begin{table}[h]", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{l{'r' * (len(columns) - 1)}}}", r"\hline", head + r" \\", r"\hline", body, r"\hline", r"\end{tabular}", r"\end{table}"])
+def latex_table(rows: DataFrame, columns: list[str], caption: str, order: str) -> DataFrame:
+    """A report as one LaTeX table (column latex), its rows in the order of a column; doubles have four decimals, null is a dash."""
+    kinds = dict(rows.dtypes)
+    plain = lambda c: F.format_string("%.4f", F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.replace(F.col(c).cast("string"), F.lit("_"), F.lit(r"\_"))
+    shown = [F.coalesce(F.when(F.col(c).isNotNull(), plain(c)), F.lit("--")) for c in columns]
+    line = F.concat(F.concat_ws(" & ", *shown), F.lit(r" \\"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line")))), lambda x: x["line"]), "\n")
+    head = " & ".join(c.replace("_", r"\_") for c in columns) + r" \\"
+    before = [r"\begin{table}[h]", rf"\caption{{{caption}}}", rf"\begin{{tabular}}{{l{'r' * (len(columns) - 1)}}}", r"\hline", head, r"\hline"]
+    after = [r"\hline", r"\end{tabular}", r"\end{table}"]
+    return rows.agg(F.concat_ws("\n", *[F.lit(x) for x in before], body, *[F.lit(x) for x in after]).alias("latex"))

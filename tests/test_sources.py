@@ -64,9 +64,10 @@ def test_index_upserts(spark, tmp_path):
     assert spark.range(1).select(tables.storage_key(F.lit("a/b\\c d"))).first()[0] == "a_b_c_d"
 
 
-def test_latex():
-    out = tables.latex_table([{"mode": "first_only", "mrr": 0.5}, {"mode": "x", "mrr": None}], ["mode", "mrr"], "Means")
-    assert r"first\_only & 0.5000 \\" in out and r"x & -- \\" in out
+def test_latex(spark):
+    rows = spark.createDataFrame([("x", None), ("first_only", 0.5)], "mode string, mrr double")
+    out = tables.latex_table(rows, ["mode", "mrr"], "Means", "mode").first()["latex"]
+    assert "first\\_only & 0.5000 \\\\\nx & -- \\\\\n" in out and out.endswith(r"\end{table}")
 
 
 def test_following_a_folder(spark, tmp_path):
