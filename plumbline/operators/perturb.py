@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from plumbline.functions import patterns as p
 from plumbline.operators import extract, facts
 from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, SHEET, number_text
-from plumbline.session import cut
+from plumbline.session import by_key, cut
 
 EDGE = "struct<fact_type:string,original_value:string,perturbed_value:string,description:string>"
 KEYS = ["tree_id", "node_id"]
+#: The order of a node's candidates.
+ORDER = ["source_pos", "item_pos", "variant_pos", "edge.perturbed_value"]
 
 
 def edge(kind: str, old: Column, new: Column, what: Column) -> Column:
@@ -187,7 +189,7 @@ def spans_of(nodes: DataFrame) -> DataFrame:
     """Entities in the query sentences of the nodes: keys, sheet, entity_type, match, position."""
     texts = nodes.select(F.struct(*KEYS).alias("id"), facts.query_sentence(F.col("sheet")).alias("text"))
     found = extract.entities(texts.withColumn("id", F.to_json("id")), "id")
-    return nodes.withColumn("id", F.to_json(F.struct(*KEYS))).join(found, "id").select(*KEYS, "sheet", "entity_type", "match", "position")
+    return by_key(nodes.withColumn("id", F.to_json(F.struct(*KEYS))), "id").join(found, "id").select(*KEYS, "sheet", "entity_type", "match", "position")
 
 
 def candidates(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -196,7 +198,7 @@ def candidates(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     out = _numeric(spans, "MONETARY_AMOUNT", amount_targets, "amounts", _amount)
     out = out.unionByName(_numeric(spans, "AGE", age_targets, "ages", _age)).unionByName(_numeric(spans, "DURATION", duration_targets, "durations", _duration))
     out = out.unionByName(section_candidates(nodes, spans, adjacency)).unionByName(party_candidates(nodes)).unionByName(evidence_candidates(nodes))
-    order = Window.partitionBy(*KEYS).orderBy("source_pos", "item_pos", "variant_pos", "edge.perturbed_value")
+    order = Window.partitionBy(*KEYS).orderBy(*ORDER)
     return out.withColumn("edge", F.col("edge").cast(EDGE)).withColumn("sheet", F.col("sheet").cast(SHEET)).withColumn("cand_pos", F.row_number().over(order))
 
 

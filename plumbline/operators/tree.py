@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import diff, perturb
-from plumbline.session import cut
+from plumbline.session import by_key, cut
 
 Search = Callable[[DataFrame], DataFrame]
 
@@ -22,10 +23,10 @@ def roots(sheets: DataFrame) -> DataFrame:
 
 def children_of(nodes: DataFrame, found: DataFrame, depth: int, next_id: DataFrame, max_children: int) -> DataFrame:
     """The first accepted candidates of every node as nodes; ids go on in the order of parents and candidates."""
-    order = Window.partitionBy("tree_id", "node_id").orderBy("cand_pos")
+    order = Window.partitionBy("tree_id", "node_id").orderBy(*perturb.ORDER)
     first = found.where("accepted").withColumn("place", F.row_number().over(order)).where(F.col("place") <= max_children)
-    ids = Window.partitionBy("tree_id").orderBy("node_id", "cand_pos")
-    rows = first.join(next_id, "tree_id").withColumn("child", F.col("next_id") + F.row_number().over(ids) - 1)
+    ids = Window.partitionBy("tree_id").orderBy("node_id", "place")
+    rows = by_key(first, "tree_id").join(next_id, "tree_id").withColumn("child", F.col("next_id") + F.row_number().over(ids) - 1)
     return rows.select("tree_id", F.col("child").alias("node_id"), F.col("node_id").alias("parent_id"), F.lit(depth).alias("depth"), "edge", "sheet")
 
 
@@ -43,24 +44,26 @@ def expand(
 ) -> tuple[DataFrame, DataFrame | None]:
     """Nodes of all trees and their results (tree_id, node_id, rank, case_id; None without ``search``).
 
-    The loop runs over at most ``max_depth`` levels on the driver; each level is cut to the shared folder. The root is
-    always expanded. A node is pruned if both its and its parent's list have rows and the mean displacement of its
+    The loop runs over at most ``max_depth`` levels on the driver; each level is cut to the shared folder once, and a
+    level reads only itself and the one above. The root is always expanded. A node is pruned if both its and its parent's list have rows and the mean displacement of its
     edge is below ``threshold``.
     """
-    nodes = frontier = cut(roots(sheets))
-    results = cut(search(frontier)) if search else None
+    levels = [cut(by_key(roots(sheets), "tree_id"))]
+    lists = [cut(search(levels[0]))] if search else []
     for depth in range(1, max(1, max_depth) + 1):
-        if depth > 1 and results is not None:
-            frontier = _worth_expanding(frontier, results, k, threshold)
+        frontier = levels[-1]
+        if depth > 1 and search:
+            frontier = _worth_expanding(frontier, lists[-2].unionByName(lists[-1]), k, threshold)
         found = perturb.validated(perturb.candidates(frontier.select("tree_id", "node_id", "sheet"), adjacency), judge)
-        next_id = nodes.groupBy("tree_id").agg((F.max("node_id") + 1).alias("next_id"))
-        frontier = cut(children_of(frontier, found, depth, next_id, max_children))
-        if frontier.isEmpty():
+        # A tree's last ids are in its deepest level, and only trees with nodes there go on.
+        next_id = levels[-1].groupBy("tree_id").agg((F.max("node_id") + 1).alias("next_id"))
+        below = cut(children_of(frontier, found, depth, next_id, max_children))
+        if below.isEmpty():
             break
-        nodes = cut(nodes.unionByName(frontier))
+        levels.append(below)
         if search:
-            results = cut(results.unionByName(search(frontier)))
-    return nodes, results
+            lists.append(cut(search(below)))
+    return reduce(DataFrame.unionByName, levels), reduce(DataFrame.unionByName, lists) if search else None
 
 
 def add_manual(nodes: DataFrame, parents: DataFrame) -> DataFrame:

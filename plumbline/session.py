@@ -35,6 +35,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` shuffled by ``keys`` into as many partitions as shuffles have, which adaptive execution does not join.
+
+    For rows that cost far more time than their bytes tell; joins and windows on these keys need no further shuffle.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder for lineage cuts: ``spark.checkpoint.dir`` of the session.
 
