@@ -1,4 +1,4 @@
-"""The ten operators as queries over whole tables, and SQL for those that SQL can express."""
+"""The operators as queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact, html, minhash, mixing, pii, quality, substring, toxicity
+from plumbline.llm import bpe, chat, exact, html, minhash, mixing, pieces, pii, quality, substring, toxicity
 from plumbline.session import table
 
 #: The vocabulary file; another one may be given to ``op3_bpe``.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: The model file of pieces; another one may be given to ``op11_sentencepiece``.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The key of the pseudonyms; whoever runs this for real gives their own.
 PSEUDONYM_KEY = "an example key, not a secret"
 #: Text of the extra conversation -7, full of control strings.
@@ -75,6 +77,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) -> DataFrame:
+    return pieces.piece_digests(table(spark, sf_dir, "documents"), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
+    "op11_sentencepiece": op11_sentencepiece,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
