@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact, html, minhash, mixing, pieces, pii, quality, substring, toxicity
+from plumbline.llm import bpe, chat, exact, html, minhash, mixing, pieces, pii, quality, resampling, substring, toxicity
 from plumbline.session import table
 
 #: The vocabulary file; another one may be given to ``op3_bpe``.
@@ -81,6 +81,10 @@ def op11_sentencepiece(spark: SparkSession, sf_dir: str, model: str = PIECES) ->
     return pieces.piece_digests(table(spark, sf_dir, "documents"), model)
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -93,10 +97,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_quality": op10_quality,
     "op11_sentencepiece": op11_sentencepiece,
+    "op12_resampling": op12_resampling,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
 ORACLES: dict[str, str] = {
     "op1_minhash": r"""
 WITH RECURSIVE w AS (
@@ -220,5 +227,37 @@ r AS (
   SELECT source, round((bad + m * k) / (n + k), 9) AS host_rate FROM h CROSS JOIN s)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, NOT base_failed AND host_rate <= 0.5 AS kept
 FROM b JOIN r ON b.source IS NOT DISTINCT FROM r.source
+""",
+    "op12_resampling": rf"""
+WITH crc(t) AS (  -- the remainders of one hexadecimal digit
+  SELECT list_transform(range(0, 16), lambda i: list_reduce([i, 0, 0, 0, 0], lambda c, k: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END)))),
+d AS (
+  SELECT row_number() OVER () AS row, 1 AS own, doc_id, {_RUNS} AS w FROM documents UNION ALL SELECT row_number() OVER (), 0, NULL, {_RUNS} FROM benchmark),
+f AS (
+  SELECT row, own, unnest(w) AS g FROM d
+  UNION ALL SELECT row, own, w[i] || ' ' || w[i + 1] FROM (SELECT row, own, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) > 1)),
+hexed AS (
+  SELECT g, hex(encode(g)) AS x FROM (SELECT DISTINCT g FROM f)),
+hashed AS (
+  SELECT g, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, length(x)), lambda i: strpos('0123456789ABCDEF', substr(x, i + 2 * (1 - i % 2), 1)) - 1)),
+    lambda c, v: xor(c >> 4, t[(xor(c, v) & 15) + 1])), 4294967295) % 10000 AS bucket FROM hexed CROSS JOIN crc),
+b AS (
+  SELECT row, own, bucket FROM f JOIN hashed USING (g)),
+n AS (
+  SELECT bucket, count(*) FILTER (WHERE own = 1) AS s, count(*) FILTER (WHERE own = 0) AS t FROM b GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS gain FROM n),
+per AS (
+  SELECT row, count(*) AS n_features, sum(gain) AS gains FROM b JOIN gain USING (bucket) WHERE own = 1 GROUP BY row),
+scored AS (
+  SELECT d.row, doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(floor(gains / n_features), 0) AS BIGINT) AS weight,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM d LEFT JOIN per ON per.row = d.row WHERE own = 1),
+final AS (
+  SELECT *, CAST(weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM scored),
+ranked AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id, n_features, weight) END AS place FROM final)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score,
+  CAST(CASE WHEN place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS BIGINT) AS rank FROM ranked
 """,
 }
