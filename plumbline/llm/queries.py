@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, exact, html, minhash, mixing, pieces, pii, quality, resampling, substring, toxicity
+from plumbline.llm import alignment, bpe, chat, exact, html, minhash, mixing, pieces, pii, quality, resampling, substring, toxicity
 from plumbline.session import table
 
 #: The vocabulary file; another one may be given to ``op3_bpe``.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: The model file of pieces; another one may be given to ``op11_sentencepiece``.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+#: The byte-level vocabulary that is aligned with the pieces.
+BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The key of the pseudonyms; whoever runs this for real gives their own.
 PSEUDONYM_KEY = "an example key, not a secret"
 #: Text of the extra conversation -7, full of control strings.
@@ -85,6 +87,10 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str, vocabulary: str = BYTE_VOCABULARY, model: str = PIECES, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    return alignment.alignment_digests(table(spark, sf_dir, "documents"), vocabulary, model, pattern)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": op1_minhash,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
     "op11_sentencepiece": op11_sentencepiece,
     "op12_resampling": op12_resampling,
+    "op13_alignment": op13_alignment,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
