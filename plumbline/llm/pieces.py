@@ -35,8 +35,9 @@ from plumbline.session import python_ready
 #: Fixed values of the format: kinds of pieces, the sign of a blank, and the character for bytes that are no text.
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 BLANK, BROKEN = "▁", "�"
+NO_PIECE = float("-inf")
 #: Parts that a worker keeps with their pieces (beyond that it starts anew), and characters from which a part is cut further.
-REMEMBERED, LONG = 100_000, 24
+REMEMBERED, LONG = 300_000, 24
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -128,13 +129,31 @@ class Model:
         self.byte_ids = [own_byte[b] for b in range(256)] if own_byte else None
         self.byte_of = {i: bytes([b]) for b, i in own_byte.items()}
         self.surface = ["" if k == CONTROL else self.unknown_text if k == UNKNOWN else p.replace(BLANK, " ") for p, k in zip(self.pieces, self.kinds, strict=True)]
+        #: Bytes of each piece in a text; a control piece parts runs of bytes, so it breaks them.
+        self.decoded = [self.byte_of.get(i, b"\xff" if k == CONTROL else s.encode()) for i, (s, k) in enumerate(zip(self.surface, self.kinds, strict=True))]
         #: Bytes of each piece in a normalised text, where a blank is the sign's three bytes.
         self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int32)
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
-        split_at_blanks = not any(pair[1] == BLANK != pair[0] for pair in self.neighbours)
-        self.find = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+" if split_at_blanks else "(?s).+").findall
+        self.find = re.compile(self._safe_parts()).findall
         self.known: dict[str, bytes] = {}
 
+    def _safe_parts(self) -> str:
+        """A pattern of parts that no merge crosses.
+
+        Cuts lie around characters that have no neighbour in any piece, before a run of blanks, and between an ASCII
+        letter and a character that follows none in any piece (with the usual models: every sign and digit).
+        """
+        if any(pair[1] == BLANK != pair[0] for pair in self.neighbours):
+            return "(?s).+"
+        joined = {c for pair in self.neighbours for c in pair}
+        letters = "".join(c for c in map(chr, range(128)) if c.isalpha() and c in joined)
+        after = {pair[1] for pair in self.neighbours if pair[0] in letters}
+        alone = "".join(re.escape(c) for c in map(chr, range(128)) if c not in joined)
+        signs = "".join(re.escape(c) for c in map(chr, range(128)) if c in joined and c not in after)
+        other = f"[^{BLANK}{alone}{letters}]"
+        run = f"(?:{other}*[{letters}]+(?![{signs}]))*{other}*[{letters}]*" if letters and signs else f"[^{BLANK}{alone}]*"
+        return (f"[{alone}]|" if alone else "") + f"{BLANK}*{run}"
+
     def normalised(self, text: str) -> tuple[str, np.ndarray]:
         """The text with signs for blanks, and for each of its bytes (and its end) the original byte."""
         if not text:
@@ -211,6 +230,8 @@ class Model:
     def merged(self, part: str) -> list[str]:
         """Characters of a part, neighbours merged: the best score first, of equal ones the leftmost."""
         symbols = list(part)
+        if len(symbols) <= LONG:
+            return self._merged_in_place(symbols)
         n = len(symbols)
         scores = self.scores
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -233,6 +254,20 @@ class Model:
                 heappush(queue, (-scores[p], ahead, p))
         return [s for s in symbols if s]
 
+    def _merged_in_place(self, symbols: list[str]) -> list[str]:
+        """The same for a few symbols, whose pairs are looked through faster than queued."""
+        score = self.scores.get
+        pairs = [score(a + b, NO_PIECE) for a, b in zip(symbols, symbols[1:])]
+        while pairs and (best := max(pairs)) != NO_PIECE:
+            at = pairs.index(best)
+            piece = symbols[at] = symbols[at] + symbols[at + 1]
+            del symbols[at + 1], pairs[at]
+            if at:
+                pairs[at - 1] = score(symbols[at - 1] + piece, NO_PIECE)
+            if at < len(pairs):
+                pairs[at] = score(piece + symbols[at + 1], NO_PIECE)
+        return symbols
+
     def _ids_of(self, part: str) -> bytes:
         ids: list[int] = []
         for piece in self.merged(part):
@@ -277,7 +312,21 @@ class Model:
         return np.array(out, "<u4"), np.array(spans, np.int64).reshape(-1, 2)
 
     def decode(self, ids) -> str:
-        """Text of ids: control pieces are nothing, runs of byte pieces are read as UTF-8, the blank in front goes."""
+        """Text of ids: control pieces are nothing, runs of byte pieces are read as UTF-8, the blank in front goes.
+
+        All bytes together are the text, unless a run is broken, a control piece stands inside or blanks were taken away; then it is read run by run.
+        """
+        if not self.fewer_blanks:
+            begin, end = 0, len(ids)
+            while begin < end and self.kinds[ids[begin]] == CONTROL:
+                begin += 1
+            while begin < end and self.kinds[ids[end - 1]] == CONTROL:
+                end -= 1
+            try:
+                text = b"".join(map(self.decoded.__getitem__, ids[begin:end])).decode()
+                return text[self.blank_in_front and begin < end and self.kinds[ids[begin]] == NORMAL and text[0] == " " :]
+            except UnicodeDecodeError:
+                pass
         out: list[str] = []
         run: list[bytes] = []
         at_start = True  # nothing yet, and no blank in front seen
