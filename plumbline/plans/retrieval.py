@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import diff, evaluate, ranking, vectors
+from plumbline.operators import ann, diff, evaluate, ranking, vectors
 from plumbline.session import cut, table
 
 #: The second ranker sees the second half of the dimensions only, so the rankers differ.
@@ -53,6 +53,12 @@ def vec2_knn_filtered(spark, sf_dir):
     return vectors.half_cosine(vectors.top_k(corpus(spark, sf_dir), query_set(spark, sf_dir), 50, where=where))
 
 
+def vec2_index_search(spark, sf_dir):
+    """An inverted-file index of all vectors, searched by the query set; half cosine as the second ranker scores."""
+    index = ann.build(corpus(spark, sf_dir))
+    return vectors.half_cosine(ann.search(index, query_set(spark, sf_dir)))
+
+
 def vec3_pair_cosine(spark, sf_dir):
     """Each vector against the label's first vector, and against zeros."""
     rows = corpus(spark, sf_dir)
@@ -218,7 +224,7 @@ def evl17_pseudo_relevance(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        vec1_knn_cosine, vec1_knn_odd_rows, vec1_knn_dot, vec2_knn_filtered, vec3_pair_cosine, vec4_fetch_vectors, vec5_dual_query, rnk1_rrf, rnk2_mmr, rnk3_passthrough_rerank,
+        vec1_knn_cosine, vec1_knn_odd_rows, vec1_knn_dot, vec2_knn_filtered, vec2_index_search, vec3_pair_cosine, vec4_fetch_vectors, vec5_dual_query, rnk1_rrf, rnk2_mmr, rnk3_passthrough_rerank,
         rnk4_attribution, rnk5_full_pipeline, rnk6_ablation_modes, rnk7_distinct_first, rnk8_set_compare, dif1_rank_diff, dif2_sensitivity, dif3_case_path,
         dif4_diff_table, dif5_most_operative, evl4_query_metrics, evl5_mode_means, evl6_paired_t, evl17_pseudo_relevance,
     )

@@ -91,6 +91,13 @@ def staged(df: DataFrame) -> DataFrame:
     return table
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder among the lineage cuts, for tables with a layout of their own; it goes at the end of the process."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes staged tables of which everything has been computed and cut."""
     for table in tables:
