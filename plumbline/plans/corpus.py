@@ -164,6 +164,25 @@ def chk1_recursive_chunks(spark, sf_dir):
     return got.select(F.col("id").alias("doc_id"), "chunk_id", "char_start", "char_end", F.md5("text").alias("digest"))
 
 
+def chk1_token_chunks(spark, sf_dir):
+    """The splitter's own sizes, measured in tokens of a public vocabulary."""
+    import public_tokenizers
+
+    count = chunking.TokenCounter(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    got = chunking.recursive_chunks(documents(spark, sf_dir), "doc_id", lengths=count)
+    return got.select(F.col("id").alias("doc_id"), "chunk_id", "n_tokens", "char_start", "char_end", F.md5("text").alias("digest"))
+
+
+#: Fixed values of the query below and its SQL: characters of a chunk and of what two chunks share.
+LINE_SIZE, LINE_OVERLAP = 400, 100
+
+
+def chk1_line_chunks(spark, sf_dir):
+    """The same splitter, with lines as the only parts and characters as the measure."""
+    got = chunking.recursive_chunks(documents(spark, sf_dir), "doc_id", size=LINE_SIZE, overlap=LINE_OVERLAP, lengths=chunking.count_characters, separators=(r"\n",))
+    return got.select(F.col("id").alias("doc_id"), F.col("chunk").cast("long").alias("chunk"), "n_tokens", F.md5("text").alias("digest"))
+
+
 def chk3_window_chunks(spark, sf_dir):
     got = chunking.window_chunks(documents(spark, sf_dir), "doc_id")
     return got.select(F.col("id").alias("doc_id"), F.col("chunk").cast("long").alias("chunk"), "n_tokens", F.md5("text").alias("digest"))
@@ -187,6 +206,13 @@ def chk4_overlap_tag(spark, sf_dir):
     return chunking.tag_sections(*spans(spark, sf_dir)).select(F.col("id").alias("doc_id"), "chunk", "char_start", "char_end", "section_type")
 
 
+def chk4_overlap_pairs(spark, sf_dir):
+    """Every chunk with every line that it shares characters with."""
+    chunks, lines = spans(spark, sf_dir)
+    met = chunking.overlap_pairs(chunks, lines, "id", ("char_start", "char_end"), ("start_char", "end_char"))
+    return met.select(F.col("id").alias("doc_id"), "chunk", F.col("pos").cast("long").alias("pos"), F.col("shared").cast("long").alias("shared"))
+
+
 def chk5_asof_page(spark, sf_dir):
     chunks, lines = spans(spark, sf_dir)
     starts = lines.select(F.col("id").alias("doc"), F.col("pos").alias("page"), F.col("start_char").alias("boundary"))
@@ -251,8 +277,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt1_noise, txt2_unicode, txt3_collapse, txt4_clean, txt8_snippets, ext1_metadata, ext1_case_numbers, ext2_years, ext3_article_citations, ext3_section_citations, ext4_judges, ext5_bench, ext6_tail_outcome, ext7_headings, ext8_sections, ext9_facts, ext10_entities,
-        ext10_family_counts, ext11_entity_summary, ext12_citations, ext13_cited_cases, ext14_sentences, ext15_tokens, chk1_recursive_chunks, chk3_window_chunks,
-        chk4_overlap_tag, chk5_asof_page, exp1_df, exp2_idf, exp3_top_terms, evl10_grounding, evl11_ratings, evl12_citation_truth, evl13_merge, evl14_split,
+        ext10_family_counts, ext11_entity_summary, ext12_citations, ext13_cited_cases, ext14_sentences, ext15_tokens, chk1_recursive_chunks, chk1_token_chunks, chk1_line_chunks, chk3_window_chunks,
+        chk4_overlap_tag, chk4_overlap_pairs, chk5_asof_page, exp1_df, exp2_idf, exp3_top_terms, evl10_grounding, evl11_ratings, evl12_citation_truth, evl13_merge, evl14_split,
     )
 }
 
@@ -386,6 +412,28 @@ SELECT d.doc_id, coalesce(g.n, 0) AS n, coalesce(g.digest, md5('')) AS digest FR
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 c AS (SELECT doc_id, w, unnest(range(0, greatest(CAST(ceil((len(w) - 32) / 96) AS BIGINT), 1))) AS chunk FROM w WHERE len(w) > 0)
 SELECT doc_id, chunk, CAST(len(w[chunk * 96 + 1 : chunk * 96 + 128]) AS BIGINT) AS n_tokens, md5(array_to_string(w[chunk * 96 + 1 : chunk * 96 + 128], ' ')) AS digest FROM c
+""",
+    "chk1_line_chunks": rf"""
+WITH RECURSIVE p AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\n[^\n]*|[^\n]+') AS p FROM documents),
+s AS (  -- s[i] is the length of all parts before the i-th
+  SELECT doc_id, p, list_transform(range(0, len(p) + 1), lambda i: CAST(coalesce(list_sum(list_transform(p[1 : i], lambda x: length(x))), 0) AS BIGINT)) AS s FROM p),
+step(doc_id, here, head, joined, n, whole) AS (  -- the run that ends before part here, and part here if it is too long
+  SELECT doc_id, 1::BIGINT, 1::BIGINT, NULL::VARCHAR, 0::BIGINT, NULL::VARCHAR FROM s WHERE len(p) > 0
+  UNION ALL
+  SELECT doc_id, here + 1,
+    CASE WHEN is_long THEN here + 1 WHEN is_full THEN list_filter(range(head, here + 1), lambda i: s[here] - s[i] <= {LINE_OVERLAP} AND NOT (s[here + 1] - s[i] > {LINE_SIZE} AND s[here] > s[i]))[1] ELSE head END,
+    CASE WHEN (is_long OR is_full OR here > len(p)) AND here > head THEN array_to_string(p[head : here - 1], '') END, s[here] - s[head], CASE WHEN is_long THEN p[here] END
+  FROM (SELECT s.*, here, head, here <= len(p) AND s[here + 1] - s[here] >= {LINE_SIZE} AS is_long, here <= len(p) AND s[here + 1] - s[head] > {LINE_SIZE} AND here > head AS is_full
+    FROM step JOIN s ON s.doc_id = step.doc_id WHERE here <= len(p) + 1)),
+out AS (
+  SELECT doc_id, here, 0 AS k, n, regexp_replace(joined, '^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$', '', 'g') AS t FROM step WHERE joined IS NOT NULL
+  UNION ALL SELECT doc_id, here, 1, length(whole), whole FROM step WHERE whole IS NOT NULL)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY here, k) - 1 AS chunk, n AS n_tokens, md5(t) AS digest FROM out WHERE t <> ''
+""",
+    "chk4_overlap_pairs": f"""
+WITH {_SPANS} SELECT c.doc_id, c.chunk, CAST(l.pos AS BIGINT) AS pos, CAST(least(char_end, a + m) - greatest(char_start, a) AS BIGINT) AS shared
+FROM c JOIN l ON l.doc_id = c.doc_id AND least(char_end, a + m) > greatest(char_start, a)
 """,
     "chk4_overlap_tag": f"""
 WITH {_SPANS}, o AS (

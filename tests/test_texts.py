@@ -1,4 +1,6 @@
 import json
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,11 +102,110 @@ def test_recursive_pieces_cover_the_text():
     words = " ".join(f"w{i}" for i in range(300))
     body = words + "\n\n" + words + "\nshort line. And another sentence here."
     pieces = chunking.split_text(body, 50, 10, chunking.count_words)
-    assert all(chunking.count_words(p) <= 50 for p in pieces)
+    assert all(chunking.count_words([p])[0] <= 50 for p in pieces)
     assert {w for p in pieces for w in p.split()} == set(body.split())
     spans = chunking.located(body, pieces)
     assert all(body[a:b] == p for p, (a, b) in zip(pieces, spans)) and [a for a, _ in spans] == sorted(a for a, _ in spans)
-    assert chunking.split_text("abc", 2, 0, len) == ["ab", "c"]
+    assert chunking.split_text("abc", 2, 0, chunking.count_characters) == ["ab", "c"]
+
+
+def plain_pieces(body, size, overlap, length, separators):
+    """The splitter's rules with lists that are joined and measured part by part."""
+    at = next((i for i, s in enumerate(separators) if not s or re.search(s, body)), None)
+    separator, finer = ("", ()) if at is None else (separators[at], separators[at + 1 :] if separators[at] else ())
+    if at is None:
+        parts = [body]
+    elif not separator:
+        parts = list(body)
+    else:
+        found = re.split(f"({separator})", body)
+        parts = [p for p in [found[0], *(found[i] + found[i + 1] for i in range(1, len(found), 2))] if p]
+    out, good = [], []
+
+    def flush():
+        held, total = [], 0
+        for part in good:
+            n = length(part)
+            if held and total + n > size:
+                out.append("".join(held).strip())
+                while total > overlap or (total + n > size and total > 0):
+                    total -= length(held.pop(0))
+            held.append(part)
+            total += n
+        if held:
+            out.append("".join(held).strip())
+        good.clear()
+
+    for part in parts:
+        if length(part) < size:
+            good.append(part)
+            continue
+        flush()
+        out += plain_pieces(part, size, overlap, length, finer) if finer else [part]
+    flush()
+    return [p for p in out if p]
+
+
+@pytest.mark.parametrize("measure", ["words", "characters", "tokens"])
+def test_splitter_against_its_rules(measure):
+    import random
+
+    counters = {"words": chunking.count_words, "characters": chunking.count_characters}
+    if measure == "tokens":
+        tokenizers = pytest.importorskip("public_tokenizers")
+        counters["tokens"] = chunking.TokenCounter(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    count = counters[measure]
+    rnd = random.Random(3)
+    signs = ["word", " ", " ", "\n", "\n\n", ". ", "\n1. ", "\n(a) ", "\n(iv) ", "longerword", "é日本", "\t", "x"]
+    for size, overlap in ((5, 2), (12, 0), (40, 39), (1, 0)):
+        for _ in range(120):
+            body = "".join(rnd.choice(signs) for _ in range(rnd.randrange(90)))
+            for separators in (chunking.SEPARATORS, (r"\n",), (r"\. ", " ")):
+                assert chunking.split_text(body, size, overlap, count, separators) == plain_pieces(body, size, overlap, lambda p: count([p])[0], separators)
+
+
+def test_each_part_of_a_long_text_is_measured_once_a_level():
+    measured = []
+
+    def count(pieces):
+        measured.extend(map(len, pieces))
+        return [len(p.split()) for p in pieces]
+
+    body = "some words here. " * 40_000
+    assert len(chunking.split_spans(body, 1000, 100, count)) > 100
+    assert sum(measured) <= 2 * len(body)
+
+
+def test_token_chunks_of_a_table(spark):
+    tokenizers = pytest.importorskip("public_tokenizers")
+    count = chunking.TokenCounter(tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
+    got = chunking.recursive_chunks(docs(spark, "one two three four five. " * 30, None, ""), "doc_id", size=40, overlap=8, lengths=count).collect()
+    assert len(got) > 3 and all(0 < r["n_tokens"] <= 40 for r in got) and {r["id"] for r in got} == {0}
+
+
+def test_overlap_pairs_in_cells(spark):
+    import random
+
+    rnd = random.Random(8)
+    spans = lambda n, most: [(rnd.randrange(3), i, a := rnd.randrange(200), a + rnd.randrange(most)) for i in range(n)]
+    left, right = spans(80, 60), spans(70, 150)
+    ours = spark.createDataFrame(left + [(0, 900, None, 5), (None, 901, 0, 9)], "id int, l int, a int, b int")
+    theirs = spark.createDataFrame(right + [(0, 900, 5, 5)], "id int, r int, c int, d int")
+    want = sorted((k, i, j, min(b, d) - max(a, c)) for k, i, a, b in left for m, j, c, d in right if k == m and min(b, d) > max(a, c))
+    for cell in (1, 7, 64, 4096):
+        got = chunking.overlap_pairs(ours, theirs, "id", ("a", "b"), ("c", "d"), cell)
+        assert sorted((r["id"], r["l"], r["r"], r["shared"]) for r in got.collect()) == want
+
+
+def test_a_document_of_many_chunks_and_sections(spark):
+    """100,000 of each in one document: joined rows stay linear, so this ends soon."""
+    n = 100_000
+    chunks = spark.range(n).selectExpr("1L AS id", "CAST(id AS INT) AS chunk", "CAST(id * 100 AS INT) AS char_start", "CAST(id * 100 + 130 AS INT) AS char_end")
+    sections = spark.range(n).selectExpr("1L AS id", "CAST(id AS INT) AS pos", "concat('S', id) AS section_type", "CAST(id * 100 - 20 AS INT) AS start_char", "CAST(id * 100 + 80 AS INT) AS end_char")
+    began = time.perf_counter()
+    got = chunking.tag_sections(chunks, sections)
+    assert got.where("section_type = concat('S', chunk)").count() == n
+    assert time.perf_counter() - began < 60
 
 
 def test_section_tags(spark):
