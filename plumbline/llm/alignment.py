@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,8 @@ from plumbline.session import cut, python_ready, staged
 
 #: Bytes of a window of owners.
 WINDOW = 1 << 20
+#: Matches of A's pattern that a worker keeps with their ids; beyond that it starts anew.
+REMEMBERED = 300_000
 #: Distinct pairs of ids (24 bytes each) that may be broadcast; more are joined by a shuffle.
 BROADCAST_PAIRS = 1_000_000
 
@@ -68,22 +71,41 @@ class Pair:
         self.b_bytes = [self.b.byte_of.get(i) or p.replace(pieces.BLANK, " ").encode() for i, p in enumerate(self.b.pieces)]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.b_count = len(self.b_bytes)
+        self.known: dict[str, bytes] = {}  # packed ids of A's matches
         # Each id with the sign that follows it: within its side of a group, and at the side's end.
         self.texts = [f"{i}{sign}" for count, signs in ((len(self.a_bytes), ",|"), (self.b_count, ",;")) for i in range(count) for sign in signs]
 
+    def _a_ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of A: matches of the pattern that are new are encoded together, then all are joined."""
+        split = [self.a.find(t) for t in texts]
+        met = {p for found in split for p in found}
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        new = list(met - self.known.keys())
+        for piece, ids in zip(new, self.a.encode_pieces([p.encode() for p in new]), strict=True):
+            self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        for found in split:
+            yield np.frombuffer(b"".join(map(self.known.__getitem__, found)), "<u4").astype(np.int64)
+
     def encode(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids of both sides of every text; none where they do not add up to a blank and the text."""
+        """Ids of both sides of every text; none where they do not add up to a blank and the text.
+
+        A's tokens are the matches of the pattern, so they add up if no byte is missing. The same holds for B if the
+        model maps nothing: then only signs for blanks (three bytes, read as one) can be another text.
+        """
         none = np.zeros(0, np.int64)
-        for text, a in zip(texts, self.a.encode([" " + t if t else None for t in texts]), strict=True):
+        for text, a in zip(texts, self._a_ids([" " + t if t else "" for t in texts]), strict=True):
             if not text:
                 yield none, none
                 continue
             data = b" " + text.encode()
-            b = self.b.encode(text)[0]
-            if b"".join(map(self.a_bytes.__getitem__, a)) == data == b"".join(map(self.b_bytes.__getitem__, b.tolist())):
-                yield np.array(a, np.int64), b.astype(np.int64)
-            else:
-                yield none, none
+            b = self.b.plain_ids(text)
+            mapped = b is None
+            b = (self.b.encode(text)[0] if mapped else b).astype(np.int64)
+            whole = self.a_sizes[a].sum() == len(data) == self.b_sizes[b].sum()
+            if whole and mapped:
+                whole = b"".join(map(self.b_bytes.__getitem__, b.tolist())) == data
+            yield (a, b) if whole else (none, none)
 
 
 def owners(ends: np.ndarray, low: int, high: int) -> np.ndarray:

@@ -97,6 +97,20 @@ def _child_base(unit: int) -> int:
     return (unit >> 10) << ((unit & 0x200) >> 6)
 
 
+class _Known(dict):
+    """Packed ids of the parts met so far; a worker that remembers too many starts anew."""
+
+    def __init__(self, ids_of):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        ids = self[part] = self.ids_of(part)
+        return ids
+
+
 class Model:
     """Pieces, scores and normalisation of a model file, and the parts met so far."""
 
@@ -135,7 +149,7 @@ class Model:
         self.sizes = np.array([1 if k == BYTE else len(p.encode()) for p, k in zip(self.pieces, self.kinds, strict=True)], np.int32)
         self.neighbours = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.find = re.compile(self._safe_parts()).findall
-        self.known: dict[str, bytes] = {}
+        self.known = _Known(self._ids_of)
 
     def _safe_parts(self) -> str:
         """A pattern of parts that no merge crosses.
@@ -283,19 +297,20 @@ class Model:
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids, and the spans of original bytes as (begin, end) rows, without begin and end ids."""
         normal, source = self.normalised(text or "")
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
         parts = self._parts(normal)
-        for part in parts:
-            if part not in known:
-                known[part] = self._ids_of(part)
-        ids = np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u4")
+        ids = np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4")
         if self.byte_ids is None:
             return self._with_unknown(ids, parts, source)
         ends = np.cumsum(self.sizes[ids], dtype=np.int64)
         return ids, np.stack([source[np.concatenate([[0], ends[:-1]])] if len(ids) else ends, source[ends] if len(ids) else ends], axis=1)
 
+    def plain_ids(self, text: str) -> np.ndarray | None:
+        """Ids alone; None where only :meth:`encode` can tell them (with a map, or where unknown pieces are joined)."""
+        if self.map.units or self.fewer_blanks or self.byte_ids is None:
+            return None
+        normal = (BLANK if self.blank_in_front and text else "") + text.replace(" ", BLANK)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self._parts(normal))), "<u4")
+
     def _with_unknown(self, ids: np.ndarray, parts: list[str], source: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Spans where unknown symbols have sizes of their own; unknown neighbours become one."""
         out: list[int] = []
