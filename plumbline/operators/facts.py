@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import patterns as p
 from plumbline.operators.extract import all_groups, first_group
+from plumbline.operators.models import AnswerStore, Backend, with_answers
 
 AMOUNTS = "array<struct<value:double,unit:string,context:string>>"
 AGES = "array<struct<value:bigint,descriptor:string>>"
@@ -106,6 +107,29 @@ def extract_sheets(
     return first.withColumn("sheet", F.when(F.col("sheet").isNull(), from_answer(again, F.col(id_col))).otherwise(F.col("sheet")))
 
 
+def sheets_by_model(
+    facts: DataFrame,
+    backend: Backend,
+    first: Callable[[Column], Column] | None = None,
+    second: Callable[[Column], Column] | None = None,
+    store: AnswerStore | None = None,
+    id_col: str = "case_id",
+) -> DataFrame:
+    """Like :func:`extract_sheets`, with a model that is asked in batches: ``sheet`` and ``error`` (of the last attempt).
+
+    ``first`` makes the prompt of the facts (default: the facts themselves), ``second`` the one for rows whose first
+    answer gave no sheet. Answers come from the store where it has them.
+    """
+    text = F.substring("facts", 1, 12000)
+    asked = with_answers(facts, text if first is None else first(text), backend, store)
+    asked = asked.withColumn("sheet", from_answer(F.col("answer"), F.col(id_col))).drop("answer")
+    if second is None:
+        return asked
+    again = with_answers(asked.withColumnRenamed("error", "_first_error"), F.when(F.col("sheet").isNull(), second(text)), backend, store)
+    sheet = F.coalesce("sheet", from_answer(F.col("answer"), F.col(id_col)))
+    return again.withColumn("sheet", sheet).withColumn("error", F.when(F.col("sheet").isNull(), F.coalesce("error", "_first_error"))).drop("answer", "_first_error")
+
+
 def not_yet_stored(cases: DataFrame, stored: DataFrame, max_cases: int | None = None) -> DataFrame:
     """Cases without a stored sheet, in the order of their ids, at most ``max_cases``."""
     new = cases.join(stored.select("case_id"), "case_id", "left_anti")

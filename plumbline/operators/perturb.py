@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import patterns as p
 from plumbline.operators import extract, facts
 from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, SHEET, number_text
+from plumbline.operators.models import AnswerStore, Backend, with_answers
 from plumbline.session import by_key, cut
 
 EDGE = "struct<fact_type:string,original_value:string,perturbed_value:string,description:string>"
@@ -226,14 +227,27 @@ def from_verdict(raw: Column) -> Column:
     return F.struct(yes("plausible"), yes("operative"), F.coalesce(v["reasoning"], F.lit("")).alias("reasoning"))
 
 
-def validated(found: DataFrame, judge=None) -> DataFrame:
-    """Candidates with ``verdict`` and ``accepted``. A given judge sees each distinct change once, joined back after."""
-    if judge is None:
+#: Fixed value: the reason where the judge gives no answer.
+NO_ANSWER = "LLM call failed; accepted by default."
+
+
+def validated(found: DataFrame, judge=None, backend: Backend | None = None, store: AnswerStore | None = None) -> DataFrame:
+    """Candidates with ``verdict`` and ``accepted``. A judge sees each distinct change once, joined back after.
+
+    ``judge`` maps a description to its answer within the plan; ``backend`` is a model that is asked in batches (and not at
+    all for changes whose answer the store has); where it fails, the change is accepted.
+    """
+    if judge is None and backend is None:
         out = found.withColumn("verdict", judged_by_rule(F.col("edge.description")))
         return out.withColumn("accepted", F.col("verdict.plausible") & F.col("verdict.operative"))
     rows = found.withColumn("_key", F.struct("edge.fact_type", "edge.original_value", "edge.perturbed_value"))
     keys = rows.groupBy("_key").agg(F.min("edge.description").alias("_what"))
-    keys = keys.select("_key", from_verdict(judge(F.col("_what"))).alias("verdict"))
+    if backend is None:
+        keys = keys.select("_key", from_verdict(judge(F.col("_what"))).alias("verdict"))
+    else:
+        keys = with_answers(cut(keys), F.col("_what"), backend, store)
+        failed = F.struct(F.lit(True).alias("plausible"), F.lit(True).alias("operative"), F.lit(NO_ANSWER).alias("reasoning"))
+        keys = keys.select("_key", F.when(F.col("error").isNotNull(), failed).otherwise(from_verdict(F.col("answer"))).alias("verdict"))
     out = rows.join(keys, "_key").drop("_key")
     return out.withColumn("accepted", F.col("verdict.plausible") & F.col("verdict.operative"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline import session
-from plumbline.operators import chunking, evaluate, explain, facts, perturb, text, tree
+from plumbline.operators import chunking, evaluate, explain, facts, models, perturb, text, tree
 from plumbline.plans import counterfactual
 from plumbline.session import table
 from plumbline.sources import tables as stores
@@ -188,6 +188,27 @@ def fe9_extraction_stats(spark, sf_dir):
     return facts.extraction_stats(answered(spark, sf_dir))
 
 
+class CountingModel:
+    """A stand-in for a model: says how long a prompt is, refuses some lengths, and loses the connection at every other call."""
+
+    calls = 0  # of all clients of a worker
+
+    def __call__(self, prompts):
+        CountingModel.calls += 1
+        if CountingModel.calls % 2:
+            raise ConnectionError("try again")
+        return [ValueError("refused") if len(p) % 7 == 0 else str(len(p)) for p in prompts]
+
+
+def src11_model_answers(spark, sf_dir):
+    """Every document's language and size as a prompt, of which many are alike; a second run takes the answers from the store."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    prompt = F.concat(F.lit("How long is this? "), F.coalesce("lang", F.lit("")), F.repeat(F.lit("x"), (F.col("n_chars") % 50).cast("int")))
+    backend, store = models.Backend("counting", CountingModel, attempts=4, wait=0.0), models.AnswerStore(spark, scratch(spark))
+    models.with_answers(docs, prompt, backend, store)
+    return models.with_answers(docs, prompt, backend, store).select("doc_id", "answer", "error")
+
+
 def per5_replaced(spark, sf_dir):
     """The first of three ages that is the wanted one, or one more at the end."""
     entry = lambda v, d: F.struct(v.cast("bigint").alias("value"), F.lit(d).alias("descriptor"))
@@ -343,7 +364,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt5_margins, txt6_reading_order, txt7_document_texts, txt9_case_ids, ext16_grounding_tokens, chk6_chunk_metadata, src1_year_range, src5_fallback_path, src7_json_sources, src8_fact_store,
-        src9_rating_template, src10_ratings, snk1_index_rebuild, snk3_sanitised, snk4_index_additions, snk5_sheet_round_trip, snk6_report_json, snk7_latex, fe1_answered_sheets, fe9_extraction_stats,
+        src9_rating_template, src10_ratings, snk1_index_rebuild, snk3_sanitised, snk4_index_additions, snk5_sheet_round_trip, snk6_report_json, snk7_latex, src11_model_answers, fe1_answered_sheets, fe9_extraction_stats,
         per5_replaced, per10_numbers, val1_judged, val2_verdicts, val3_reasons, tre1_roots, tre2_children, tre4_manual_nodes, tre7_edited_sheets, exp7_tree_json, exp8_report,
         evl1_mrr, evl2_ndcg, evl3_recall, evl7_spearman, evl8_dispositive, evl9_batch, evl15_reports,
     )
@@ -410,6 +431,10 @@ UNION ALL SELECT 'clarity_1_to_5', 'annotator', a, count(*), round(avg(v), 2) FR
 WITH r AS (SELECT n_regionkey AS k, CAST(n_regionkey AS VARCHAR) || ' & ' || CAST(count(*) AS VARCHAR) || ' & ' || printf('%.4f', avg(n_nationkey)) || ' \\' AS line FROM nation GROUP BY n_regionkey)
 SELECT '\begin{table}[h]' || chr(10) || '\caption{Nations}' || chr(10) || '\begin{tabular}{lrr}' || chr(10) || '\hline' || chr(10) || 'n\_regionkey & n\_nations & mean\_key \\' || chr(10) || '\hline' || chr(10)
   || string_agg(line, chr(10) ORDER BY k) || chr(10) || '\hline' || chr(10) || '\end{tabular}' || chr(10) || '\end{table}' AS latex FROM r
+""",
+    "src11_model_answers": """
+WITH p AS (SELECT doc_id, 18 + length(coalesce(lang, '')) + n_chars % 50 AS n FROM documents)
+SELECT doc_id, CASE WHEN n % 7 <> 0 THEN CAST(n AS VARCHAR) END AS answer, CASE WHEN n % 7 = 0 THEN 'ValueError: refused' END AS error FROM p
 """,
     "fe1_answered_sheets": """
 WITH d AS (SELECT doc_id, substring(coalesce(text, ''), 1, 12000) AS t FROM documents)

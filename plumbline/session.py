@@ -106,6 +106,13 @@ def release(*tables: DataFrame) -> None:
             _remove(table.sparkSession, path)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in whatever store it names."""
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(context._jsc.hadoopConfiguration()).exists(where)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     """Best effort at the end of the process; the session may be gone by then."""
     try:
