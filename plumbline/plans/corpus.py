@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators import chunking, evaluate, explain, extract, text
+from plumbline.operators import chunking, evaluate, explain, extract, latent, text
 from plumbline.session import spread, table
 
 #: A cause list and legal phrases set around every text, since the invented prose of the tables has none.
@@ -228,6 +228,22 @@ def exp2_idf(spark, sf_dir):
     return explain.idf(explain.document_frequency(documents(spark, sf_dir), "doc_id"), n).select("term", "df", F.round("idf", 9).alias("idf"))
 
 
+def vec6_tfidf_weights(spark, sf_dir):
+    """The sparse rows that the encoder decomposes, one row for each weight, over the terms of two documents or more."""
+    docs = documents(spark, sf_dir)
+    kept = latent.vocabulary(docs, "doc_id", least=2).toArrow()
+    words = kept.column("term").to_pylist()
+    rows = latent.tfidf(docs, words, kept.column("idf").to_numpy(), "doc_id").select("id", F.explode(F.arrays_zip("places", "weights")).alias("e"))
+    named = spark.createDataFrame(list(enumerate(words)), "place int, term string")
+    return rows.join(F.broadcast(named), F.col("e.places") == F.col("place")).select(F.col("id").alias("doc_id"), "term", F.round("e.weights", 9).alias("weight"))
+
+
+def vec6_latent_vectors(spark, sf_dir):
+    """Latent vectors of all documents."""
+    docs = documents(spark, sf_dir)
+    return latent.encode(docs, latent.fit(docs, "doc_id"), "doc_id").withColumnRenamed("id", "doc_id")
+
+
 def exp3_top_terms(spark, sf_dir):
     """Each document against the next one."""
     d = documents(spark, sf_dir)
@@ -278,7 +294,7 @@ QUERIES = {
     for f in (
         txt1_noise, txt2_unicode, txt3_collapse, txt4_clean, txt8_snippets, ext1_metadata, ext1_case_numbers, ext2_years, ext3_article_citations, ext3_section_citations, ext4_judges, ext5_bench, ext6_tail_outcome, ext7_headings, ext8_sections, ext9_facts, ext10_entities,
         ext10_family_counts, ext11_entity_summary, ext12_citations, ext13_cited_cases, ext14_sentences, ext15_tokens, chk1_recursive_chunks, chk1_token_chunks, chk1_line_chunks, chk3_window_chunks,
-        chk4_overlap_tag, chk4_overlap_pairs, chk5_asof_page, exp1_df, exp2_idf, exp3_top_terms, evl10_grounding, evl11_ratings, evl12_citation_truth, evl13_merge, evl14_split,
+        chk4_overlap_tag, chk4_overlap_pairs, chk5_asof_page, exp1_df, exp2_idf, vec6_tfidf_weights, vec6_latent_vectors, exp3_top_terms, evl10_grounding, evl11_ratings, evl12_citation_truth, evl13_merge, evl14_split,
     )
 }
 
@@ -447,6 +463,12 @@ WITH {_SPANS} SELECT c.doc_id, chunk, char_start, CAST(max(l.pos) AS INTEGER) AS
 """,
     "exp1_df": f"WITH {_DF} SELECT term, df FROM df",
     "exp2_idf": f"WITH {_DF} SELECT term, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 9) AS idf FROM df",
+    "vec6_tfidf_weights": f"""
+WITH {_DF}, kept AS (  -- the most frequent terms, as many as the encoder keeps
+  SELECT term, df, ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1 AS idf FROM df WHERE df >= 2 ORDER BY df DESC, term LIMIT 65536),
+x AS (SELECT doc_id, w AS term, count(*) * max(idf) AS v FROM t JOIN kept ON kept.term = t.w GROUP BY doc_id, w)
+SELECT doc_id, term, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 9) AS weight FROM x
+""",
     "exp3_top_terms": f"""
 WITH {_DF}, u AS (SELECT DISTINCT doc_id, w FROM t),
 s AS (SELECT a.doc_id, a.w, row_number() OVER (PARTITION BY a.doc_id ORDER BY round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 9) DESC, a.w) AS k
