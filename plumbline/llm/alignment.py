@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 from plumbline.llm import bpe, pieces
 from plumbline.session import cut, python_ready, staged
 
-#: Bytes of a window of owners.
-WINDOW = 1 << 20
+#: Bytes of a window of owners, and tokens whose signs are gathered at once.
+WINDOW, GATHERED = 1 << 20, 1 << 16
 #: Matches of A's pattern that a worker keeps with their ids; beyond that it starts anew.
 REMEMBERED = 300_000
 #: Distinct pairs of ids (24 bytes each) that may be broadcast; more are joined by a shuffle.
@@ -72,8 +72,10 @@ class Pair:
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.b_count = len(self.b_bytes)
         self.known: dict[str, bytes] = {}  # packed ids of A's matches
-        # Each id with the sign that follows it: within its side of a group, and at the side's end.
-        self.texts = [f"{i}{sign}" for count, signs in ((len(self.a_bytes), ",|"), (self.b_count, ",;")) for i in range(count) for sign in signs]
+        # Each id with the sign that follows it (within its side of a group, and at the side's end): bytes, and which of them count.
+        texts = [f"{i}{sign}".encode() for count, signs in ((len(self.a_bytes), ",|"), (self.b_count, ",;")) for i in range(count) for sign in signs]
+        width = max(map(len, texts))
+        self.text_bytes = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), np.uint8).reshape(len(texts), width)
 
     def _a_ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of A: matches of the pattern that are new are encoded together, then all are joined."""
@@ -112,7 +114,7 @@ def owners(ends: np.ndarray, low: int, high: int) -> np.ndarray:
     """The number of the token that owns each byte of ``[low, high)``."""
     first, last = np.searchsorted(ends, [low, high - 1], "right")
     inside = np.minimum(ends[first : last + 1], high) - np.maximum(np.concatenate([[0], ends])[first : last + 1], low)
-    return np.repeat(np.arange(first, last + 1), inside)
+    return np.repeat(np.arange(first, last + 1, dtype=np.int32), inside)
 
 
 def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,8 +135,8 @@ def aligned(a_sizes: np.ndarray, b_sizes: np.ndarray, window: int = WINDOW) -> t
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
 
 
-def group_text(texts: list[str], a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, a_count: int) -> str:
-    """Groups as ``a1,a2|b1;a3|b2,b3``: tokens of both sides are put in their places, then their signs are joined."""
+def group_text(text_bytes: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, a_last: np.ndarray, b_last: np.ndarray, a_count: int) -> bytes:
+    """Groups as ``a1,a2|b1;a3|b2,b3``: tokens of both sides are put in their places, then the bytes of their signs follow one another."""
     a_end, b_end = np.zeros(len(a_ids), bool), np.zeros(len(b_ids), bool)
     a_end[a_last], b_end[b_last] = True, True
     a_group, b_group = np.cumsum(a_end) - a_end, np.cumsum(b_end) - b_end
@@ -142,7 +144,11 @@ def group_text(texts: list[str], a_ids: np.ndarray, b_ids: np.ndarray, a_last: n
     # Before a token stand those before it on its side, and the other side's tokens of the groups before (A) or up to its own (B).
     out[np.arange(len(a_ids)) + np.concatenate([[0], b_last + 1])[a_group]] = 2 * a_ids + a_end
     out[np.arange(len(b_ids)) + (a_last + 1)[b_group]] = 2 * (a_count + b_ids) + b_end
-    return "".join(map(texts.__getitem__, out.tolist()))[:-1]
+    parts = []
+    for at in range(0, len(out), GATHERED):
+        signs = text_bytes[out[at : at + GATHERED]].ravel()
+        parts.append(signs[signs != 0].tobytes())
+    return b"".join(parts)[:-1]
 
 
 _PAIRS: dict[tuple[str, str, str], Pair] = {}
@@ -187,7 +193,7 @@ def _digested(byte_path: str, piece_path: str, pattern: str):
             for a, b in tool.encode(batch.column(1).to_pylist()):
                 over, _, a_last, b_last = aligned(tool.a_sizes[a], tool.b_sizes[b])
                 numbers.append((len(a), len(b), len(a_last), len(a_last), len(over)))
-                digests.append(hashlib.sha256(group_text(tool.texts, a, b, a_last, b_last, a_count).encode()).hexdigest() if len(a) else "")
+                digests.append(hashlib.sha256(group_text(tool.text_bytes, a, b, a_last, b_last, a_count)).hexdigest() if len(a) else "")
                 own, n = np.unique(a[a_last] * tool.b_count + b[b_last], return_counts=True)
                 pairs.append(own)
                 times.append(n)
