@@ -6,15 +6,16 @@ many queries at once and partition by query.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.session import python_ready
+from plumbline.session import cut, python_ready
 
 #: The constant of rank fusion in the pipeline, the balance of MMR, and sizes of pool and result.
 RRF_K, LAMBDA, POOL, FINAL = 20, 0.6, 50, 10
@@ -89,6 +90,28 @@ def rerank(ranked: DataFrame, score: Column | None = None, top_k: int | None = N
     return out if top_k is None else out.where(F.col("final_rank") <= top_k)
 
 
+def late_interaction(ranked: DataFrame, query_tokens: DataFrame, chunk_tokens: DataFrame) -> DataFrame:
+    """``ranked`` with ``interaction``: for each token of the query its best product with a token of the chunk, summed.
+
+    ``query_tokens`` (query_id, tokens) and ``chunk_tokens`` (id, tokens) hold matrices (array<array<double>>), one row for a
+    query or chunk. Only rows of the pool meet their matrices, by two joins; each pair is one product of two matrices in
+    an Arrow batch. Without tokens on either side the score is 0.
+    """
+    python_ready(ranked.sparkSession, 512)
+    names = ranked.columns
+    q = query_tokens.select("query_id", F.col("tokens").cast("array<array<double>>").alias("_asked"))
+    c = chunk_tokens.select("id", F.col("tokens").cast("array<array<double>>").alias("_held"))
+    pool = ranked.join(c, "id", "left").join(q, "query_id", "left").select(*names, "_asked", "_held")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            asked, held = (batch.column(len(names) + k).to_pylist() for k in (0, 1))
+            scores = [float((np.array(a) @ np.array(h).T).max(axis=1).sum()) if a and h else 0.0 for a, h in zip(asked, held)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(names))), pa.array(scores, pa.float64())], [*names, "interaction"])
+
+    return pool.mapInArrow(run, ranked.schema.add("interaction", "double"))
+
+
 def attribute(ranked: DataFrame, chunks: DataFrame, id_col: str, defaults: dict) -> DataFrame:
     """Ranked rows with the columns of ``defaults`` from ``chunks`` by one left join; missing values get the defaults."""
     c = chunks.select(F.col(id_col).alias("_id"), *[F.col(n).alias(f"_{n}") for n in defaults])
@@ -142,20 +165,33 @@ def metadata_filter(where: dict | None) -> Column | None:
     return reduce(lambda a, b: a & b, parts)
 
 
-def retrieve(
-    first: DataFrame, second: DataFrame, vectors: DataFrame, top_k: int = FINAL, k: int = RRF_K, balance: float = LAMBDA, mode: str = "full", **names
+MODES = ("full", "first_only", "second_only", "hybrid_no_mmr", "hybrid_no_reranker")
+
+
+def retrieve_modes(
+    first: DataFrame, second: DataFrame, vectors: DataFrame, modes: tuple[str, ...] = MODES, top_k: int = FINAL, k: int = RRF_K, balance: float = LAMBDA, score: Column | None = None, **names
 ) -> DataFrame:
-    """The whole query pipeline or one of its ablations: query_id, id, score, rank.
+    """The query pipeline and its ablations: mode, query_id, id, score, rank; what several modes need is computed once.
 
-    Modes: full (fusion, MMR, re-ranker), hybrid_no_reranker, hybrid_no_mmr, first_only, second_only.
+    Modes: full (fusion, MMR, re-ranker), hybrid_no_reranker, hybrid_no_mmr, first_only, second_only. ``score`` is the
+    re-ranker's.
     """
-    if mode in ("first_only", "second_only"):
-        own = first if mode == "first_only" else second
-        return own.where(F.col("rank") <= top_k).select("query_id", "id", "score", "rank")
-    fused = fuse(both_rankers(first, second), k)
-    if mode == "hybrid_no_mmr":
-        return fused.where(F.col("rank") <= top_k).select("query_id", "id", F.col("rrf_score").alias("score"), "rank")
-    chosen = diversify(fused, vectors, top_k, balance, **names)
-    if mode == "hybrid_no_reranker":
-        return chosen.select("query_id", "id", F.col("mmr_score").alias("score"), "rank")
-    return rerank(chosen).select("query_id", "id", F.col("reranker_score").alias("score"), F.col("final_rank").alias("rank"))
+    parts = [own.where(F.col("rank") <= top_k).select(F.lit(mode).alias("mode"), "query_id", "id", "score", "rank") for mode, own in (("first_only", first), ("second_only", second)) if mode in modes]
+    hybrid = [m for m in modes if m not in ("first_only", "second_only")]
+    fused = fuse(both_rankers(first, second), k) if hybrid else None
+    fused = cut(fused) if len(hybrid) > 1 else fused
+    if "hybrid_no_mmr" in modes:
+        parts.append(fused.where(F.col("rank") <= top_k).select(F.lit("hybrid_no_mmr").alias("mode"), "query_id", "id", F.col("rrf_score").alias("score"), "rank"))
+    if {"full", "hybrid_no_reranker"} & set(modes):
+        chosen = diversify(fused, vectors, top_k, balance, **names)
+        chosen = cut(chosen) if {"full", "hybrid_no_reranker"} <= set(modes) else chosen
+        if "hybrid_no_reranker" in modes:
+            parts.append(chosen.select(F.lit("hybrid_no_reranker").alias("mode"), "query_id", "id", F.col("mmr_score").alias("score"), "rank"))
+        if "full" in modes:
+            parts.append(rerank(chosen, score).select(F.lit("full").alias("mode"), "query_id", "id", F.col("reranker_score").alias("score"), F.col("final_rank").alias("rank")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def retrieve(first: DataFrame, second: DataFrame, vectors: DataFrame, top_k: int = FINAL, k: int = RRF_K, balance: float = LAMBDA, mode: str = "full", **names) -> DataFrame:
+    """One of :func:`retrieve_modes`: query_id, id, score, rank."""
+    return retrieve_modes(first, second, vectors, (mode,), top_k, k, balance, **names).drop("mode")

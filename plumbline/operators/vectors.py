@@ -7,6 +7,7 @@ whatever the number of vectors, and a window per query picks the final ranking.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import python_ready
+from plumbline.session import cut, python_ready
 
 #: Queries in one matrix, and matrices that one reading of the vectors is compared with; larger query sets take more readings.
 QUERY_BLOCK, BLOCKS = 2048, 16
@@ -120,6 +121,52 @@ def top_k(
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def filter_share(rows: DataFrame, where: Column, id_col: str, sample: int = 10_000, risk: float = 0.01) -> tuple[float, float]:
+    """Bounds of the share of rows that pass a filter, from about ``sample`` rows chosen by a hash of their id.
+
+    By Hoeffding's inequality the share lies outside with a probability of ``risk`` at most.
+    """
+    total = rows.count()
+    shares = max(1, total // sample)
+    some = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.lit(2)), F.lit(shares)) == 0)
+    n, passed = some.agg(F.count(F.lit(1)), F.count_if(where)).first()
+    if not n:
+        return 0.0, 1.0
+    error = 0.0 if shares == 1 else math.sqrt(math.log(2 / risk) / (2 * n))
+    return max(0.0, passed / n - error), min(1.0, passed / n + error)
+
+
+def staged_search(
+    vectors: DataFrame, queries: DataFrame, where: Column, k: int = 50, threshold: float = 0.5, sample: int = 10_000, id_col: str = "vec_id", **options
+) -> DataFrame:
+    """Like :func:`top_k` with a filter, in the order that fits the filter's selectivity; the rows are the same.
+
+    A filter that surely keeps at most ``threshold`` of the rows goes first, to the scan. Otherwise the search goes first,
+    for as many rows as should leave ``k``, and the filter after it; queries that end with fewer search again for twice as
+    many, until they have ``k`` rows or have seen all.
+    """
+    low, high = filter_share(vectors, where, id_col, sample)
+    if high <= threshold or low <= 0:
+        return top_k(vectors, queries, k, id_col, where=where, **options)
+    total = vectors.count()
+    passing = vectors.where(where).select(F.col(id_col).alias("id"))
+    wanted, open_, found = min(total, math.ceil(k / low)), queries, None
+    while True:
+        part = cut(top_k(vectors, open_, wanted, id_col, **options).join(passing, "id", "left_semi"))
+        counts = part.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"))
+        done = counts.where(F.lit(wanted >= total) | (F.col("_n") >= k)).select("query_id")
+        ended = part.join(done, "query_id", "left_semi")
+        found = ended if found is None else found.unionByName(ended)
+        if wanted >= total:
+            break
+        open_ = cut(open_.join(done, "query_id", "left_anti"))
+        if open_.isEmpty():
+            break
+        wanted = min(total, 2 * wanted)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    return found.select("query_id", "id", "score").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def half_cosine(found: DataFrame) -> DataFrame:
     """Scores of the second ranker: (1 + cosine) / 2, which is 1 minus half the cosine distance."""
     return found.withColumn("score", (1 + F.col("score")) / 2)

@@ -104,24 +104,42 @@ def rnk4_attribution(spark, sf_dir):
     return found.select("query_id", "id", "rank", "rrf_score", "source", "lang", "n_chars")
 
 
-MODES = ("full", "first_only", "second_only", "hybrid_no_mmr", "hybrid_no_reranker")
-
-
-def all_modes(spark, sf_dir) -> DataFrame:
-    first, second = cut(first_ranker(spark, sf_dir)), cut(second_ranker(spark, sf_dir))
-    out = None
-    for mode in MODES:
-        part = ranking.retrieve(first, second, corpus(spark, sf_dir), mode=mode).withColumn("mode", F.lit(mode))
-        out = part if out is None else out.unionByName(part)
-    return out
+def in_modes(spark, sf_dir, modes: tuple[str, ...] = ranking.MODES) -> DataFrame:
+    """The query set in the wished modes."""
+    return ranking.retrieve_modes(cut(first_ranker(spark, sf_dir)), cut(second_ranker(spark, sf_dir)), corpus(spark, sf_dir), modes)
 
 
 def rnk6_ablation_modes(spark, sf_dir):
-    return all_modes(spark, sf_dir).where("mode NOT IN ('full', 'hybrid_no_reranker')").select("mode", "query_id", "id", "rank", F.when(F.col("mode") == "hybrid_no_mmr", F.round("score", 9)).otherwise(F.col("score")).alias("score"))
+    got = in_modes(spark, sf_dir, ("first_only", "second_only", "hybrid_no_mmr"))
+    return got.select("mode", "query_id", "id", "rank", F.when(F.col("mode") == "hybrid_no_mmr", F.round("score", 9)).otherwise(F.col("score")).alias("score"))
 
 
 def rnk5_full_pipeline(spark, sf_dir):
-    return all_modes(spark, sf_dir).where("mode IN ('full', 'hybrid_no_reranker')").select("mode", "query_id", "id", "rank", F.round("score", 6).alias("score"))
+    return in_modes(spark, sf_dir, ("full", "hybrid_no_reranker")).select("mode", "query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+#: Fixed value: dimensions of a token, of which a vector stands for four.
+TOKEN = 16
+
+
+def tokens(vector: str):
+    """A vector's quarters as the token vectors of its chunk."""
+    return F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(F.col(vector).cast("array<double>"), i * TOKEN + 1, TOKEN))
+
+
+def rnk3_late_interaction(spark, sf_dir):
+    """The first thirty of the fused list, ranked anew by their tokens' best matches."""
+    pool = fused(spark, sf_dir).where("rank <= 30")
+    asked = query_set(spark, sf_dir).select("query_id", tokens("vector").alias("tokens"))
+    held = corpus(spark, sf_dir).select(F.col("vec_id").alias("id"), tokens("embedding").alias("tokens"))
+    scored = ranking.late_interaction(pool, asked, held).withColumn("interaction", F.round("interaction", 6))
+    return ranking.rerank(scored, F.col("interaction"), 10).select("query_id", "id", "interaction", "final_rank")
+
+
+def flt2_staged_search(spark, sf_dir):
+    """One filter that keeps a tenth of the vectors and one that keeps nine tenths."""
+    few = vectors.staged_search(corpus(spark, sf_dir), query_set(spark, sf_dir), F.col("label") == 3).withColumn("kept", F.lit("few"))
+    return few.unionByName(vectors.staged_search(corpus(spark, sf_dir), query_set(spark, sf_dir), F.col("label") != 3).withColumn("kept", F.lit("most")))
 
 
 def with_labels(spark, sf_dir, ranked: DataFrame) -> DataFrame:
@@ -192,7 +210,7 @@ def dif5_most_operative(spark, sf_dir):
 
 
 def judged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    ranked = cut(all_modes(spark, sf_dir)).where("mode IN ('first_only', 'second_only', 'hybrid_no_mmr')")
+    ranked = cut(in_modes(spark, sf_dir))
     ranked = ranking.distinct_first(ranked, ["query_id", "mode"], "id", 10).select("query_id", "mode", "case_id", F.col("case_rank").alias("rank"))
     labels = corpus(spark, sf_dir).select("vec_id", "label")
     own = labels.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "label")
@@ -210,7 +228,7 @@ def evl5_mode_means(spark, sf_dir):
 
 
 def evl6_paired_t(spark, sf_dir):
-    return evaluate.paired_differences(evaluate.ranking_metrics(*judged(spark, sf_dir)), "hybrid_no_mmr", ["mrr_10", "ndcg_10"])
+    return evaluate.paired_differences(evaluate.ranking_metrics(*judged(spark, sf_dir)), "full", ["mrr_10", "ndcg_10"])
 
 
 def evl17_pseudo_relevance(spark, sf_dir):
@@ -224,7 +242,7 @@ def evl17_pseudo_relevance(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        vec1_knn_cosine, vec1_knn_odd_rows, vec1_knn_dot, vec2_knn_filtered, vec2_index_search, vec3_pair_cosine, vec4_fetch_vectors, vec5_dual_query, rnk1_rrf, rnk2_mmr, rnk3_passthrough_rerank,
+        vec1_knn_cosine, vec1_knn_odd_rows, vec1_knn_dot, vec2_knn_filtered, vec2_index_search, flt2_staged_search, vec3_pair_cosine, vec4_fetch_vectors, vec5_dual_query, rnk1_rrf, rnk2_mmr, rnk3_passthrough_rerank, rnk3_late_interaction,
         rnk4_attribution, rnk5_full_pipeline, rnk6_ablation_modes, rnk7_distinct_first, rnk8_set_compare, dif1_rank_diff, dif2_sensitivity, dif3_case_path,
         dif4_diff_table, dif5_most_operative, evl4_query_metrics, evl5_mode_means, evl6_paired_t, evl17_pseudo_relevance,
     )
@@ -250,6 +268,15 @@ m AS (
   UNION ALL SELECT 'second_only', query_id, id, score, rank FROM r2 WHERE rank <= 10
   UNION ALL SELECT 'hybrid_no_mmr', query_id, id, round(rrf_score, 9), rank FROM f WHERE rank <= 10)"""
 
+_ALL_MODES = _MODES.replace(
+    "\nm AS (",
+    """
+m AS (
+  SELECT 'full' AS mode, query_id, id, CAST(1.0 AS DOUBLE) / n AS score, n AS rank FROM step WHERE n > 0
+  UNION ALL SELECT 'hybrid_no_reranker', query_id, id, score, n FROM step WHERE n > 0
+  UNION ALL""",
+)
+
 _METRICS = """,
 rel AS (SELECT q.query_id, v.vec_id AS id FROM q JOIN v o ON o.vec_id = q.query_id JOIN v ON v.label = o.label AND v.vec_id <> q.query_id),
 n AS (SELECT query_id, count(*) AS n FROM rel GROUP BY query_id),
@@ -304,6 +331,19 @@ SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY
     "vec2_knn_filtered": f"""
 WITH {_BASE} SELECT query_id, id, (1 + score) / 2 AS score, rank FROM (
   SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM s1 WHERE label = 3 OR label >= 7) WHERE rank <= 50
+""",
+    "flt2_staged_search": f"""
+WITH {_BASE}, x AS (
+  SELECT query_id, id, score, CASE WHEN label = 3 THEN 'few' ELSE 'most' END AS kept FROM s1)
+SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY kept, query_id ORDER BY score DESC, id) AS INTEGER) AS rank, kept FROM x) WHERE rank <= 50
+""",
+    "rnk3_late_interaction": f"""
+WITH {_BASE}, t AS (SELECT vec_id, e, i FROM v CROSS JOIN (VALUES (0), (1), (2), (3)) k(i)),
+x AS (
+  SELECT f.query_id, f.id, f.rank, a.i, max(list_dot_product(a.e[a.i * 16 + 1 : a.i * 16 + 16], b.e[b.i * 16 + 1 : b.i * 16 + 16])) AS best
+  FROM f JOIN t a ON a.vec_id = f.query_id JOIN t b ON b.vec_id = f.id WHERE f.rank <= 30 GROUP BY ALL),
+y AS (SELECT query_id, id, rank, round(sum(best), 6) AS interaction FROM x GROUP BY ALL)
+SELECT * FROM (SELECT query_id, id, interaction, CAST(row_number() OVER (PARTITION BY query_id ORDER BY interaction DESC, rank) AS INTEGER) AS final_rank FROM y) WHERE final_rank <= 10
 """,
     "vec3_pair_cosine": """
 WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), f AS (SELECT label, min(vec_id) AS id FROM v GROUP BY label)
@@ -356,15 +396,15 @@ WITH {_TREES} SELECT tree_id, node_id, case_id, coalesce(CAST(parent_rank AS VAR
     "dif5_most_operative": f"""
 WITH {_TREES} SELECT tree_id, fact_type, sensitivity FROM (SELECT *, row_number() OVER (PARTITION BY tree_id ORDER BY sensitivity DESC, node_id) AS n FROM sens) WHERE n = 1
 """,
-    "evl4_query_metrics": f"WITH {_BASE}{_MODES}{_METRICS} SELECT * FROM met",
+    "evl4_query_metrics": f"WITH RECURSIVE {_BASE}{_MMR}{_ALL_MODES}{_METRICS} SELECT * FROM met",
     "evl5_mode_means": f"""
-WITH {_BASE}{_MODES}{_METRICS} SELECT mode, count(*) AS n_queries, round(avg(mrr_10), 4) AS mrr_10, round(avg(ndcg_10), 4) AS ndcg_10, round(avg(recall_5), 4) AS recall_5,
+WITH RECURSIVE {_BASE}{_MMR}{_ALL_MODES}{_METRICS} SELECT mode, count(*) AS n_queries, round(avg(mrr_10), 4) AS mrr_10, round(avg(ndcg_10), 4) AS ndcg_10, round(avg(recall_5), 4) AS recall_5,
   round(avg(recall_10), 4) AS recall_10, round(avg(recall_20), 4) AS recall_20 FROM met GROUP BY ROLLUP (mode)
 """,
     "evl6_paired_t": f"""
-WITH {_BASE}{_MODES}{_METRICS}, l AS (
+WITH RECURSIVE {_BASE}{_MMR}{_ALL_MODES}{_METRICS}, l AS (
   SELECT query_id, mode, 'mrr_10' AS metric, mrr_10 AS x FROM met UNION ALL SELECT query_id, mode, 'ndcg_10', ndcg_10 FROM met),
-d AS (SELECT o.mode, o.metric, h.x - o.x AS d FROM l h JOIN l o ON o.query_id = h.query_id AND o.metric = h.metric WHERE h.mode = 'hybrid_no_mmr' AND o.mode <> 'hybrid_no_mmr'),
+d AS (SELECT o.mode, o.metric, h.x - o.x AS d FROM l h JOIN l o ON o.query_id = h.query_id AND o.metric = h.metric WHERE h.mode = 'full' AND o.mode <> 'full'),
 x AS (SELECT mode, metric, count(*) AS n, avg(d) AS m, CASE WHEN stddev_samp(d) > 1e-12 THEN avg(d) / (stddev_samp(d) / sqrt(count(*))) END AS t FROM d GROUP BY mode, metric),
 -- Twice the upper tail of Student's density, by Simpson's rule between 0 and t.
 y AS (SELECT mode, metric, n, m, t, 1 - 2 * exp(lgamma(n / 2) - lgamma((n - 1) / 2)) / sqrt(pi() * (n - 1)) * abs(t) / 6000 * list_sum(list_transform(range(0, 2001), lambda i:

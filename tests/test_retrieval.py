@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import diff, evaluate, ranking, vectors
 
@@ -196,3 +197,68 @@ def test_full_pipeline_orders_what_mmr_picked(spark):
         assert len(got) == 40 and {r["rank"] for r in got} == set(range(1, 11))
     scored = rows(ranking.rerank(first, score=-1.0 * vectors.F.col("score"), top_k=3).orderBy("query_id", "final_rank"))
     assert [r["rank"] for r in scored[:3]] == [20, 19, 18]
+
+
+def searched(spark, n=600, width=6):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=width).tolist(), i % 100) for i in range(n)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind int").cache()
+    return df, df.where("vec_id % 60 = 0").selectExpr("vec_id AS query_id", "embedding AS vector")
+
+
+@pytest.mark.parametrize("condition", ["kind = 7", "kind >= 10", "kind >= 0", "kind < 0", "embedding[0] > -1.0"])
+def test_staged_search_gives_the_rows_of_the_exact_filter(spark, condition):
+    df, asked = searched(spark)
+    exact = vectors.top_k(df, asked, 20, where=F.expr(condition))
+    for sample in (10_000, 100):
+        got = vectors.staged_search(df, asked, F.expr(condition), 20, sample=sample)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exact.collect()))
+
+
+def test_queries_short_of_rows_search_again(spark, monkeypatch):
+    """Rows near one query fail the filter, so its first search leaves too few."""
+    rng = np.random.default_rng(5)
+    near = [(i, [1.0, 0.01 * i, 0.0], 0) for i in range(60)]
+    rows = near + [(100 + i, [float(x) for x in rng.normal(size=3)], 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, kind int")
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [-1.0, 0.0, 0.0])], "query_id long, vector array<double>")
+    sizes = []
+    plain = vectors.top_k
+    monkeypatch.setattr(vectors, "top_k", lambda *a, **k: sizes.append((a[1].count(), a[2])) or plain(*a, **k))
+    got = vectors.staged_search(df, asked, F.col("kind") == 1, 10).collect()
+    assert sizes[0][0] == 2 and len(sizes) > 1 and all(n == 1 for n, _ in sizes[1:]) and sizes[1][1] == 2 * sizes[0][1]
+    monkeypatch.undo()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, vectors.top_k(df, asked, 10, where=F.col("kind") == 1).collect()))
+
+
+def test_share_of_a_filter_is_within_its_bounds(spark):
+    df = spark.range(50_000).withColumnRenamed("id", "vec_id")
+    low, high = vectors.filter_share(df, F.col("vec_id") % 10 < 3, "vec_id", sample=2000)
+    assert low < 0.3 < high and high - low < 0.15
+    assert vectors.filter_share(df, F.col("vec_id") < 0, "vec_id", sample=100_000) == (0.0, 0.0)
+    assert vectors.filter_share(df.limit(0), F.col("vec_id") < 0, "vec_id") == (0.0, 1.0)
+
+
+def test_late_interaction(spark):
+    rng = np.random.default_rng(6)
+    asked = {q: rng.normal(size=(3, 4)).tolist() for q in (1, 2)} | {3: [], 4: None}
+    held = {c: rng.normal(size=(c, 4)).tolist() for c in (1, 2, 5)} | {6: []}
+    ranked = spark.createDataFrame([(q, c, r) for q in (1, 2, 3, 4, 5) for r, c in enumerate((1, 2, 5, 6, 7), 1)], "query_id int, id int, rank int")
+    tokens = "tokens array<array<double>>"
+    got = ranking.late_interaction(ranked, spark.createDataFrame(list(asked.items()), f"query_id int, {tokens}"), spark.createDataFrame(list(held.items()), f"id int, {tokens}"))
+    for r in got.collect():
+        a, h = asked.get(r["query_id"]), held.get(r["id"])
+        want = sum(max(sum(x * y for x, y in zip(p, t)) for t in h) for p in a) if a and h else 0.0
+        assert abs(r["interaction"] - want) < 1e-9
+    assert got.count() == 25 and ranking.rerank(got, F.col("interaction"), 2).count() == 10
+
+
+def test_modes_share_their_lists(spark):
+    df, asked = searched(spark, 200)
+    first, second = vectors.top_k(df, asked, 30), vectors.half_cosine(vectors.top_k(df, asked, 30, dims=(0, 3)))
+    got = ranking.retrieve_modes(first, second, df)
+    assert {r["mode"] for r in got.select("mode").distinct().collect()} == set(ranking.MODES)
+    for mode in ranking.MODES:
+        own = ranking.retrieve(first, second, df, mode=mode)
+        assert own.columns == ["query_id", "id", "score", "rank"]
+        assert sorted(map(tuple, own.collect())) == sorted(map(tuple, got.where(F.col("mode") == mode).drop("mode").collect()))
