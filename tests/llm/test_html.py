@@ -48,6 +48,66 @@ WHOLE = {
 }
 
 
+MENU = "<div class=menu><a href=/>Home</a> <a href=/x>Other</a></div>"
+WRAPPED = {
+    "page-wide form": f"<body><form action=/>{MENU}<article><p>{LONG}</p><p>End</p></article><input></form>",
+    "site named after its sidebar": f"<body><div id=page class='site sidebar-right'>{MENU}<article><p>{LONG}</p><p>End</p></article></div>",
+    "content named after its sidebar": f"<body>{MENU}<div id=content class='right-sidebar'><p>{LONG}</p><p>End</p></div>",
+    "main named after its sidebar": f"<body>{MENU}<main class='content sidebar'><p>{LONG}</p><p>End</p></main>",
+    "article that is a widget": f"<body>{MENU}<article class='post widget'><p>{LONG}</p><p>End</p></article>",
+    "form left open": f"<body><form><input name=q><article><p>{LONG}</p><p>End</p></article>",
+    "menu left open": f"<body><nav><ul><li><a href=/>Home</a><article><p>{LONG}</p><p>End</p></article>",
+    "header left open": f"<body><header>Site<article><p>{LONG}</p><p>End</p></article>",
+}
+
+
+@pytest.mark.parametrize("name", WRAPPED)
+def test_wrappers_do_not_silence_the_article(name):
+    assert main_text(WRAPPED[name]) == f"{LINE}\nEnd"
+
+
+def test_wrappers_keep_their_menus_and_cuts():
+    page = f"<form><nav>Home</nav><article><p>one <span class=ad>Buy</span> two {LONG}</p><div class=comments><p>{LONG}</p></div></article></form>"
+    assert main_text(page) == f"one two {LINE}"
+    for name in ("comments", "ad", "nav"):
+        assert main_text(f"<div class={name}><p>{LONG}</p></div>") == ""
+
+
+@pytest.mark.parametrize("name", ["commentlist", "reader-comments", "user-comments", "commentsection", "article-ad-slot", "ad-slot", "newsletter-signup-form", "cookie-law-info"])
+@pytest.mark.parametrize("key", ["class", "id"])
+def test_comments_adverts_and_notices_by_other_names(name, key):
+    assert main_text(f"<article><p>{LONG}</p><div {key}='{name}'><p>{LONG}</p></div><p>End</p></article>") == f"{LINE}\nEnd"
+
+
+@pytest.mark.parametrize("element", ["<h2 id=comments>On comments</h2>", "<h2 id=navigation class=menu>Ships</h2>", "<section id=sharing><h2>Sharing</h2><p>To share.</p></section>", "<p id=cookies>Baked.</p>"])
+def test_ids_that_tell_a_topic_cut_nothing(element):
+    inner = main_text(element.replace("id=", "x=").replace("class=", "y="))
+    assert main_text(f"<article><p>{LONG}</p>{element}<p>End</p></article>") == f"{LINE}\n{inner}\nEnd"
+
+
+def test_two_articles_in_one_region_both_stay():
+    body = f"<main><article><p>{LONG}</p></article><article><p>{LONG}!</p></article></main>"
+    assert main_text(body) == f"{LINE}\n{LINE} !"
+
+
+def foreign(rnd):
+    """Pages whose names are not in the code's lists: wrappers and blocks of invented names around known text."""
+    name = lambda: "".join(rnd.choice("bcdfghjklmnpqrtvwz") + rnd.choice("aeiou") for _ in range(rnd.randrange(2, 5)))
+    lines = [" ".join(f"w{rnd.randrange(999)}" for _ in range(rnd.choice([2, 30, 90]))) for _ in range(rnd.randrange(3, 20))] + [LINE]
+    body = "".join(f"<p class='{name()} {name()}-{name()}' id={name()}>{t}</p>" for t in lines)
+    for _ in range(rnd.randrange(4)):
+        body = f"<{rnd.choice(['div', 'section', 'form', 'main', 'div'])} class='{name()}-{name()}' id={name()}>{body}</{rnd.choice(['div', 'section'])}>" if rnd.random() < 0.2 else f"<div class='{name()}'>{body}</div>"
+    tag = rnd.choice(["article", "main"])
+    return f"<body class='{name()}'>{MENU}<{tag} class={name()}>{body}</{tag}><footer>x</footer>", "\n".join(lines)
+
+
+def test_pages_with_names_of_their_own():
+    rnd = random.Random(12)
+    for _ in range(300):
+        page, want = foreign(rnd)
+        assert main_text(page) == want, page
+
+
 def generated(rnd):
     """A page of known main text: paragraphs of any length in an article or a division, with all kinds of cuts and surroundings."""
     cuts = ["<svg><path d=x></svg>", "<button>Go</button>", "<span class='ad box'>Buy</span>", "<script>var a='</p>';</script>", "<!-- no -->", "<img class=share>", "<b></b>"]
