@@ -118,10 +118,10 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", primes=PRIMES, ba
 
 
 def _chunks(text):
-    """Chunks of a normalised text with their offsets; an empty one has a single empty chunk."""
+    """Chunks of a normalised text in order, cut in one pass; an empty one has a single empty chunk."""
     clean = F.regexp_replace(F.coalesce(text, F.lit("")), SPACE + "+", " ")
-    starts = F.sequence(F.lit(0), F.greatest(F.length(clean) - 1, F.lit(0)), F.lit(COMPARED))
-    return F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring(clean, at + 1, F.lit(COMPARED)).alias("chunk")))
+    parts = F.regexp_extract_all(clean, F.lit(f"(?s).{{1,{COMPARED}}}"), F.lit(0))
+    return F.when(F.coalesce(F.length(text), F.lit(0)) > 0, parts).otherwise(F.array(F.lit("")))
 
 
 def duplicate_groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,10 +134,10 @@ def duplicate_groups(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", t
     several = cut(rows.groupBy(key).agg(first.alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     ids = cut(rows.join(several.select(key), key, "left_semi").select(id_col).distinct())
     members = rows_with_ids(docs.select(id_col, text_col), ids, id_col, id_col)
-    parts = with_fingerprints(members, text_col).select(*key, F.explode(_chunks(F.col(text_col))).alias("c"))
+    parts = with_fingerprints(members, text_col).select(*key, F.posexplode(_chunks(F.col(text_col))).alias("at", "chunk"))
     unlike = (
-        parts.groupBy(*key, F.col("c.at").alias("at"))
-        .agg(F.min("c.chunk").alias("least"), F.max("c.chunk").alias("most"))
+        parts.groupBy(*key, "at")
+        .agg(F.min("chunk").alias("least"), F.max("chunk").alias("most"))
         .where(F.col("least") != F.col("most"))
         .select(key)
         .distinct()

@@ -78,3 +78,13 @@ def test_one_row_of_each_group_stays(documents):
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"] and "kept" in kept.columns
     ids = sorted((r["doc_id"] for r in kept.collect()), key=str)
     assert ids == sorted([i for i, _, _, k, _ in brute(ROWS) if k], key=str)
+
+
+def test_two_equal_texts_of_sixteen_megabytes(spark):
+    """Each text is cut into chunks once, so the comparison is linear in its size."""
+    import time
+
+    docs = spark.range(3).selectExpr("id AS doc_id", "concat(repeat('some words of it  ', 1000000), IF(id = 2, 'x', 'y')) AS text")
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact.mark_copies(docs).collect()}
+    assert got == {0: (0, 2), 1: (0, 2), 2: (2, 1)} and time.perf_counter() - began < 60
