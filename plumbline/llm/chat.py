@@ -73,14 +73,16 @@ def fold(log: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """Per conversation: conv, formatted, loss (array of start and length in code points, from 0)."""
+    """Per conversation: conv, formatted, loss (array of start and length in code points, from 0, and the start of their turn)
+    and spans: for every turn its entry of loss, or null."""
     head = F.concat(F.lit(OPEN), escaped_role(F.col("role")), F.lit(BREAK))
     body = escaped(F.col("text"))
     pieces = messages.select("conv", "message", "role", head.alias("head"), body.alias("body"))
     pieces = pieces.withColumn("long", (F.length("head") + F.length("body") + len(CLOSE)).cast("long"))
     before = Window.partitionBy("conv").orderBy("message").rowsBetween(Window.unboundedPreceding, -1)
-    placed = pieces.withColumn("start", F.coalesce(F.sum("long").over(before), F.lit(0)) + F.length("head"))
-    span = F.when(F.col("role") == TRAINED_ROLE, F.struct(F.col("start").cast("long").alias("start"), F.length("body").cast("long").alias("length")))
+    placed = pieces.withColumn("begin", F.coalesce(F.sum("long").over(before), F.lit(0)))
+    start = (F.col("begin") + F.length("head")).cast("long").alias("start")
+    span = F.when(F.col("role") == TRAINED_ROLE, F.struct(start, F.length("body").cast("long").alias("length"), F.col("begin").cast("long").alias("turn_start")))
     turns = placed.groupBy("conv").agg(
         F.sort_array(F.collect_list(F.struct("message", F.concat("head", "body", F.lit(CLOSE)).alias("piece"), span.alias("span")))).alias("turns")
     )
@@ -88,11 +90,15 @@ def render(messages: DataFrame) -> DataFrame:
         "conv",
         F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
         F.filter(F.transform("turns", lambda t: t["span"]), lambda s: s.isNotNull()).alias("loss"),
+        F.transform("turns", lambda t: t["span"]).alias("spans"),
     )
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv, turns (array of role and text), loss_text (what the mask covers, unescaped), formatted, loss."""
+    """conv, turns (array of role and text), loss_text (what the mask covers, unescaped), formatted, loss.
+
+    The output is split at the ends of turns once, and a span is cut from its own turn, so the work is linear in the text.
+    """
     parts = F.filter(F.split(F.col("formatted"), CLOSE, -1), lambda p: p != "")
     broken = F.transform(parts, lambda p: F.struct(p.alias("p"), F.instr(p, BREAK).alias("at")))
     turns = F.transform(
@@ -102,7 +108,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
             unescaped(F.substring(x["p"], x["at"] + 1, F.length(x["p"]))).alias("text"),
         ),
     )
-    masked = F.transform(F.col("loss"), lambda s: F.substring(F.col("formatted"), s["start"].cast("int") + 1, s["length"].cast("int")))
+    masked = F.zip_with(
+        parts, "spans", lambda p, s: F.when(s.isNull(), "").otherwise(F.substring(p, (s["start"] - s["turn_start"]).cast("int") + 1, s["length"].cast("int")))
+    )
     return formatted.select("conv", turns.alias("turns"), unescaped(F.array_join(masked, "")).alias("loss_text"), "formatted", "loss")
 
 

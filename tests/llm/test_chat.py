@@ -54,3 +54,17 @@ def test_a_very_long_conversation(spark):
     rows = [(1, i, "assistant", f"t{i}<") for i in range(3000)]
     got = formatted(spark, rows)[1]
     assert len(got["turns"]) == 3000 and got["loss_text"] == "".join(r[3] for r in rows)
+
+
+def test_time_is_linear_in_the_turns(spark):
+    import time
+
+    def seconds(n):
+        df = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "IF(id % 2 = 0, 'user', 'assistant') AS role", "repeat('word ', 100) AS text")
+        began = time.perf_counter()
+        (row,) = chat.read_back(chat.format_conversations(df)).selectExpr("size(turns) AS n", "length(loss_text) AS chars").collect()
+        assert row == (n, n // 2 * 500)
+        return time.perf_counter() - began
+
+    seconds(4000)
+    assert seconds(16_000) < 4 * max(1.0, seconds(4000))
