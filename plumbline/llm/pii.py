@@ -53,9 +53,17 @@ _DATE = r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0
 _PHONE = r"(?<![0-9])\+[0-9]{1,3}(?:[ .\-]?[0-9]{2,4})"
 #: Ten digits in national groups: 3-3-4, neither of the first two groups below 200, or five pairs from 01 on.
 _NATIONAL = r"(?<![0-9.\-+])(?:[2-9][0-9]{2}(?:-[2-9][0-9]{2}-|\.[2-9][0-9]{2}\.| [2-9][0-9]{2} )[0-9]{4}|0[1-9](?:[ .\-][0-9]{2}){4})(?![0-9\-])"
-#: How labelled secrets begin, also as JSON keys, and fixed beginnings of keys that need no label; both stay.
-LABEL = r"(?i:\b(?:token|secret|password|api[_\-]?key|access[_\-]?key)\b(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"'])?)"
-PREFIX = r"(?:AKIA|ASIA|AIza|gh[opsru]_|sk-|xox[abprs]-)"
+#: How labelled secrets begin, also as JSON keys and at the end of longer names, and fixed beginnings of keys that need no label; both stay.
+LABEL = (
+    r"(?i:(?<![A-Za-z0-9])(?:token|secret|password|passwd|passphrase|pwd|(?:api|access|private|secret)[_\-]?key)(?![A-Za-z0-9])"
+    r"(?:\\?[\"'])?\s*+[=:]\s*+(?:\\?[\"'])?)"
+)
+PREFIX = r"(?:AKIA|ASIA|AIza|gh[opsru]_|github_pat_|glpat-|sk-|xox[abprs]-|eyJ)"
+BEARER = r"(?i:(?<![A-Za-z0-9])bearer\s++)"
+#: Characters of a labelled secret: those of keys, of base64 and of web tokens; what belongs to no class of letters stays.
+_SECRET = r"[A-Za-z0-9_\-./+=~]"
+#: A web token: three parts, of which the first two begin alike.
+_WEB_TOKEN = r"(?<![A-Za-z0-9_\-])eyJ[A-Za-z0-9_\-]{6,}\.eyJ[A-Za-z0-9_\-]{4,}\.[A-Za-z0-9_\-]++"
 #: What must follow the kinds that have a check. A slash may part two whole dates.
 TAILS = {
     "iban": r"(?![A-Za-z0-9])",
@@ -68,7 +76,7 @@ TAILS = {
 #: Forms of the kinds, in order of precedence.
 FORMS = {
     "email": rf"(?<!{_L}){_L}++@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{{2,}}",
-    "secret": rf"(?:{LABEL}[A-Za-z0-9_\-]{{16,}}+|(?<![A-Za-z0-9_\-]){PREFIX}[A-Za-z0-9_\-]{{16,}}+)",
+    "secret": rf"(?:{LABEL}{_SECRET}{{16,}}+|{_WEB_TOKEN}|{BEARER}(?=\S*[0-9]){_SECRET}{{16,}}+|(?<![A-Za-z0-9_\-]){PREFIX}[A-Za-z0-9_\-]{{16,}}+)",
     "iban": rf"(?<![A-Za-z0-9])(?:(?:{IBANS}){TAILS['iban']}|{OTHER_IBANS}{TAILS['iban']})",
     "card": rf"(?<![0-9])(?:[0-9]{{4}}(?:[ \-][0-9]{{4}}){{3}}|[0-9]{{4}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}|[0-9]{{13,19}}){TAILS['card']}",
     "ssn": rf"(?<![0-9\-])[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{TAILS['ssn']}",
@@ -207,7 +215,7 @@ def pseudonym(value: Column, kind: str, key: str) -> Column:
         local = F.regexp_extract(value, "^(.*)@", 1)
         return F.concat(permuted_text(local, key, kind), F.regexp_extract(value, "(@[^@]*)$", 1))
     if kind == "secret":
-        label = F.regexp_extract(value, rf"^((?:{LABEL})?(?:{PREFIX})?)", 1)
+        label = F.regexp_extract(value, rf"^((?:{LABEL}|{BEARER})?(?:{PREFIX})?)", 1)
         own = F.substring(value, F.length(label) + 1, F.length(value))
         plain = F.when(own.rlike("^[0-9a-f]+$"), permuted_text(own, key, kind, HEX_LOWER)).when(own.rlike("^[0-9A-F]+$"), permuted_text(own, key, kind, HEX_UPPER))
         return F.concat(label, plain.otherwise(permuted_text(own, key, kind)))
@@ -269,7 +277,7 @@ def pseudonymised(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: s
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     none = F.array().cast("array<string>")
     # Only texts with a digit, an at sign or the beginning of a secret can hold a candidate.
-    found = rows.withColumn("found", F.when(F.col("text").rlike(rf"[0-9@]|(?i:token|secret|password|key)|{PREFIX}"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
+    found = rows.withColumn("found", F.when(F.col("text").rlike(rf"[0-9@]|(?i:token|secret|pass|pwd|key|bearer)|{PREFIX}"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).otherwise(none))
     kinds = found.withColumn("kinds", F.transform("found", _kind))
     # Where a candidate failed its check, the text is read again for the valid values alone.
     kinds = kinds.withColumn("pattern", F.when(F.exists("kinds", lambda k: k.isNull()), _valid_only()).otherwise(ANY))

@@ -146,6 +146,31 @@ def test_no_value_stays_in_clear(spark):
             assert not any(value[i : i + 20] in r["text"] for i in range(0, len(value) - 20))
 
 
+def test_secrets_of_any_name_and_alphabet(spark):
+    """Names of environments, web tokens, base64, wide blanks and keys known by their beginnings: no part stays in clear."""
+    rnd = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    token = lambda n, more="": "".join(rnd.choice(letters + more) for _ in range(n - 1)) + "7"
+    web = lambda: f"eyJ{token(33)}.eyJ{token(80, '-_')}.{token(43, '-_')}"
+    labels = [
+        "DB_PASSWORD={}", "client_secret: {}", "AWS_SECRET_ACCESS_KEY={}", "my_password={}", "password :      {}", "export GITHUB_TOKEN='{}'", "secret_key = {}",
+        "PRIVATE-KEY:{}", "pwd={}", "\"refresh_token\" : \"{}\"", "passphrase:\t\t{}",
+    ]
+    rows, values = [], []
+    for label in labels:
+        for value in (token(20), token(64, "/+") + "==", web(), token(40, "._~-")):
+            rows.append(f"see {label.format(value)}\nthen more")
+            values.append(value)
+    for known in ("github_pat_{}", "glpat-{}", "Authorization: Bearer {}", "bearer   {}"):
+        values.append(token(40))
+        rows.append(f"x {known.format(values[-1])} y")
+    values.append(web())
+    rows.append(f"cookie {values[-1]};")
+    for text, value, r in zip(rows, values, run(spark, *rows), strict=True):
+        assert r["n_private"] == r["n_secret"] == 1 and len(r["text"]) == len(text), (text, r["text"])
+        assert not any(value[i : i + 8] in r["text"] for i in range(3, len(value) - 8)), (text, r["text"])
+
+
 def test_links_hold_across_documents_and_layouts(spark):
     a, b, c = run(spark, "x 4111-1111-1111-1111 y", "4111111111111111 and bob.1@x.org", "bob.1@x.org bob.1@x.org +1 (017) 555-7713 +1 017 555 7713")
     card = a["text"].split()[1].replace("-", "")
@@ -164,7 +189,7 @@ def test_permutations_are_one_to_one(spark):
 
 CLEAN = [
     None, "", "plain words", "4111111111111112", "version 4.0 of 300.1.1.1 and 1.2.3.4.5", "31.02.2020 and 2020-13-01", "000-12-3456 666-12-3456", "GB82WEST12345698765433",
-    "a@b", "12345678901234567890", "token of thanks", "1,234,567", "@ @@ 5 key", "9" * 5000, "é" * 3000 + "@",
+    "a@b", "12345678901234567890", "token of thanks", "the bearer internationalisation", "mytoken: abcdefghijklmnopqrstuv", "eyJust a word", "1,234,567", "@ @@ 5 key", "9" * 5000, "é" * 3000 + "@",
 ]
 
 
