@@ -164,7 +164,7 @@ def exp6_edge_summaries(spark, sf_dir):
 def src2_profile(spark, sf_dir):
     """The customers' columns."""
     c = table(spark, sf_dir, "customer").withColumn("c_mktsegment", F.when(F.col("c_custkey") % 5 > 0, F.col("c_mktsegment")))
-    return stores.profile(c).select("column", "n_null", "n_values", F.array_join("samples", "|").alias("samples"))
+    return stores.profile(c, place=F.col("c_custkey")).select("column", "n_null", "n_values", F.array_join("samples", "|").alias("samples"))
 
 
 def flt1_filters(spark, sf_dir):
@@ -337,9 +337,9 @@ FROM x JOIN l a ON a.n = d JOIN l b ON b.n = w
 """,
     "src2_profile": """
 WITH c AS (SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer),
-l AS (SELECT 'c_custkey' AS col, CAST(c_custkey AS VARCHAR) AS v FROM c UNION ALL SELECT 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM c UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM c
-  UNION ALL SELECT 'c_name', c_name FROM c UNION ALL SELECT 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM c),
-d AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY v) AS k FROM (SELECT DISTINCT col, v FROM l WHERE v IS NOT NULL)),
+l AS (SELECT c_custkey, 'c_custkey' AS col, CAST(c_custkey AS VARCHAR) AS v FROM c UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM c UNION ALL SELECT c_custkey, 'c_mktsegment', c_mktsegment FROM c
+  UNION ALL SELECT c_custkey, 'c_name', c_name FROM c UNION ALL SELECT c_custkey, 'c_acctbal', CAST(c_acctbal AS VARCHAR) FROM c),
+d AS (SELECT col, v, row_number() OVER (PARTITION BY col ORDER BY c_custkey) AS k FROM l WHERE v IS NOT NULL),
 s AS (SELECT col, string_agg(v, '|' ORDER BY k) AS samples FROM d WHERE k <= 3 GROUP BY col)
 SELECT l.col AS "column", count(*) - count(v) AS n_null, count(v) AS n_values, s.samples FROM l JOIN s ON s.col = l.col GROUP BY l.col, s.samples
 """,

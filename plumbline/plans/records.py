@@ -147,6 +147,21 @@ def snk3_sanitised(spark, sf_dir):
     return stores.sanitised(d, ["tags", "source"])
 
 
+def snk3_upsert_on_disk(spark, sf_dir):
+    """Suppliers, then customers of the same keys, then orders by their customers, of which the last one counts."""
+    path = scratch(spark)
+    named = lambda name, key, label, version: table(spark, sf_dir, name).select(F.col(key).alias("chunk_id"), F.col(label).alias("name"), F.col(version).cast("long").alias("version"))
+    for batch in (named("supplier", "s_suppkey", "s_name", "s_nationkey"), named("customer", "c_custkey", "c_name", "c_nationkey"), named("orders", "o_custkey", "o_orderpriority", "o_orderkey")):
+        stores.upsert(spark, path, batch, "chunk_id", "version")
+    return stores.stored(spark, path)
+
+
+def src2_profile_json(spark, sf_dir):
+    """The orders' columns as JSON."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_custkey")).alias("o_custkey"), "o_orderstatus", "o_orderpriority")
+    return stores.profile_json(stores.profile(orders, place=F.col("o_orderkey")))
+
+
 def snk5_sheet_round_trip(spark, sf_dir):
     """Sheets as JSON and back; their sentences tell that nothing is lost."""
     path = scratch(spark)
@@ -364,7 +379,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         txt5_margins, txt6_reading_order, txt7_document_texts, txt9_case_ids, ext16_grounding_tokens, chk6_chunk_metadata, src1_year_range, src5_fallback_path, src7_json_sources, src8_fact_store,
-        src9_rating_template, src10_ratings, snk1_index_rebuild, snk3_sanitised, snk4_index_additions, snk5_sheet_round_trip, snk6_report_json, snk7_latex, src11_model_answers, fe1_answered_sheets, fe9_extraction_stats,
+        src9_rating_template, src10_ratings, snk1_index_rebuild, snk3_sanitised, snk3_upsert_on_disk, src2_profile_json, snk4_index_additions, snk5_sheet_round_trip, snk6_report_json, snk7_latex, src11_model_answers, fe1_answered_sheets, fe9_extraction_stats,
         per5_replaced, per10_numbers, val1_judged, val2_verdicts, val3_reasons, tre1_roots, tre2_children, tre4_manual_nodes, tre7_edited_sheets, exp7_tree_json, exp8_report,
         evl1_mrr, evl2_ndcg, evl3_recall, evl7_spearman, evl8_dispositive, evl9_batch, evl15_reports,
     )
@@ -424,6 +439,19 @@ UNION ALL SELECT 'clarity_1_to_5', 'annotator', a, count(*), round(avg(v), 2) FR
 """,
     "snk1_index_rebuild": "SELECT label, count(*) AS n, round(sum(CAST(embedding[1] AS DOUBLE)), 6) AS total FROM embeddings WHERE label >= 5 GROUP BY label",
     "snk3_sanitised": "SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN concat_ws(', ', lang, 'x') ELSE '' END AS tags, CASE WHEN doc_id % 2 > 0 THEN coalesce(source, '') ELSE '' END AS source FROM documents",
+    "snk3_upsert_on_disk": """
+WITH o AS (SELECT o_custkey AS chunk_id, arg_max(o_orderpriority, o_orderkey) AS name, max(o_orderkey) AS version FROM orders GROUP BY o_custkey),
+c AS (SELECT c_custkey AS chunk_id, c_name AS name, CAST(c_nationkey AS BIGINT) AS version FROM customer WHERE c_custkey NOT IN (SELECT chunk_id FROM o)),
+s AS (SELECT s_suppkey AS chunk_id, s_name AS name, CAST(s_nationkey AS BIGINT) AS version FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer) AND s_suppkey NOT IN (SELECT chunk_id FROM o))
+SELECT * FROM o UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s
+""",
+    "src2_profile_json": """
+WITH c AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS a, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_custkey AS VARCHAR) END AS b, o_orderstatus AS c, o_orderpriority AS d FROM orders),
+l AS (SELECT k, 'o_orderkey' AS col, 'bigint' AS kind, a AS v FROM c UNION ALL SELECT k, 'o_custkey', 'bigint', b FROM c UNION ALL SELECT k, 'o_orderstatus', 'string', c FROM c UNION ALL SELECT k, 'o_orderpriority', 'string', d FROM c),
+d AS (SELECT *, row_number() OVER (PARTITION BY col, v IS NULL ORDER BY k) AS n FROM l)
+SELECT col AS "column", '{"kind":"' || kind || '","n_null":' || CAST(count(*) - count(v) AS VARCHAR) || ',"n_values":' || CAST(count(v) AS VARCHAR) || ',"samples":["' || string_agg(v, '","' ORDER BY n) FILTER (v IS NOT NULL AND n <= 3) || '"]}' AS json
+FROM d GROUP BY col, kind
+""",
     "snk4_index_additions": "SELECT vec_id AS chunk_id, CASE WHEN label < 5 THEN -1 ELSE label END AS label FROM embeddings",
     "snk5_sheet_round_trip": counterfactual.ORACLES["qry1_sentences"],
     "snk6_report_json": "SELECT c_mktsegment, count(*) AS n, round(avg(c_acctbal), 4) AS mean FROM customer GROUP BY c_mktsegment",

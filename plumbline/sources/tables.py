@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.session import python_ready
+from plumbline.session import path_exists, python_ready, release, staged
 
 RATING_COLUMNS = [
     "case_id", "chunk_id", "explanation_text", "source_chunk_text", "clarity_1_to_5", "legal_accuracy_1_to_5", "usefulness_1_to_5", "annotator_id", "notes",
@@ -35,22 +36,58 @@ def first_existing(spark: SparkSession, paths: list[str]) -> str | None:
     return None
 
 
-def profile(df: DataFrame, samples: int = 3) -> DataFrame:
-    """Per column: kind, numbers of nulls and of values, and its least distinct values as samples (40 characters each).
+def _column_parts(names: list[str], samples: int):
+    """A task's part of a profile: for each column the numbers of rows and values, and its first values with their positions."""
 
-    One aggregation over all columns counts and finds the least values, one more for each further sample; every task
-    keeps one value per column, so nothing grows with the table.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, values, first = 0, [0] * len(names), [[] for _ in names]
+        for batch in batches:
+            rows += batch.num_rows
+            for k in range(len(names)):
+                column = batch.column(k)
+                values[k] += len(column) - column.null_count
+                if values[k] and (len(first[k]) < samples or batch.num_rows):
+                    kept = pc.indices_nonzero(column.is_valid())
+                    if len(first[k]) == samples:  # only rows before the last one kept matter
+                        kept = kept.filter(pc.less(batch.column(len(names)).take(kept), first[k][-1][0]))
+                    if len(kept):
+                        places = batch.column(len(names)).take(kept)
+                        best = pc.select_k_unstable(places, min(samples, len(kept)), [("", "ascending")])
+                        at = kept.take(best)
+                        first[k] = sorted([*first[k], *zip(batch.column(len(names)).take(at).to_pylist(), column.take(at).to_pylist())])[:samples]
+        found = [[{"place": p, "value": v} for p, v in f] for f in first]
+        columns = [pa.array(range(len(names)), pa.int32()), pa.array([rows] * len(names), pa.int64()), pa.array(values, pa.int64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(pa.struct([("place", pa.int64()), ("value", pa.string())])))], ["at", "n", "n_values", "first"])
+
+    return run
+
+
+def profile(df: DataFrame, samples: int = 3, place: Column | None = None) -> DataFrame:
+    """Per column: kind, numbers of nulls and of values, and its first values that are not null (40 characters each).
+
+    One scan: a task keeps counts and the first ``samples`` values of every column, and these parts are merged by column.
+    ``place`` tells the order of rows (a long; by default as they are read, so for a file its rows in order).
     """
-    cells = {f.name: F.col(f"`{f.name}`").cast("string") for f in df.schema}
-    counts = df.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"v{i}") for i, c in enumerate(cells.values())]).first()
-    seen: dict[str, list[str]] = {n: [] for n in cells}
-    for _ in range(samples):
-        later = [F.min(F.when(c > F.lit(seen[n][-1]), c) if seen[n] else c).alias(f"m{i}") for i, (n, c) in enumerate(cells.items())]
-        for name, value in zip(cells, df.agg(*later).first() if later else []):
-            if value is not None:
-                seen[name].append(value)
-    rows = [(f.name, f.dataType.simpleString(), counts["n"] - counts[f"v{i}"], counts[f"v{i}"], [x[:40] for x in seen[f.name]]) for i, f in enumerate(df.schema)]
-    return df.sparkSession.createDataFrame(rows, "column string, kind string, n_null long, n_values long, samples array<string>")
+    python_ready(df.sparkSession, 4096)
+    names, width = df.columns, max(len(df.columns), 1)
+    at = F.monotonically_increasing_id() if place is None else place.cast("long")
+    cells = df.select(*[F.col(f"`{n}`").cast("string").alias(f"c{i}") for i, n in enumerate(names)], at.alias("place"))
+    first = "array<struct<place:bigint,value:string>>"
+    parts = cells.mapInArrow(_column_parts(names, samples), f"at int, n long, n_values long, first {first}")
+    merged = parts.groupBy("at").agg(F.sum("n").alias("n"), F.sum("n_values").alias("n_values"), F.array_sort(F.flatten(F.collect_list("first"))).alias("first"))  # a row of a task for each column
+    kinds = df.sparkSession.createDataFrame([(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)], "at int, column string, kind string").coalesce(1)
+    kept = F.transform(F.slice(F.coalesce("first", F.array().cast(first)), 1, samples), lambda x: F.substring(x["value"], 1, 40))
+    none = F.lit(0).cast("long")
+    n_values = F.coalesce("n_values", none)
+    return (
+        kinds.join(merged, "at", "left").orderBy("at").coalesce(min(width, 1))
+        .select("column", "kind", (F.coalesce("n", none) - n_values).alias("n_null"), n_values.alias("n_values"), kept.alias("samples"))
+    )
+
+
+def profile_json(profiled: DataFrame) -> DataFrame:
+    """A profile as JSON, one object a column."""
+    return profiled.select("column", F.to_json(F.struct("kind", "n_null", "n_values", "samples")).alias("json"))
 
 
 def pdf_pages(spark: SparkSession, folder: str, reader=None) -> DataFrame:
@@ -138,6 +175,45 @@ def upserted(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return existing.join(new.select(key), key, "left_anti").unionByName(new)
 
 
+#: The column by which a table that takes upserts on disk is partitioned.
+BUCKET = "upsert_bucket"
+
+
+def latest(rows: DataFrame, key: str, version: str | None = None) -> DataFrame:
+    """One row per key: the one with the greatest version (null is the least), ties and no version by all columns."""
+    named = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    order = F.struct(F.lit(0) if version is None else F.col(f"`{version}`"), F.to_json(named))
+    best = rows.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.max_by(named, order).alias("_row"))
+    return best.select("_row.*")
+
+
+def upsert(spark: SparkSession, path: str, batch: DataFrame, key: str, version: str | None = None, buckets: int = 64) -> None:
+    """Puts the rows of a batch in place of those with the same key; only the buckets of its keys are read and written anew.
+
+    Rows lie in ``buckets`` partitions by the hash of their key (the same number at every call). The new contents of the
+    touched ones are staged, so that nothing is overwritten while it is read, and then replaced by dynamic partition
+    overwrite. A batch that is given again changes nothing, which mends one that was broken off.
+    """
+    bucket = F.pmod(F.xxhash64(F.col(f"`{key}`")), F.lit(buckets)).cast("int")
+    new = staged(latest(batch, key, version).withColumn(BUCKET, bucket))
+    writer = lambda df: df.write.partitionBy(BUCKET).option("partitionOverwriteMode", "dynamic").mode("overwrite")
+    if not path_exists(spark, path):
+        writer(new.repartition(BUCKET)).parquet(path)
+        release(new)
+        return
+    touched = [r[0] for r in new.select(BUCKET).distinct().collect()]  # one for each bucket at most
+    old = spark.read.option("mergeSchema", True).parquet(path).where(F.col(BUCKET).isin(touched)).alias("o")
+    kept = old.join(new.select(F.col(f"`{key}`").alias("_key")), F.col(f"o.`{key}`").eqNullSafe(F.col("_key")), "left_anti")
+    rows = staged(kept.unionByName(new, allowMissingColumns=True))
+    writer(rows.repartition(BUCKET)).parquet(path)
+    release(new, rows)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table that takes upserts."""
+    return spark.read.option("mergeSchema", True).parquet(path).drop(BUCKET)
+
+
 def write_index(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).parquet(path)
 

@@ -6,15 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.sources.tables import add_to_index
+from plumbline.sources.tables import add_to_index, upsert
 
 
-def follow(spark: SparkSession, source: str, schema, index: str, checkpoint: str, key: str = "chunk_id") -> StreamingQuery:
-    """Adds the new chunks of a folder to an index, batch by batch; a repeated batch adds nothing again."""
+def follow(spark: SparkSession, source: str, schema, index: str, checkpoint: str, key: str = "chunk_id", version: str | None = None, replace: bool = False) -> StreamingQuery:
+    """Adds the new chunks of a folder to an index, batch by batch; a repeated batch adds nothing again.
+
+    With ``replace`` chunks that are stored already give way to newer ones (of a batch to the one with the greatest
+    ``version``), in a table for upserts.
+    """
     rows = spark.readStream.schema(schema).parquet(source)
 
     def add(batch: DataFrame, _: int) -> None:
-        add_to_index(batch.sparkSession, index, batch, key)
+        if replace:
+            upsert(batch.sparkSession, index, batch, key, version)
+        else:
+            add_to_index(batch.sparkSession, index, batch, key)
 
     return rows.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

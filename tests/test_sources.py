@@ -20,8 +20,60 @@ def test_yearly_metadata_reads_only_wanted_years(spark, tmp_path):
 def test_profile(spark):
     df = spark.createDataFrame([(1, "b"), (2, None), (None, "a"), (2, "b")], "n int, `s t` string")
     got = {r["column"]: r for r in tables.profile(df).collect()}
-    assert (got["n"]["n_null"], got["n"]["n_values"], got["n"]["kind"], got["n"]["samples"]) == (1, 3, "int", ["1", "2"])
-    assert got["s t"]["samples"] == ["a", "b"]
+    assert (got["n"]["n_null"], got["n"]["n_values"], got["n"]["kind"], got["n"]["samples"]) == (1, 3, "int", ["1", "2", "2"])
+    assert got["s t"]["samples"] == ["b", "a", "b"]
+
+
+def test_profile_finds_the_first_values_in_one_scan(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(k, rnd.choice([None, None, "x" * 50, "y"]), rnd.choice([None, float(k)]), None) for k in range(20_000)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k long, s string, d double, place string").repartition(7)
+    got = {r["column"]: r for r in tables.profile(df, place=F.col("k")).collect()}
+    for name, at in (("k", 0), ("s", 1), ("d", 2), ("place", 3)):
+        values = [str(r[at])[:40] for r in sorted(rows) if r[at] is not None]
+        assert (got[name]["n_values"], got[name]["n_null"], got[name]["samples"]) == (len(values), 20_000 - len(values), values[:3])
+    assert [r["column"] for r in tables.profile(df).collect()] == ["k", "s", "d", "place"]
+    none = tables.profile(df.limit(0)).collect()
+    assert [(r["n_values"], r["samples"]) for r in none] == [(0, [])] * 4
+    assert tables.profile_json(tables.profile(df.limit(0))).first()["json"] == '{"kind":"bigint","n_null":0,"n_values":0,"samples":[]}'
+
+
+def test_batches_of_upserts_give_the_rebuilt_table(spark, tmp_path):
+    import random
+
+    rnd, path, state = random.Random(9), str(tmp_path / "t"), {}
+    for number in range(4):
+        rows = [(rnd.choice([None, *(f"k{i}" for i in range(40))]), number * 1000 + i, f"v{number}.{i}") for i in range(60)]
+        batch = spark.createDataFrame(rows, "id string, version long, v string").repartition(3)
+        tables.upsert(spark, path, batch, "id", "version", buckets=8)
+        for row in sorted(rows, key=lambda r: r[1]):
+            state[row[0]] = row
+        assert sorted(map(tuple, tables.stored(spark, path).collect()), key=str) == sorted(state.values(), key=str)
+    tables.upsert(spark, path, batch, "id", "version", buckets=8)  # once more: nothing changes
+    assert sorted(map(tuple, tables.stored(spark, path).collect()), key=str) == sorted(state.values(), key=str)
+
+
+def test_only_touched_buckets_are_written(spark, tmp_path):
+    path = tmp_path / "t"
+    tables.upsert(spark, str(path), spark.range(200).selectExpr("id", "'old' AS v"), "id", buckets=16)
+    before = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    tables.upsert(spark, str(path), spark.createDataFrame([(5, "new", 1.5)], "id long, v string, extra double"), "id", buckets=16)
+    after = {p: p.stat().st_mtime_ns for p in path.rglob("*.parquet")}
+    assert len(before) == 16 and len([p for p in before if after.get(p) == before[p]]) == 15
+    got = {r["id"]: (r["v"], r["extra"]) for r in tables.stored(spark, str(path)).collect()}
+    assert len(got) == 200 and got[5] == ("new", 1.5) and got[6] == ("old", None)
+
+
+def test_following_a_folder_with_replacements(spark, tmp_path):
+    rows = lambda *pairs: spark.createDataFrame([(i, v) for i, v in pairs], "chunk_id string, v int")
+    source, index, check = (str(tmp_path / x) for x in ("in", "index", "check"))
+    for batch in ([("a", 1), ("b", 1)], [("b", 2), ("b", 3), ("c", 1)]):
+        rows(*batch).write.mode("append").parquet(source)
+        incremental.follow(spark, source, "chunk_id string, v int", index, check, version="v", replace=True).awaitTermination()
+    assert sorted(map(tuple, tables.stored(spark, index).collect())) == [("a", 1), ("b", 3), ("c", 1)]
 
 
 def test_pdf_pages_with_a_reader(spark, tmp_path):
