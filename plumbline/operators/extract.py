@@ -111,12 +111,40 @@ def matches(docs: DataFrame, families: tuple, id_col: str, text_col: str = "text
     return rows.mapInArrow(_finder(families), f"id {kind}, family string, family_pos int, pattern_pos int, start int, end int, match string")
 
 
+#: The type of a text's entities.
+ENTITY = "struct<start:int,end:int,entity_type:string,match:string,position:int>"
+
+
+def spans_in(text: str, compiled: list[tuple[str, re.Pattern]]) -> list[dict]:
+    """Spans of all patterns in order: one that several patterns find goes to the first; position counts from 1."""
+    found: dict[tuple[int, int], tuple[int, str, str]] = {}
+    for order, (family, pattern) in enumerate(compiled):
+        for m in pattern.finditer(text):
+            found.setdefault(m.span(), (order, family, m.group()))
+    rows = sorted((start, order, end, family, match) for (start, end), (order, family, match) in found.items())
+    return [{"start": a, "end": b, "entity_type": family, "match": match, "position": k} for k, (a, _, b, family, match) in enumerate(rows, 1)]
+
+
+def entity_spans(text: Column, families: tuple = p.ENTITIES) -> Column:
+    """An array of a text's entities (start, end, entity_type, match, position); null has none.
+
+    One pass in an Arrow batch gives them deduplicated and in order, so nothing is shuffled.
+    """
+
+    @F.arrow_udf(f"array<{ENTITY}>")
+    def found(texts: pa.Array) -> pa.Array:
+        compiled = [(family, re.compile(x, re.IGNORECASE | re.ASCII)) for family, xs in families for x in xs]
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("match", pa.string()), ("position", pa.int32())]))
+        return pa.array([spans_in(t, compiled) if t else [] for t in texts.to_pylist()], kind)
+
+    return found(text)
+
+
 def entities(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
     """id, start, end, entity_type, match: spans found by several patterns go to the first; position counts from 1."""
-    found = matches(docs, p.ENTITIES, id_col, text_col)
-    first = found.groupBy("id", "start", "end").agg(F.min(F.struct("family_pos", "pattern_pos", "family", "match")).alias("m"))
-    order = Window.partitionBy("id").orderBy("start", "m.family_pos", "m.pattern_pos", "end")
-    return first.select("id", "start", "end", F.col("m.family").alias("entity_type"), F.col("m.match").alias("match"), F.row_number().over(order).alias("position"))
+    python_ready(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.explode(entity_spans(F.col(text_col).cast("string"))).alias("_e"))
+    return rows.select("id", "_e.*")
 
 
 def entity_summary(found: DataFrame, examples: int = 3) -> DataFrame:

@@ -14,7 +14,7 @@ from plumbline.functions import patterns as p
 from plumbline.operators import extract, facts
 from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, SHEET, number_text
 from plumbline.operators.models import AnswerStore, Backend, with_answers
-from plumbline.session import by_key, cut
+from plumbline.session import cut, python_ready, spread
 
 EDGE = "struct<fact_type:string,original_value:string,perturbed_value:string,description:string>"
 KEYS = ["tree_id", "node_id"]
@@ -188,9 +188,9 @@ def evidence_candidates(nodes: DataFrame) -> DataFrame:
 
 def spans_of(nodes: DataFrame) -> DataFrame:
     """Entities in the query sentences of the nodes: keys, sheet, entity_type, match, position."""
-    texts = nodes.select(F.struct(*KEYS).alias("id"), facts.query_sentence(F.col("sheet")).alias("text"))
-    found = extract.entities(texts.withColumn("id", F.to_json("id")), "id")
-    return by_key(nodes.withColumn("id", F.to_json(F.struct(*KEYS))), "id").join(found, "id").select(*KEYS, "sheet", "entity_type", "match", "position")
+    python_ready(nodes.sparkSession)
+    found = F.explode(extract.entity_spans(facts.query_sentence(F.col("sheet")))).alias("_e")
+    return spread(nodes).select(*KEYS, "sheet", found).select(*KEYS, "sheet", "_e.entity_type", "_e.match", "_e.position")
 
 
 def candidates(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:

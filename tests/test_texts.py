@@ -276,3 +276,24 @@ def test_edge_summaries(spark, fact):
     assert "1 new precedent became applicable, including z." in one and ("(new)" in one) == (fact == "Numerical")
     assert "did not significantly alter" in same
     assert added == "When it changed, no precedents dropped out of the top results. 1 new precedent became applicable, including z."
+
+
+def test_entities_in_one_pass_are_those_of_a_join(spark):
+    """The spans, families and positions that grouping every match of every pattern gives."""
+    import random
+
+    from pyspark.sql import Window
+
+    from plumbline.functions import patterns
+
+    rnd = random.Random(7)
+    words = "Rs. 1,500 lakh aged about 25 years old minor major general age of 3 months and 2 days Section 302 of IPC Article 21 Order VII Rule 11 accused tenant FIR first information report 12".split()
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(60))) for _ in range(80)] + [None, "", CASE]
+    df = docs(spark, *texts)
+    found = extract.matches(df, patterns.ENTITIES, "doc_id").groupBy("id", "start", "end").agg(F.min(F.struct("family_pos", "pattern_pos", "family", "match")).alias("m"))
+    order = Window.partitionBy("id").orderBy("start", "m.family_pos", "m.pattern_pos", "end")
+    want = found.select("id", "start", "end", "m.family", "m.match", F.row_number().over(order).alias("position"))
+    got = extract.entities(df, "doc_id")
+    assert got.columns == ["id", "start", "end", "entity_type", "match", "position"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 500
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
