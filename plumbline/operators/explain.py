@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.extract import terms
 from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, number_text
+from plumbline.session import cut
 
 
 def document_frequency(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -111,6 +112,48 @@ def tree_json(nodes: DataFrame, diffs: DataFrame, scores: DataFrame) -> DataFram
     return trees.join(sens, "tree_id", "left").select("tree_id", F.to_json(F.struct("tree_id", "nodes", "sensitivity")).alias("json"))
 
 
+def nested_json(nodes: DataFrame, columns: list[str], children: str = "children") -> DataFrame:
+    """tree_id and json of every tree whose root has depth 0: objects of ``columns``, with their children in the order of ids.
+
+    ``nodes``: tree_id, node_id, parent_id, depth and ``columns``. Trees of any depth are put together from below, a
+    level per step: children are folded into one string for their parent, by a group-by and a join, and each level is cut.
+    Null columns are left out of an object.
+    """
+    own = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    rows = nodes.select("tree_id", "node_id", "parent_id", "depth", F.substring(own, F.lit(1), F.length(own) - 1).alias("head"))
+    below = None
+    for depth in range(nodes.agg(F.max("depth")).first()[0] or 0, -1, -1):
+        level = rows.where(F.col("depth") == depth)
+        if below is None:
+            level = level.withColumn("inner", F.lit(""))
+        else:
+            folded = below.groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(
+                F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "json"))), lambda x: x["json"]), ",").alias("inner")
+            )
+            level = level.join(folded, ["tree_id", "node_id"], "left")
+        json = F.concat("head", F.when(F.col("head") == "{", "").otherwise(","), F.lit(f'"{children}":['), F.coalesce("inner", F.lit("")), F.lit("]}"))
+        below = cut(level.select("tree_id", "node_id", "parent_id", json.alias("json")))
+    return below.select("tree_id", "json")
+
+
+def nodes_of_json(trees: DataFrame, columns: str, children: str = "children") -> DataFrame:
+    """The inverse of :func:`nested_json`: tree_id, parent_id, depth and ``columns`` (a schema with node_id) of every object.
+
+    Objects are taken apart a level per step until none has children, so no depth is fixed.
+    """
+    level = trees.select("tree_id", F.lit(None).cast("long").alias("parent_id"), "json")
+    out, depth = None, 0
+    while True:
+        inner = F.from_json(F.get_json_object("json", f"$.{children}"), "array<string>")
+        parsed = cut(level.select("tree_id", "parent_id", F.from_json("json", columns).alias("own"), inner.alias("inner")))
+        part = parsed.select("tree_id", "parent_id", F.lit(depth).alias("depth"), "own.*")
+        out = part if out is None else out.unionByName(part)
+        level = parsed.select("tree_id", F.col("own.node_id").cast("long").alias("parent_id"), F.explode("inner").alias("json"))
+        depth += 1
+        if level.isEmpty():
+            return out
+
+
 def fact_section(sheet: Column) -> Column:
     """A fact sheet in Markdown; missing parts vanish, missing names are N/A."""
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])

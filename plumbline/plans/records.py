@@ -315,6 +315,30 @@ def exp7_tree_json(spark, sf_dir):
     return explain.tree_json(nodes, diffs, scored(spark, sf_dir))
 
 
+def places(spark, sf_dir) -> DataFrame:
+    """A tree for each region: its nations, their customers, their orders."""
+    node = lambda df, tree, own, parent, depth, kind, label: df.select(F.col(tree).cast("long").alias("tree_id"), own.cast("long").alias("node_id"), parent.cast("long").alias("parent_id"), F.lit(depth).alias("depth"), F.lit(kind).alias("kind"), F.col(label).alias("label"))
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    customers = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = table(spark, sf_dir, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    nation_id, customer_id = F.col("n_nationkey") + 1, F.col("c_custkey") + 1000
+    out = node(region, "r_regionkey", F.lit(0), F.lit(None), 0, "region", "r_name")
+    out = out.unionByName(node(nation, "n_regionkey", nation_id, F.lit(0), 1, "nation", "n_name"))
+    out = out.unionByName(node(customers, "n_regionkey", customer_id, nation_id, 2, "customer", "c_mktsegment"))
+    return out.unionByName(node(orders, "n_regionkey", F.col("o_orderkey") + 1_000_000_000, customer_id, 3, "order", "o_orderpriority"))
+
+
+def exp7_nested_tree_json(spark, sf_dir):
+    """Nested objects of four levels, as one string for each tree."""
+    return explain.nested_json(places(spark, sf_dir), ["node_id", "kind", "label"]).select("tree_id", F.length("json").cast("long").alias("n_chars"), F.md5("json").alias("digest"))
+
+
+def snk5_nested_round_trip(spark, sf_dir):
+    """The same trees written as JSON and read back, level by level."""
+    trees = explain.nested_json(places(spark, sf_dir), ["node_id", "kind", "label"])
+    return explain.nodes_of_json(trees, "node_id long, kind string, label string")
+
+
 def exp8_report(spark, sf_dir):
     """All customers; suppliers' keys have sensitivities, summaries and precedents."""
     own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("tree_id"))
@@ -380,7 +404,7 @@ QUERIES = {
     for f in (
         txt5_margins, txt6_reading_order, txt7_document_texts, txt9_case_ids, ext16_grounding_tokens, chk6_chunk_metadata, src1_year_range, src5_fallback_path, src7_json_sources, src8_fact_store,
         src9_rating_template, src10_ratings, snk1_index_rebuild, snk3_sanitised, snk3_upsert_on_disk, src2_profile_json, snk4_index_additions, snk5_sheet_round_trip, snk6_report_json, snk7_latex, src11_model_answers, fe1_answered_sheets, fe9_extraction_stats,
-        per5_replaced, per10_numbers, val1_judged, val2_verdicts, val3_reasons, tre1_roots, tre2_children, tre4_manual_nodes, tre7_edited_sheets, exp7_tree_json, exp8_report,
+        per5_replaced, per10_numbers, val1_judged, val2_verdicts, val3_reasons, tre1_roots, tre2_children, tre4_manual_nodes, tre7_edited_sheets, exp7_tree_json, exp7_nested_tree_json, snk5_nested_round_trip, exp8_report,
         evl1_mrr, evl2_ndcg, evl3_recall, evl7_spearman, evl8_dispositive, evl9_batch, evl15_reports,
     )
 }
@@ -506,6 +530,25 @@ SELECT c_custkey AS tree_id, CAST(i AS BIGINT) AS node_id, 'IPC-1|IPC-2' AS sect
 WITH {_SCORED}, m AS (SELECT tree_id, string_agg('"' || fact_type || '":' || CAST(CAST(v AS DOUBLE) AS VARCHAR), ',' ORDER BY fact_type) AS sens FROM s GROUP BY tree_id)
 SELECT tree_id, '{{"tree_id":' || CAST(tree_id AS VARCHAR) || ',"nodes":[{{"node_id":0,"depth":0,"description":"root"}},{{"node_id":1,"parent_id":0,"depth":1,"description":"a \\"b\\"","diff":{{"dropped_cases":["A"],"newly_appeared_cases":["B","C"],"stable_cases":[],"mean_displacement":'
   || CAST(CAST(tree_id % 4 + 0.5 AS DOUBLE) AS VARCHAR) || '}}}}],"sensitivity":{{' || sens || '}}}}' AS json FROM m
+""",
+    "exp7_nested_tree_json": """
+WITH o AS (
+  SELECT o_custkey, string_agg('{"node_id":' || CAST(o_orderkey + 1000000000 AS VARCHAR) || ',"kind":"order","label":"' || o_orderpriority || '","children":[]}', ',' ORDER BY o_orderkey) AS j FROM orders GROUP BY o_custkey),
+c AS (
+  SELECT c_nationkey, string_agg('{"node_id":' || CAST(c_custkey + 1000 AS VARCHAR) || ',"kind":"customer","label":"' || c_mktsegment || '","children":[' || coalesce(o.j, '') || ']}', ',' ORDER BY c_custkey) AS j
+  FROM customer LEFT JOIN o ON o_custkey = c_custkey GROUP BY c_nationkey),
+n AS (
+  SELECT n_regionkey, string_agg('{"node_id":' || CAST(n_nationkey + 1 AS VARCHAR) || ',"kind":"nation","label":"' || n_name || '","children":[' || coalesce(c.j, '') || ']}', ',' ORDER BY n_nationkey) AS j
+  FROM nation LEFT JOIN c ON c_nationkey = n_nationkey GROUP BY n_regionkey),
+t AS (SELECT r_regionkey, '{"node_id":0,"kind":"region","label":"' || r_name || '","children":[' || coalesce(n.j, '') || ']}' AS j FROM region LEFT JOIN n ON n_regionkey = r_regionkey)
+SELECT CAST(r_regionkey AS BIGINT) AS tree_id, CAST(length(j) AS BIGINT) AS n_chars, md5(j) AS digest FROM t
+""",
+    "snk5_nested_round_trip": """
+WITH c AS (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT CAST(r_regionkey AS BIGINT) AS tree_id, CAST(NULL AS BIGINT) AS parent_id, 0 AS depth, CAST(0 AS BIGINT) AS node_id, 'region' AS kind, r_name AS label FROM region
+UNION ALL SELECT n_regionkey, 0, 1, n_nationkey + 1, 'nation', n_name FROM nation
+UNION ALL SELECT n_regionkey, n_nationkey + 1, 2, c_custkey + 1000, 'customer', c_mktsegment FROM c
+UNION ALL SELECT n_regionkey, c_custkey + 1000, 3, o_orderkey + 1000000000, 'order', o_orderpriority FROM orders JOIN c ON c_custkey = o_custkey
 """,
     "exp8_report": f"""
 WITH {_SCORED}, m AS (SELECT tree_id, string_agg('| ' || fact_type || ' | ' || printf('%.4f', CAST(v AS DOUBLE)) || ' |', chr(10) ORDER BY v DESC, fact_type) AS t,

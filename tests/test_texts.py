@@ -297,3 +297,31 @@ def test_entities_in_one_pass_are_those_of_a_join(spark):
     assert got.columns == ["id", "start", "end", "entity_type", "match", "position"]
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 500
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nested_trees_of_any_depth(spark):
+    """As a recursive build gives them, and back again."""
+    import random
+
+    rnd = random.Random(5)
+    rows, trees = [], {}
+    for tree_id in (1, 2, 3):
+        depth, made = {0: 0}, [(0, None)]
+        for node in range(1, 40 if tree_id < 3 else 14):
+            parent = node - 1 if tree_id == 3 else rnd.randrange(node)  # the third is one chain
+            depth[node] = depth[parent] + 1
+            made.append((node, parent))
+        rows += [(tree_id, n, q, depth[n], f'say "{n}"' if n % 3 else None) for n, q in made]
+
+        def build(n):
+            own = {"node_id": n} | ({"what": f'say "{n}"'} if n % 3 else {})
+            return own | {"children": [build(c) for c, q in made if q == n]}
+
+        trees[tree_id] = build(0)
+    schema = "tree_id int, node_id long, parent_id long, depth int, what string"
+    nodes = spark.createDataFrame(rows, schema).repartition(3)
+    got = explain.nested_json(nodes, ["node_id", "what"])
+    assert {r["tree_id"]: json.loads(r["json"]) for r in got.collect()} == trees
+    back = explain.nodes_of_json(got, "node_id long, what string")
+    assert sorted((r["tree_id"], r["node_id"], r["parent_id"], r["depth"], r["what"]) for r in back.collect()) == sorted(rows)
+    assert explain.nested_json(nodes.limit(0), ["node_id"]).count() == 0
