@@ -65,16 +65,18 @@ def replaced(items: Column, kind: str, matches, new: Column, appended: Column) -
     return F.when(at.isNull(), F.concat(items, F.array(appended))).otherwise(changed)
 
 
-def _numeric(spans: DataFrame, entity: str, targets, list_name: str, sheet_edge) -> DataFrame:
-    """Candidates of one kind of number: a row for each span of it and each target."""
-    rows = spans.where(F.col("entity_type") == entity).withColumn("value", number_in(F.col("match"))).where("value > 0")
-    if entity == "AGE":
-        rows = rows.withColumn("value", F.floor("value").cast("bigint"))
-    rows = rows.select(*KEYS, "sheet", "position", "value", F.posexplode(targets(F.col("value"))).alias("variant_pos", "new"))
+def _numeric(spans: DataFrame) -> DataFrame:
+    """Candidates of all kinds of numbers in one branch: a row for each span of one and each target."""
+    rows = spans.where(F.col("entity_type").isin("MONETARY_AMOUNT", "AGE", "DURATION")).withColumn("value", number_in(F.col("match"))).where("value > 0")
+    by_kind = lambda amount, age, duration: F.when(F.col("entity_type") == "MONETARY_AMOUNT", amount).when(F.col("entity_type") == "AGE", age).otherwise(duration)
+    value, whole = F.col("value"), F.floor("value").cast("bigint")
+    targets = by_kind(amount_targets(value), age_targets(whole).cast("array<double>"), duration_targets(value))
+    rows = rows.select(*KEYS, "sheet", "entity_type", "position", "value", F.posexplode(targets).alias("variant_pos", "new"))
     old, new = F.col("value"), F.col("new")
-    items, e = sheet_edge(old, new)
-    changed = F.col("sheet").withField(f"numerical_facts.{list_name}", items)
-    return rows.select(*KEYS, F.lit(0).alias("source_pos"), F.col("position").alias("item_pos"), "variant_pos", e.alias("edge"), changed.alias("sheet"))
+    made = [_amount(old, new), _age(F.floor("value").cast("bigint"), new.cast("bigint")), _duration(old, new)]
+    changed = [F.col("sheet").withField(f"numerical_facts.{name}", items).cast(SHEET) for name, (items, _) in zip(("amounts", "ages", "durations"), made)]
+    e = by_kind(*[e.cast(EDGE) for _, e in made])
+    return rows.select(*KEYS, F.lit(0).alias("source_pos"), F.col("position").alias("item_pos"), "variant_pos", e.alias("edge"), by_kind(*changed).alias("sheet"))
 
 
 def _amount(old: Column, new: Column):
@@ -114,11 +116,11 @@ def neighbours(found: DataFrame, adjacency: DataFrame) -> DataFrame:
     ``adjacency``: section, pos, neighbour. The table is a parameter, since which provisions are adjacent is knowledge
     of the domain.
     """
-    a = adjacency.select(F.col("section").alias("_section"), "pos", "neighbour")
-    exact = found.join(a, F.col("section") == F.col("_section"))
+    near = adjacency.groupBy(F.col("section").alias("_section")).agg(F.collect_list(F.struct("pos", "neighbour")).alias("_near"))
     key = F.replace(F.upper(F.trim("section")), F.lit(" "), F.lit("-"))
-    rest = found.join(a.select("_section").distinct(), F.col("section") == F.col("_section"), "left_anti")
-    return exact.drop("_section").unionByName(rest.join(a, key == F.col("_section")).drop("_section"))
+    exact = found.join(near, F.col("section") == F.col("_section"), "left").drop("_section")
+    both = exact.join(near.toDF("_upper", "_other"), key == F.col("_upper"), "left")
+    return both.withColumn("_n", F.explode(F.coalesce("_near", "_other"))).select("*", "_n.pos", "_n.neighbour").drop("_upper", "_near", "_other", "_n")
 
 
 def adjacent(sections: DataFrame, adjacency: DataFrame) -> DataFrame:
@@ -153,37 +155,41 @@ def section_candidates(nodes: DataFrame, spans: DataFrame, adjacency: DataFrame)
 
 def party_candidates(nodes: DataFrame) -> DataFrame:
     """Each party's type swapped along every axis that it lies on."""
-    out = None
-    for place, role in enumerate(("petitioner", "respondent")):
-        now = F.col(f"sheet.parties.{role}_type")
-        targets = F.array(*[F.when(now == a, F.lit(b)).when(now == b, F.lit(a)) for a, b in p.PARTY_AXES])
-        rows = nodes.where(now.isNotNull() & (now != "Unknown")).select(*KEYS, "sheet", F.posexplode(targets).alias("variant_pos", "target")).where("target IS NOT NULL")
-        old, new = F.concat(F.lit(f"{role}="), now), F.concat(F.lit(f"{role}="), F.col("target"))
-        what = F.concat(F.lit(f"{role.capitalize()} type changed from "), now, F.lit(" to "), F.col("target"))
-        changed = F.col("sheet").withField(f"parties.{role}_type", F.col("target"))
-        part = rows.select(*KEYS, F.lit(2).alias("source_pos"), F.lit(place).alias("item_pos"), "variant_pos", edge("PartyType", old, new, what).alias("edge"), changed.alias("sheet"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    roles = ("petitioner", "respondent")
+    now = {role: F.col(f"sheet.parties.{role}_type") for role in roles}
+    one = lambda place, at, role, target: F.struct(
+        F.lit(place).alias("item_pos"), F.lit(at).alias("variant_pos"), F.lit(role).alias("role"), now[role].alias("now"), target.alias("target")
+    )
+    swaps = [
+        one(place, at, role, F.when(now[role] == a, F.lit(b)).when(now[role] == b, F.lit(a)))
+        for place, role in enumerate(roles)
+        for at, (a, b) in enumerate(p.PARTY_AXES)
+    ]
+    rows = nodes.select(*KEYS, "sheet", F.explode(F.filter(F.array(*swaps), lambda x: (x["now"] != "Unknown") & x["target"].isNotNull())).alias("x")).select(*KEYS, "sheet", "x.*")
+    of = lambda who: F.concat(F.col("role"), F.lit("="), who)
+    what = F.concat(F.initcap("role"), F.lit(" type changed from "), F.col("now"), F.lit(" to "), F.col("target"))
+    new = {role: F.when(F.col("role") == role, F.col("target")).otherwise(F.col(f"sheet.parties.{role}_type")) for role in roles}
+    changed = F.col("sheet").withField("parties.petitioner_type", new["petitioner"]).withField("parties.respondent_type", new["respondent"])
+    e = edge("PartyType", of(F.col("now")), of(F.col("target")), what)
+    return rows.select(*KEYS, F.lit(2).alias("source_pos"), "item_pos", "variant_pos", e.alias("edge"), changed.alias("sheet"))
 
 
 def evidence_candidates(nodes: DataFrame) -> DataFrame:
     """Each piece of evidence removed, then each common kind that is absent added."""
     items = F.coalesce("sheet.evidence_items", F.array().cast(EVIDENCE))
-    rows = nodes.select(*KEYS, "sheet", items.alias("items"))
-    gone = rows.select(*KEYS, "sheet", "items", F.posexplode("items").alias("variant_pos", "e"))
+    one = lambda place, at, kind, about: F.struct(F.lit(place).alias("item_pos"), at.alias("variant_pos"), kind.alias("kind"), about.alias("about"))
+    gone = F.transform(items, lambda x, i: one(0, i, x["evidence_type"], F.substring(F.coalesce(x["description"], F.lit("")), 1, 60)))
+    missing = F.array_except(F.array(*[F.lit(x) for x in p.COMMON_EVIDENCE]), F.transform(items, lambda x: x["evidence_type"]))
+    new = F.transform(missing, lambda kind, i: one(1, i, kind, F.lit("")))
+    rows = nodes.select(*KEYS, "sheet", items.alias("items"), F.explode(F.concat(gone, new)).alias("x")).select(*KEYS, "sheet", "items", "x.*")
+    removes, kind = F.col("item_pos") == 0, F.col("kind")
+    said = lambda gone, new: F.concat(F.when(removes, gone).otherwise(new), kind)
+    what = F.concat(said("Evidence removed: ", "Evidence added: "), F.when(removes, F.concat(F.lit(" ("), F.col("about"), F.lit(")"))).otherwise(""))
+    e = edge("Evidence", said("present:", "absent:"), said("removed:", "added:"), what)
+    item = F.struct(kind.alias("evidence_type"), F.concat(F.lit("Hypothetical "), kind, F.lit(" added for perturbation analysis")).alias("description"))
     left = F.filter("items", lambda x, i: i != F.col("variant_pos"))
-    kind = F.col("e.evidence_type")
-    what = F.concat(F.lit("Evidence removed: "), kind, F.lit(" ("), F.substring(F.coalesce("e.description", F.lit("")), 1, 60), F.lit(")"))
-    e = edge("Evidence", F.concat(F.lit("present:"), kind), F.concat(F.lit("removed:"), kind), what)
-    removed = gone.select(*KEYS, F.lit(3).alias("source_pos"), F.lit(0).alias("item_pos"), "variant_pos", e.alias("edge"), F.col("sheet").withField("evidence_items", left).alias("sheet"))
-    missing = F.array_except(F.array(*[F.lit(x) for x in p.COMMON_EVIDENCE]), F.transform("items", lambda x: x["evidence_type"]))
-    new = rows.select(*KEYS, "sheet", "items", F.posexplode(missing).alias("variant_pos", "kind"))
-    item = F.struct(F.col("kind").alias("evidence_type"), F.concat(F.lit("Hypothetical "), F.col("kind"), F.lit(" added for perturbation analysis")).alias("description"))
-    e = edge("Evidence", F.concat(F.lit("absent:"), F.col("kind")), F.concat(F.lit("added:"), F.col("kind")), F.concat(F.lit("Evidence added: "), F.col("kind")))
-    added = new.select(
-        *KEYS, F.lit(3).alias("source_pos"), F.lit(1).alias("item_pos"), "variant_pos", e.alias("edge"), F.col("sheet").withField("evidence_items", F.concat("items", F.array(item))).alias("sheet")
-    )
-    return removed.unionByName(added)
+    changed = F.col("sheet").withField("evidence_items", F.when(removes, left).otherwise(F.concat("items", F.array(item))))
+    return rows.select(*KEYS, F.lit(3).alias("source_pos"), "item_pos", "variant_pos", e.alias("edge"), changed.alias("sheet"))
 
 
 def spans_of(nodes: DataFrame) -> DataFrame:
@@ -195,9 +201,8 @@ def spans_of(nodes: DataFrame) -> DataFrame:
 
 def candidates(nodes: DataFrame, adjacency: DataFrame) -> DataFrame:
     """All variants of all nodes (tree_id, node_id, sheet), with ``cand_pos`` from 1 in their order."""
-    spans = cut(spans_of(nodes))  # read by four generators, found once
-    out = _numeric(spans, "MONETARY_AMOUNT", amount_targets, "amounts", _amount)
-    out = out.unionByName(_numeric(spans, "AGE", age_targets, "ages", _age)).unionByName(_numeric(spans, "DURATION", duration_targets, "durations", _duration))
+    spans = cut(spans_of(nodes))  # read twice, found once
+    out = _numeric(spans)
     out = out.unionByName(section_candidates(nodes, spans, adjacency)).unionByName(party_candidates(nodes)).unionByName(evidence_candidates(nodes))
     order = Window.partitionBy(*KEYS).orderBy(*ORDER)
     return out.withColumn("edge", F.col("edge").cast(EDGE)).withColumn("sheet", F.col("sheet").cast(SHEET)).withColumn("cand_pos", F.row_number().over(order))
