@@ -27,6 +27,10 @@ def test_the_rest_works_without_the_training_text_operators(tmp_path):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert out.returncode == 0, out.stderr
     assert int(out.stdout.split()[0]) >= 110
+    if SMALL.exists():  # and one of them runs there
+        run = f"from plumbline.session import local_session as s; import __spark_entry__ as e; print('rows', e.queries()['rel1_pricing_summary'](s(2, '1g', 2), '{SMALL}').count())"
+        out = subprocess.run([sys.executable, "-c", run], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+        assert out.returncode == 0 and int(out.stdout.split("rows ")[1]) > 0, out.stderr
 
 
 @pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables are not here")
