@@ -54,7 +54,7 @@ def provisions(text: Column) -> Column:
 
 def judges(text: Column) -> Column:
     """Names of judges in the first 3000 characters, in order, distinct, longer than two letters."""
-    names = F.transform(all_groups(F.substring(text, 1, 3000), p.JUDGE, 1), lambda n: F.regexp_replace(F.regexp_replace(n, r"^\s+|\s+$", ""), r"\.+$", ""))
+    names = F.transform(all_groups(F.substring(text, 1, 3000), p.JUDGE, 1), lambda n: F.regexp_replace(F.regexp_replace(n, r"^[\t\n\f\r ]+|[\t\n\f\r ]+\z", ""), r"\.+\z", ""))
     return F.array_distinct(F.filter(names, lambda n: F.length(n) > 2))
 
 

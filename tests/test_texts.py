@@ -3,9 +3,11 @@ import re
 import time
 
 import pytest
+from oracle import rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
 from plumbline.operators import chunking, explain, extract, facts, text
+from plumbline.plans import corpus
 
 CASE = """IN THE SUPREME COURT OF INDIA
 Criminal Appeal No. 12-13 / 2019
@@ -325,3 +327,10 @@ def test_nested_trees_of_any_depth(spark):
     back = explain.nodes_of_json(got, "node_id long, what string")
     assert sorted((r["tree_id"], r["node_id"], r["parent_id"], r["depth"], r["what"]) for r in back.collect()) == sorted(rows)
     assert explain.nested_json(nodes.limit(0), ["node_id"]).count() == 0
+
+
+def test_judges_end_where_the_sql_ends_them(spark, tmp_path):
+    texts = ["Justice A\nFoo bar, Justice Rao\x0b, ", "Justice Ann andé, J. Lee ", "Juſtice Rao and x", "J. Kim, x", "a b justice and", "Justice A and B, J. Lee"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert rows_of(corpus.ext4_judges(spark, str(tmp_path))) == rows_of_sql(corpus.ORACLES["ext4_judges"], tmp_path)
