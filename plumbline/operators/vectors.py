@@ -1,7 +1,7 @@
 """Exact vector search: a stated query set against all vectors, in blocks.
 
-The query vectors are a small matrix that every task gets; each Arrow batch of vectors is one matrix product, of which
-only the best ``k`` per query leave the task. The shuffle then carries ``tasks * queries * k`` short rows at most,
+The query vectors are a small matrix that every task gets; each Arrow batch of vectors is a few matrix products, of which
+a task keeps the best ``k`` per query over all its batches; only these leave it. The shuffle then carries ``tasks * queries * k`` short rows at most,
 whatever the number of vectors, and a window per query picks the final ranking.
 """
 
@@ -22,6 +22,8 @@ from plumbline.session import cut, python_ready
 QUERY_BLOCK, BLOCKS = 2048, 16
 #: Decimals that scores are compared in, so that equal vectors tie whatever block they fall into.
 DECIMALS = 9
+#: Rows that are multiplied with a matrix of queries at once, and rows that a task keeps at most before it lets them go.
+SLICE, HELD = 1024, 4_000_000
 
 
 def matrix(column: pa.Array, dims: tuple[int, int] | None, width: int | None = None) -> np.ndarray:
@@ -56,21 +58,42 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _search(blocks: list[tuple[list, np.ndarray]], k: int, cosine: bool, dims: tuple[int, int] | None, width: int):
+    """A task's rows to the best ``k`` of each query among them; only rows that reach a query's last kept score are looked at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.zeros(0)] * 2
+        held = [[none] * len(names) for names, _ in blocks]
+        least = [np.full(len(names), -np.inf) for names, _ in blocks]
+
+        def leave(b: int) -> pa.RecordBatch:
+            names, found = blocks[b][0], held[b]
+            which = np.repeat(np.arange(len(names)), [len(x[0]) for x in found])
+            some = [x for x in found if len(x[0])]
+            columns = [pa.array([names[i] for i in which]), pa.array(np.concatenate([x[1] for x in some])), pa.array(np.concatenate([x[0] for x in some]))]
+            held[b] = [none] * len(names)
+            least[b][:] = -np.inf
+            return pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+
         for batch in batches:
             rows = matrix(batch.column(1), dims, width)
-            if not len(rows):
-                continue
             rows = normalised(rows) if cosine else rows
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for names, queries in blocks:
-                scores = np.round(queries @ rows.T, DECIMALS) + 0.0
-                found = [best(s, ids, k) for s in scores]
-                sizes = [len(at) for at in found]
-                flat = np.concatenate(found)
-                which = np.repeat(np.arange(len(names)), sizes)
-                columns = [pa.array([names[i] for i in which]), pa.array(ids[flat]), pa.array(scores[which, flat])]
-                yield pa.RecordBatch.from_arrays(columns, ["query_id", "id", "score"])
+            for b, (_, queries) in enumerate(blocks):
+                for first in range(0, len(rows), SLICE):
+                    own = ids[first : first + SLICE]
+                    scores = queries @ rows[first : first + SLICE].T
+                    np.round(scores, DECIMALS, out=scores)
+                    scores += 0.0
+                    for i in np.flatnonzero(scores.max(axis=1) >= least[b]):
+                        new = np.flatnonzero(scores[i] >= least[b][i])
+                        kept = held[b][i]
+                        both = [scores[i, new], own[new]] if not len(kept[0]) else [np.concatenate([kept[0], scores[i, new]]), np.concatenate([kept[1], own[new]])]
+                        at = best(*both, k)
+                        held[b][i] = [x[at] for x in both]
+                        least[b][i] = both[0][at[-1]] if len(at) == k else -np.inf
+            if sum(len(x[0]) for part in held for x in part) > HELD:
+                yield from (leave(b) for b in range(len(blocks)) if any(len(x[0]) for x in held[b]))
+        yield from (leave(b) for b in range(len(blocks)) if any(len(x[0]) for x in held[b]))
 
     return run
 

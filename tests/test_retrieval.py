@@ -1,10 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from oracle import SMALL, rows_of, rows_of_sql
 from pyspark.sql import functions as F
 
 from plumbline.operators import diff, evaluate, ranking, vectors
+from plumbline.plans import retrieval
 
 
 def rows(df):
@@ -262,3 +265,29 @@ def test_modes_share_their_lists(spark):
         own = ranking.retrieve(first, second, df, mode=mode)
         assert own.columns == ["query_id", "id", "score", "rank"]
         assert sorted(map(tuple, own.collect())) == sorted(map(tuple, got.where(F.col("mode") == mode).drop("mode").collect()))
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="the driver's tables are not here")
+def test_metrics_by_labels_make_no_pairs(spark, monkeypatch):
+    """Every query with every case of its label would be the square of a label's vectors."""
+    want = rows_of_sql(retrieval.ORACLES["evl4_query_metrics"])
+
+    def refuse(*_):
+        raise AssertionError("pairs of queries and relevant cases")
+
+    monkeypatch.setattr(evaluate, "relevance_of", refuse)
+    assert rows_of(retrieval.evl4_query_metrics(spark, str(SMALL))) == want
+
+
+def test_a_task_lets_only_its_best_rows_go(monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, asked = np.round(rng.normal(size=(3000, 4)), 1), rng.normal(size=(7, 4))
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 100)), pa.array(list(rows[a : a + 100]))], ["id", "vector"]) for a in range(0, 3000, 100)]
+    blocks = [(list(range(4)), asked[:4]), ([4, 5, 6], asked[4:])]
+    scores = np.round(asked @ rows.T, vectors.DECIMALS)
+    want = {(q, int(i)) for q in range(7) for i in np.lexsort((np.arange(3000), -scores[q]))[:5]}
+    found = [x for out in vectors._search(blocks, 5, False, None, 4)(iter(batches)) for x in out.to_pylist()]
+    assert len(found) == 35 and {(x["query_id"], x["id"]) for x in found} == want
+    monkeypatch.setattr(vectors, "HELD", 20)  # lets go early, and still all of the best
+    monkeypatch.setattr(vectors, "SLICE", 64)
+    assert want <= {(x["query_id"], x["id"]) for out in vectors._search(blocks, 5, False, None, 4)(iter(batches)) for x in out.to_pylist()}
