@@ -28,8 +28,16 @@ def ranking_metrics(ranked: DataFrame, relevant: DataFrame, keys: tuple[str, ...
     ``ranked`` has one row per case and list (see ``ranking.distinct_first``) with the rank in ``rank``.
     """
     totals = relevant.groupBy("query_id").agg(F.countDistinct("case_id").alias("n_relevant"))
+    return metrics_of_hits(relevance_of(ranked, relevant), totals, keys, k, recalls)
+
+
+def metrics_of_hits(marked: DataFrame, totals: DataFrame, keys: tuple[str, ...] = ("query_id", "mode"), k: int = 10, recalls: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
+    """The same of ranked rows that know their ``hit`` (boolean), and ``totals`` (query_id, n_relevant).
+
+    For relevance that follows from columns of both sides, so that pairs of queries and relevant cases need not be written out.
+    """
     hit = F.col("hit")
-    sums = relevance_of(ranked, relevant).groupBy(*keys).agg(
+    sums = marked.groupBy(*keys).agg(
         F.coalesce(1.0 / F.min(F.when(hit & (F.col("rank") <= k), F.col("rank"))), F.lit(0.0)).alias(f"mrr_{k}"),
         F.coalesce(F.sum(F.when(hit & (F.col("rank") <= k), 1.0 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("_gain"),
         *[F.sum((hit & (F.col("rank") <= r)).cast("int")).alias(f"_found_{r}") for r in recalls],
