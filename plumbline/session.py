@@ -35,13 +35,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def by_key(df: DataFrame, *keys: str) -> DataFrame:
+def by_key(df: DataFrame, *keys: str, rows: int = 0, per_task: int = 100_000) -> DataFrame:
     """``df`` shuffled by ``keys`` into as many partitions as shuffles have, which adaptive execution does not join.
 
+    With the number of its ``rows`` in more partitions where tasks would get more than ``per_task`` each.
+
     For rows that cost far more time than their bytes tell; joins and windows on these keys need no further shuffle.
     """
     spark = df.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-rows // per_task))
     return df.repartition(n, *keys)
 
 

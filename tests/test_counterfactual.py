@@ -202,3 +202,25 @@ def test_every_sheet_has_a_tree_of_full_depth_and_width(spark, tmp_path):
             key = (r["tree_id"], r["parent_id"])
             children[key] = children.get(key, 0) + 1
     assert max(children.values()) == 5 and all(children[(t, 0)] == 5 for t in range(1, 13))
+
+
+def test_variants_are_ordered_in_a_row_without_a_shuffle(spark, adjacency):
+    found = perturb.candidates(spark.range(8).repartition(4).select(F.col("id").alias("tree_id"), F.lit(0).alias("node_id"), F.lit(None).cast(facts.SHEET).alias("sheet")), adjacency)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_partitions_of_trees_grow_with_their_rows(spark):
+    from plumbline.session import by_key
+
+    assert by_key(spark.range(1000), "id", rows=1000, per_task=20).rdd.getNumPartitions() == 50
+
+
+def test_first_changes_are_those_of_all(spark, adjacency):
+    rows = nodes(spark, sheet())
+    every = [r["edge"] for r in perturb.candidates(rows, adjacency).orderBy("cand_pos").collect()]
+    for n in (1, 3, len(every) - 1, len(every) + 5):
+        some = perturb.made_of(perturb.first_candidates(rows, adjacency, n), F.col("_changes")).orderBy("cand_pos").collect()
+        assert [r["edge"] for r in some] == every[:n]
+    judged = perturb.made_of(perturb.first_candidates(rows, adjacency, 2, lambda c: F.when(c.startswith("Evidence"), "{}").otherwise('{"plausible": false}')), F.col("_changes")).orderBy("cand_pos").collect()
+    assert [r["edge"] for r in judged] == [e for e in every if e["fact_type"] == "Evidence"][:2]
