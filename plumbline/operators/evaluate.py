@@ -123,8 +123,12 @@ def dispositive_accuracy(scores: DataFrame, expected: DataFrame, threshold: floa
 
     ``expected``: case_id, fact, dispositive (boolean); ``scores``: case_id, fact, score (missing counts as 0).
     """
-    both = expected.join(scores, ["case_id", "fact"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    high = F.col("score") > threshold
+    return accuracy_of_scored(expected.join(scores, ["case_id", "fact"], "left"), threshold)
+
+
+def accuracy_of_scored(both: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """The same of rows (case_id, dispositive, score) that have both already; a score that is null counts as 0."""
+    high = F.coalesce("score", F.lit(0.0)) > threshold
     sums = both.groupBy("case_id").agg(
         F.count_if("dispositive").alias("n_dispositive"),
         F.count_if(F.col("dispositive") & high).alias("dispositive_correct"),

@@ -291,3 +291,10 @@ def test_a_task_lets_only_its_best_rows_go(monkeypatch):
     monkeypatch.setattr(vectors, "HELD", 20)  # lets go early, and still all of the best
     monkeypatch.setattr(vectors, "SLICE", 64)
     assert want <= {(x["query_id"], x["id"]) for out in vectors._search(blocks, 5, False, None, 4)(iter(batches)) for x in out.to_pylist()}
+
+
+def test_accuracies_of_facts_need_one_shuffle(spark):
+    from plumbline.plans import records
+
+    plan = records.evl8_dispositive(spark, str(SMALL))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
