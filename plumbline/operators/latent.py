@@ -140,18 +140,31 @@ def fit(
     docs: DataFrame, id_col: str, text_col: str = "text", rank: int = 64, oversample: int = 10, power_iterations: int = 2, features: int = 65_536, least: int = 2, seed: int = 0
 ) -> Encoder:
     """An encoder of ``rank`` dimensions from all rows of ``docs``."""
+    encoder, rows = _fitted(docs, id_col, text_col, rank, oversample, power_iterations, features, least, seed)
+    if rows is not None:
+        release(rows)
+    return encoder
+
+
+def fit_and_encode(docs: DataFrame, id_col: str, text_col: str = "text", rank: int = 64, oversample: int = 10, power_iterations: int = 2, features: int = 65_536, least: int = 2, seed: int = 0) -> DataFrame:
+    """:func:`encode` of the rows that the encoder is fitted to, from the sparse rows staged for it: texts are not read into terms again."""
+    encoder, rows = _fitted(docs, id_col, text_col, rank, oversample, power_iterations, features, least, seed)
+    return encode(docs, encoder, id_col, text_col) if rows is None else _vectors(rows, encoder)
+
+
+def _fitted(docs: DataFrame, id_col: str, text_col: str, rank: int, oversample: int, power_iterations: int, features: int, least: int, seed: int) -> tuple[Encoder, DataFrame | None]:
+    """The encoder and the staged sparse rows that it comes from (None without terms)."""
     python_ready(docs.sparkSession)
     kept = vocabulary(docs, id_col, text_col, features, least).toArrow()
     words, weights = kept.column("term").to_pylist(), kept.column("idf").to_numpy()
     width = min(rank + oversample, len(words))
     if not width:
-        return Encoder([], np.zeros(0), np.zeros((0, rank)), np.zeros(rank))
+        return Encoder([], np.zeros(0), np.zeros((0, rank)), np.zeros(rank)), None
     rows = staged(tfidf(docs, words, weights, id_col, text_col))
     basis = np.random.default_rng(seed).normal(size=(len(words), width))
     for _ in range(1 + power_iterations):
         basis, _ = np.linalg.qr(_summed(rows, basis, False))
     squares, turn = np.linalg.eigh(_summed(rows, basis, True))
-    release(rows)
     order = np.argsort(-squares)[:rank]
     values = np.sqrt(np.maximum(squares[order], 0))
     vectors = basis @ turn[:, order]
@@ -159,19 +172,23 @@ def fit(
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(order))] < 0, -1.0, 1.0)
     vectors[:, values <= 1e-9 * values[0]] = 0
     pad = rank - len(order)
-    return Encoder(words, weights, np.pad(vectors, ((0, 0), (0, pad))), np.pad(values, (0, pad)))
+    return Encoder(words, weights, np.pad(vectors, ((0, 0), (0, pad))), np.pad(values, (0, pad))), rows
 
 
 def encode(docs: DataFrame, encoder: Encoder, id_col: str, text_col: str = "text") -> DataFrame:
     """id and vector (array<double>) of every row: question and passage alike."""
-    kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    rank = encoder.vectors.shape[1]
+    return _vectors(tfidf(docs, encoder.vocabulary, encoder.idf, id_col, text_col), encoder)
+
+
+def _vectors(sparse: DataFrame, encoder: Encoder) -> DataFrame:
+    """id and vector of sparse rows (id, places, weights)."""
+    kind = sparse.schema["id"].dataType.simpleString()
+    right, rank = encoder.vectors, encoder.vectors.shape[1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [_times(*part, encoder.vectors) for part in _parts(batch)]
+            parts = [_times(*part, right) for part in _parts(batch)]
             flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.FixedSizeListArray.from_arrays(pa.array(flat), rank).cast(pa.list_(pa.float64()))], ["id", "vector"])
 
-    sparse = tfidf(docs, encoder.vocabulary, encoder.idf, id_col, text_col)
     return sparse.mapInArrow(run, f"id {kind}, vector array<double>")

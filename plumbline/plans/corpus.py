@@ -240,8 +240,7 @@ def vec6_tfidf_weights(spark, sf_dir):
 
 def vec6_latent_vectors(spark, sf_dir):
     """Latent vectors of all documents."""
-    docs = documents(spark, sf_dir)
-    return latent.encode(docs, latent.fit(docs, "doc_id"), "doc_id").withColumnRenamed("id", "doc_id")
+    return latent.fit_and_encode(documents(spark, sf_dir), "doc_id").withColumnRenamed("id", "doc_id")
 
 
 def exp3_top_terms(spark, sf_dir):

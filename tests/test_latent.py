@@ -87,3 +87,13 @@ def test_few_terms_and_empty_tables(spark):
     got = {r["id"]: r["vector"] for r in latent.encode(one, low, "doc_id").collect()}
     assert np.allclose(np.abs(got[1]), [1, 0, 0, 0]) and got[1] == got[2] and got[3] == [0.0] * 4
     assert latent.encode(spark.createDataFrame([], schema), low, "doc_id").count() == 0
+
+
+def test_fitted_rows_are_not_read_into_terms_again(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"alpha w{i % 3}x beta w{i % 5}y gamma") for i in range(30)], "doc_id long, text string")
+    want = sorted(map(tuple, latent.encode(docs, latent.fit(docs, "doc_id", rank=4), "doc_id").collect()))
+    calls, own = [], latent.tfidf
+    monkeypatch.setattr(latent, "tfidf", lambda *a, **b: calls.append(1) or own(*a, **b))
+    got = sorted(map(tuple, latent.fit_and_encode(docs, "doc_id", rank=4).collect()))
+    assert len(calls) == 1 and [x[0] for x in got] == [x[0] for x in want]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(got, want) for a, b in zip(x[1], y[1]))
