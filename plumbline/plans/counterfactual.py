@@ -118,9 +118,9 @@ def val4_stats(spark, sf_dir):
 
 def lists_by_hash(nodes: DataFrame) -> DataFrame:
     """A stand-in search: twelve cases by the hash of the node's query sentence."""
-    h = F.xxhash64(facts.query_sentence(F.col("sheet")))
-    return nodes.select("tree_id", "node_id", F.posexplode(F.sequence(F.lit(1), F.lit(12))).alias("p", "rank"), h.alias("h")).select(
-        "tree_id", "node_id", "rank", (F.col("rank") + F.pmod("h", F.lit(4))).cast("string").alias("case_id")
+    first = nodes.select("tree_id", "node_id", F.pmod(F.xxhash64(facts.query_sentence(F.col("sheet"))), F.lit(4)).alias("h"))  # once per node, not per case
+    return first.select("tree_id", "node_id", "h", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("rank")).select(
+        "tree_id", "node_id", "rank", (F.col("rank") + F.col("h")).cast("string").alias("case_id")
     )
 
 

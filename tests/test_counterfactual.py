@@ -228,6 +228,26 @@ def test_levels_are_numbered_in_tasks_of_bounded_rows(spark, adjacency):
     assert sorted(r["node_id"] for r in grown.where("tree_id = 1").collect()) == list(range(7))
 
 
+def test_staged_levels_and_lists_are_never_broadcast(spark, adjacency):
+    """Their files are far smaller than their rows; only the one row of adjacent provisions goes to all tasks."""
+    from plumbline.plans.counterfactual import lists_by_hash
+
+    grown, _ = tree.expand(nodes(spark, sheet(), sheet(cited=())).select("tree_id", "sheet"), adjacency, lists_by_hash, max_depth=2, max_children=2)
+    plan = grown._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("BroadcastExchange") == 1
+
+
+def test_the_search_of_the_query_reads_a_sheet_once(spark):
+    """Not once for each of its twelve cases."""
+    from plumbline.plans.counterfactual import lists_by_hash
+
+    found = lists_by_hash(tree.roots(nodes(spark, sheet()).select("tree_id", "sheet")))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("xxhash64")
+    assert [(r["rank"], int(r["case_id"]) - r["rank"]) for r in found.orderBy("rank").collect()] == [(i, int(found.first()["case_id"]) - 1) for i in range(1, 13)]
+
+
 def test_first_changes_are_those_of_all(spark, adjacency):
     rows = nodes(spark, sheet())
     every = [r["edge"] for r in perturb.candidates(rows, adjacency).orderBy("cand_pos").collect()]
