@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.extract import terms
 from plumbline.operators.facts import AGES, AMOUNTS, EVIDENCE, number_text
-from plumbline.session import cut
+from plumbline.session import cut, python_ready, staged
 
 
 def document_frequency(docs: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
@@ -131,8 +137,8 @@ def nested_json(nodes: DataFrame, columns: list[str], children: str = "children"
                 F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "json"))), lambda x: x["json"]), ",").alias("inner")
             )
             level = level.join(folded, ["tree_id", "node_id"], "left")
-        json = F.concat("head", F.when(F.col("head") == "{", "").otherwise(","), F.lit(f'"{children}":['), F.coalesce("inner", F.lit("")), F.lit("]}"))
-        below = cut(level.select("tree_id", "node_id", "parent_id", json.alias("json")))
+        whole = F.concat("head", F.when(F.col("head") == "{", "").otherwise(","), F.lit(f'"{children}":['), F.coalesce("inner", F.lit("")), F.lit("]}"))
+        below = cut(level.select("tree_id", "node_id", "parent_id", whole.alias("json")))
     return below.select("tree_id", "json")
 
 
@@ -154,6 +160,176 @@ def nodes_of_json(trees: DataFrame, columns: str, children: str = "children") ->
             return out
 
 
+def _known(small: DataFrame) -> DataFrame:
+    """A staged side of a join: broadcast up to 10,000 rows, else never; the size of its files tells little about its rows."""
+    return F.broadcast(small) if small.count() <= 10_000 else small.hint("merge")
+
+
+def _packed(limit: int):
+    """Joins texts (tree_id, root, text) that come in order into parts that end once they have ``limit`` characters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, held, size, kinds = None, [], 0, None
+
+        def part() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([of[0]], kinds[0]), pa.array([of[1]], kinds[1]), pa.array(["".join(held)], pa.string())], ["tree_id", "root", "json"])
+
+        for batch in batches:
+            kinds = [batch.column(i).type for i in (0, 1)]
+            for tree, root, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2)]):
+                if held and (size >= limit or of != (tree, root)):
+                    yield part()
+                    held, size = [], 0
+                of = (tree, root)
+                held.append(text)
+                size += len(text)
+        if held:
+            yield part()
+
+    return run
+
+
+def nested_parts(nodes: DataFrame, columns: list[str], children: str = "children", limit: int = 1 << 18) -> DataFrame:
+    """The documents of :func:`nested_json` in parts, for trees too large for one string: tree_id, root, part, json.
+
+    The parts of a root (``root`` is a number of its own), put together in the order of ``part``, are its document. A part
+    begins and ends between objects and has ``limit`` characters and at most one object's own more. Every object's text is
+    made in its row: what it opens, and after a leaf the brackets of all that end with it. Places come down from the root
+    by a join per level, and one range sort puts the texts in order, so no row, task or group holds a whole tree.
+    """
+    spark = nodes.sparkSession
+    own = F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns]))
+    rows = staged(nodes.select("tree_id", "node_id", "parent_id", "depth", F.substring(own, F.lit(1), F.length(own) - 1).alias("head"), F.monotonically_increasing_id().alias("_row")))
+    me, level, texts = F.struct("node_id", "_row"), None, []
+    deepest = rows.agg(F.max("depth")).first()[0] or 0
+    for depth in range(deepest + 1):
+        at = rows.where(F.col("depth") == depth)
+        if level is None:
+            at = at.select("tree_id", "node_id", "head", F.array(me).alias("path"), F.lit(True).alias("is_first"), F.lit(0).alias("ends"))
+        else:
+            above = _known(level.where("first IS NOT NULL").select("tree_id", F.col("node_id").alias("parent_id"), F.col("path").alias("_path"), "first", "last", F.col("ends").alias("_ends")))
+            ends = F.when(me == F.col("last"), F.col("_ends") + 1).otherwise(0)
+            at = at.join(above, ["tree_id", "parent_id"]).select("tree_id", "node_id", "head", F.concat("_path", F.array(me)).alias("path"), (me == F.col("first")).alias("is_first"), ends.alias("ends"))
+        if depth < deepest:
+            family = rows.where(F.col("depth") == depth + 1).groupBy("tree_id", F.col("parent_id").alias("node_id")).agg(F.min(me).alias("first"), F.max(me).alias("last"))
+            level = staged(at.join(family.hint("merge"), ["tree_id", "node_id"], "left"))
+        else:
+            level = staged(at.withColumn("first", F.when(F.lit(False), F.element_at("path", 1))))
+        opened = F.concat(F.when(F.col("is_first"), "").otherwise(","), "head", F.when(F.col("head") == "{", "").otherwise(","), F.lit(f'"{children}":['))
+        closed = F.when(F.col("first").isNull(), F.repeat(F.lit("]}"), F.col("ends") + 1)).otherwise("")
+        texts.append(level.select("tree_id", "path", F.concat(opened, closed).alias("text")))
+    every = reduce(DataFrame.unionByName, texts)
+    n = max(spark.sparkContext.defaultParallelism, -(-every.count() // 250_000))
+    ordered = every.repartitionByRange(n, "tree_id", "path").sortWithinPartitions("tree_id", "path")
+    python_ready(spark, 4096)
+    kind = nodes.schema["tree_id"].dataType.simpleString()
+    packed = ordered.select("tree_id", F.col("path")[0]["_row"].alias("root"), "text").mapInArrow(_packed(limit), f"tree_id {kind}, root long, json string")
+    return staged(packed.select("tree_id", "root", F.monotonically_increasing_id().alias("part"), "json"))
+
+
+def objects_in(text: str, children: str, key: str = "node_id") -> tuple[list[tuple], list[tuple], int]:
+    """A part's objects (depth, parent's id, own text without children), those still open at its end (depth, id), and its
+    change of depth. Depths count from the part's start; ids are as written; a parent from an earlier part is None."""
+    scan, found, open_, depth, at = json.JSONDecoder().scan_once, [], [], 0, 0
+    while at < len(text):
+        if text[at] == "{":
+            here, end, own = at + 1, at + 1, None
+            while True:
+                name, here = scan(text, here)
+                if name == children:
+                    break
+                begin = here + 1
+                _, end = scan(text, begin)
+                own = text[begin:end] if name == key else own
+                here = end + 1
+            found.append((depth, open_[-1][1] if open_ else None, text[at:end] + "}"))
+            open_.append((depth, own))
+            depth, at = depth + 1, here + 2
+        elif text[at] == "]":
+            depth, at = depth - 1, at + 2
+            if open_:
+                open_.pop()
+        else:
+            at += 1
+    return found, open_, depth
+
+
+def _objects(text: Column, children: str) -> Column:
+    """:func:`objects_in` of a column."""
+
+    @F.arrow_udf("struct<objects:array<struct<depth:int,parent:string,head:string>>,open:array<struct<depth:int,id:string>>,net:int>")
+    def read(texts: pa.Array) -> pa.Array:
+        got = [objects_in(t, children) for t in texts.to_pylist()]
+
+        def lists(i: int, kinds: dict) -> pa.Array:
+            sizes = [0]
+            for g in got:
+                sizes.append(sizes[-1] + len(g[i]))
+            columns = [pa.array([x[k] for g in got for x in g[i]], kind) for k, kind in enumerate(kinds.values())]
+            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.StructArray.from_arrays(columns, list(kinds)))
+
+        found = lists(0, {"depth": pa.int32(), "parent": pa.string(), "head": pa.string()})
+        still = lists(1, {"depth": pa.int32(), "id": pa.string()})
+        return pa.StructArray.from_arrays([found, still, pa.array([g[2] for g in got], pa.int32())], ["objects", "open", "net"])
+
+    return read(text)
+
+
+def nodes_of_parts(parts: DataFrame, columns: str, children: str = "children") -> DataFrame:
+    """The inverse of :func:`nested_parts`: tree_id, parent_id, depth and ``columns`` (a schema with node_id) of every object.
+
+    Every part is read by itself. Which objects are open where it begins follows from the few that each part leaves open.
+    """
+    python_ready(parts.sparkSession)
+    read = staged(parts.select("tree_id", "root", "part", _objects(F.col("json"), children).alias("_r")).select("tree_id", "root", "part", "_r.*"))
+    keys = ["tree_id", "root", "part"]
+    before = Window.partitionBy("tree_id", "root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = staged(read.select(*keys, "open", F.coalesce(F.sum("net").over(before), F.lit(0)).cast("int").alias("start")))
+    left = starts.select(*keys, F.lit(1).alias("_later"), "start", F.explode("open").alias("_o")).select(*keys, "_later", (F.col("start") + F.col("_o.depth")).alias("depth"), "_o.id")
+    asked = starts.where("start > 0").select(*keys, F.lit(0).alias("_later"), F.explode(F.sequence(F.lit(0), F.col("start") - 1)).alias("depth"), F.lit(None).cast("string").alias("id"))
+    latest = F.last("id", ignorenulls=True).over(Window.partitionBy("tree_id", "root", "depth").orderBy("part", "_later").rowsBetween(Window.unboundedPreceding, -1))
+    known = left.unionByName(asked).withColumn("id", latest).where("_later = 0")
+    stacks = known.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("depth", "id"))), lambda x: x["id"]).alias("stack"))
+    stacks = staged(starts.select(*keys, "start").join(stacks.hint("merge"), keys, "left"))
+
+    def placed(o: Column) -> Column:
+        depth = F.col("start") + o["depth"]
+        outer = F.when(depth > 0, F.get(F.col("stack"), depth - 1))
+        return F.struct(depth.alias("depth"), F.coalesce(o["parent"], outer).alias("parent"), o["head"].alias("head"))
+
+    flat = read.select(*keys, "objects").join(_known(stacks), keys).select("tree_id", F.explode(F.transform("objects", placed)).alias("_o"))
+    parent = F.from_json(F.concat(F.lit('{"node_id":'), F.col("_o.parent"), F.lit("}")), columns)["node_id"].cast("long")
+    return flat.select("tree_id", parent.alias("parent_id"), F.col("_o.depth").alias("depth"), F.from_json("_o.head", columns).alias("own")).select("tree_id", "parent_id", "depth", "own.*")
+
+
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Length and MD5 of every document whose parts come one after the other."""
+    of, n, md5, kinds = None, 0, None, None
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([of[0]], kinds[0]), pa.array([n], pa.int64()), pa.array([md5.hexdigest()], pa.string())], ["tree_id", "n_chars", "digest"])
+
+    for batch in batches:
+        kinds = [batch.column(i).type for i in (0, 1)]
+        for tree, root, text in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2)]):
+            if of != (tree, root):
+                if of is not None:
+                    yield row()
+                of, n, md5 = (tree, root), 0, hashlib.md5()
+            n += len(text)
+            md5.update(text.encode())
+    if of is not None:
+        yield row()
+
+
+def parts_digest(parts: DataFrame) -> DataFrame:
+    """tree_id, n_chars and digest (MD5) of every document, which one task reads part by part, since MD5 goes in order."""
+    python_ready(parts.sparkSession)
+    kind = parts.schema["tree_id"].dataType.simpleString()
+    ordered = parts.repartition("tree_id", "root").sortWithinPartitions("tree_id", "root", "part")
+    return ordered.select("tree_id", "root", "json").mapInArrow(_digested, f"tree_id {kind}, n_chars long, digest string")
+
+
 def fact_section(sheet: Column) -> Column:
     """A fact sheet in Markdown; missing parts vanish, missing names are N/A."""
     text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])

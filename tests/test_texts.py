@@ -329,6 +329,55 @@ def test_nested_trees_of_any_depth(spark):
     assert explain.nested_json(nodes.limit(0), ["node_id"]).count() == 0
 
 
+def test_nested_trees_in_parts(spark):
+    """Parts of a few objects: together the same documents, and read back part by part; also with doubled and missing ids."""
+    import hashlib
+    import random
+
+    rnd = random.Random(6)
+    rows = []
+    for tree_id in (1, 2, 3):
+        depth = {0: 0}
+        rows.append((tree_id, 0, None, 0, "root"))
+        for node in range(1, 60):
+            parent = node - 1 if tree_id == 3 and node < 15 else rnd.randrange(node)
+            depth[node] = depth[parent] + 1
+            rows.append((tree_id, node, parent, depth[node], rnd.choice(['a "b" \\', "]},{", '{"children":[', "\u00e9\n", None, ""])))
+    rows += [(1, 59, 0, 1, "twice"), (1, 59, 0, 1, "twice"), (2, None, 0, 1, "no id"), (2, 900, 899, 1, "no parent"), (4, 0, None, 0, "alone")]
+    nodes = spark.createDataFrame(rows, "tree_id int, node_id long, parent_id long, depth int, what string").repartition(3)
+    whole = {r["tree_id"]: r["json"] for r in explain.nested_json(nodes, ["node_id", "what"]).collect()}
+    want = sorted(map(str, explain.nodes_of_json(explain.nested_json(nodes, ["node_id", "what"]), "node_id long, what string").collect()))
+    for limit in (1, 100, 1 << 18):
+        parts = explain.nested_parts(nodes, ["node_id", "what"], limit=limit)
+        texts = {}
+        for r in parts.orderBy("part").collect():
+            texts.setdefault(r["tree_id"], []).append(r["json"])
+            assert len(r["json"]) < limit + 200
+        joined = {t: "".join(x) for t, x in texts.items()}
+        assert {t: len(x) for t, x in joined.items()} == {t: len(x) for t, x in whole.items()}
+        assert joined[3] == whole[3] and joined[4] == whole[4]
+        assert sorted(map(str, explain.nodes_of_parts(parts, "node_id long, what string").collect())) == want
+        digests = {r["tree_id"]: (r["n_chars"], r["digest"]) for r in explain.parts_digest(parts).collect()}
+        assert digests == {t: (len(x), hashlib.md5(x.encode()).hexdigest()) for t, x in joined.items()}
+    assert explain.nodes_of_parts(explain.nested_parts(nodes.limit(0), ["node_id"]), "node_id long").count() == 0
+
+
+def test_the_nested_round_trip_puts_no_tree_in_one_row(spark):
+    from plumbline.plans import records
+
+    seen = []
+
+    def nested(*args, whole=explain.nested_parts):
+        seen.append(whole(*args, limit=2000))
+        return seen[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(explain, "nested_parts", nested)
+        n = records.snk5_nested_round_trip(spark, "/root/testdata/sf0.001").count()
+    assert n == records.places(spark, "/root/testdata/sf0.001").count()
+    assert seen[0].count() > 50 and seen[0].agg(F.max(F.length("json"))).first()[0] < 2200
+
+
 def test_judges_end_where_the_sql_ends_them(spark, tmp_path):
     texts = ["Justice A\nFoo bar, Justice Rao\x0b, ", "Justice Ann andé, J. Lee ", "Juſtice Rao and x", "J. Kim, x", "a b justice and", "Justice A and B, J. Lee"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "written"))
